@@ -3,18 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import simhash
+from foliospark.llm import chat, decontaminate, html_main, mixing, simhash, tokencount
+
+
+@lru_cache
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"), columns=["doc_id", "lang", "source"])
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(spark, _table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_odd_one(spark, _table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_conversations(rows, tokenizer_file("byte_bpe_50k.json"))).drop("n_tokens", "n_loss_tokens")
+
+
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    f.__name__: f
+    for f in (op1_mix_sources, op3_decontaminate, op5_token_counts, op6_simhash_near_dedup, op8_chat_format, op9_html_main_text)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op3_decontaminate": decontaminate.SQL, "op8_chat_format": chat.SQL}
