@@ -105,3 +105,38 @@ def connected_components(edges: DataFrame) -> Stored:
     roots = now.df.select(F.col("root").alias("node"), F.col("root")).distinct()
     now.df = now.df.unionByName(roots)
     return now
+
+
+def bounded_labels(labels: DataFrame, name: str, per_class: int, seed: int = 11) -> DataFrame:
+    """(doc_id, y): at most ``per_class`` labelled rows of each class, by hash order, none of the held-out fold.
+
+    Held out is where crc32(doc_id as text) mod 5 is 0. Of several labels of a document the largest counts; null labels
+    and null ids are left out.
+    """
+    known = labels.select("doc_id", F.col(name).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    known = known.where(crc_of_id(F.col("doc_id")) % 5 != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
+    order = F.xxhash64("doc_id", F.lit(seed))
+    return known.where("y = 1").orderBy(order, "doc_id").limit(per_class).unionByName(
+        known.where("y = 0").orderBy(order, "doc_id").limit(per_class)
+    )
+
+
+def bounded_rows(docs: DataFrame, most: int, seed: int = 12) -> DataFrame:
+    """(doc_id, text) of about ``most`` training rows, by hash, of all documents; all of them if there are fewer."""
+    n = docs.count()
+    picked = docs.select("doc_id", "text").where(crc_of_id(F.col("doc_id")) % 5 != 0)
+    if n > most:
+        top = (1 << 62) // n * most // (1 << 30)
+        picked = picked.where(F.shiftright(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit((1 << 63) - 1)), 31) < top)
+    return picked
+
+
+def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text, y) for a bounded table of ids; an id on several rows gives several."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def sigmoid(x):
+    import numpy as np
+
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

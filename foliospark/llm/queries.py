@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat, decontaminate, html_main, mixing, simhash, tokencount
+from foliospark.llm import chat, decontaminate, html_main, mixing, quality, simhash, tokencount, toxicity
 
 
 @lru_cache
@@ -39,6 +39,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_odd_one(spark, _table(spark, sf_dir, "conversations"))
     return chat.digests(chat.format_conversations(rows, tokenizer_file("byte_bpe_50k.json"))).drop("n_tokens", "n_loss_tokens")
@@ -48,9 +52,13 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(_table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_decontaminate, op5_token_counts, op6_simhash_near_dedup, op8_chat_format, op9_html_main_text)
+    for f in (op1_mix_sources, op3_decontaminate, op5_token_counts, op6_simhash_near_dedup, op7_quality_classifier, op8_chat_format, op9_html_main_text, op10_toxicity)
 }
 
 SQL: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op3_decontaminate": decontaminate.SQL, "op8_chat_format": chat.SQL}
