@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat, decontaminate, html_main, mixing, quality, simhash, tokencount, toxicity
+from foliospark.llm import chat, covertree, decontaminate, html_main, mixing, quality, simhash, tokencount, toxicity
 
 
 @lru_cache
@@ -25,6 +25,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"), columns=["doc_id", "lang", "source"])
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_decontaminate, op5_token_counts, op6_simhash_near_dedup, op7_quality_classifier, op8_chat_format, op9_html_main_text, op10_toxicity)
+    for f in (op1_mix_sources, op2_embedding_near_dedup, op3_decontaminate, op5_token_counts, op6_simhash_near_dedup, op7_quality_classifier, op8_chat_format, op9_html_main_text, op10_toxicity)
 }
 
-SQL: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op3_decontaminate": decontaminate.SQL, "op8_chat_format": chat.SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op2_embedding_near_dedup": covertree.SQL, "op3_decontaminate": decontaminate.SQL, "op8_chat_format": chat.SQL}
