@@ -321,7 +321,7 @@ SQL = """
 with recursive v as (
   select vec_id, cast(embedding as double[]) as v, row_number() over () as r from embeddings
 ), ok as (
-  select * from v where v is not null and len(v) > 0 and len(list_filter(v, x -> x is null or not isfinite(x))) = 0 and len(list_filter(v, x -> x <> 0)) > 0
+  select * from v where v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
 ), links as (
   select a.r as a, b.r as b from ok a, ok b where a.r <> b.r and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95
 ), reach(r, to_r) as (

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat, covertree, decontaminate, html_main, mixing, quality, simhash, tokencount, toxicity
+from foliospark.llm import chat, covertree, decontaminate, html_main, maxent, mixing, quality, simhash, tokencount, toxicity
 
 
 @lru_cache
@@ -33,6 +33,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_embedding_near_dedup, op3_decontaminate, op5_token_counts, op6_simhash_near_dedup, op7_quality_classifier, op8_chat_format, op9_html_main_text, op10_toxicity)
+    for f in (op1_mix_sources, op2_embedding_near_dedup, op3_decontaminate, op4_maxent_scores, op5_token_counts, op6_simhash_near_dedup, op7_quality_classifier, op8_chat_format, op9_html_main_text, op10_toxicity)
 }
 
 SQL: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op2_embedding_near_dedup": covertree.SQL, "op3_decontaminate": decontaminate.SQL, "op8_chat_format": chat.SQL}
