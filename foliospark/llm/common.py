@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 import zlib
@@ -11,6 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges in a file between the rounds of connected_components.
+EDGES_A_FILE = 250_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -87,16 +91,16 @@ def connected_components(edges: DataFrame) -> Stored:
     check = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v"))}
     now = Stored(oriented(edges.where("u is not null and v is not null")), check)
     while now.metrics["n"]:
+        # no round adds edges, so this many files hold at most EDGES_A_FILE each
+        files = math.ceil(now.metrics["n"] / EDGES_A_FILE)
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = oriented(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        middle = Stored(large)
-        least = middle.df.groupBy("u").agg(F.min("v").alias("m"))
-        hung = middle.df.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = Stored(oriented(hung.unionByName(least.select("u", F.col("m").alias("v")))), check)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = Stored(oriented(hung.unionByName(least.select("u", F.col("m").alias("v")))).coalesce(files), check)
         same = after.metrics == now.metrics
         now.drop()
-        middle.drop()
         now = after
         if same:
             break
