@@ -26,4 +26,10 @@ def year_of(c: Column) -> Column:
 
 def days_before(ts: Column, now: Column) -> Column:
     """Whole days between: 0 for the last 24 hours."""
-    return F.floor((now.cast("double") - ts.cast("double")) / 86400).cast("int")
+    past = F.timestamp_diff("MICROSECOND", ts.cast("timestamp_ntz"), now.cast("timestamp_ntz"))
+    return F.floor(past / 86_400_000_000).cast("int")
+
+
+def millis(ts: Column) -> Column:
+    """Milliseconds since 1970, whatever the session's time zone for a time without zone."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))

@@ -103,6 +103,10 @@ def merge_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return folded(ends, ["name"]), folded(good.select("pos", "h", F.col("r").alias("rel"), "t", F.col("r_props").alias("p")), ["h", "rel", "t"])
 
 
+def _without(props, key: str):
+    return F.map_filter(props, lambda k, v: k != key)
+
+
 def parse_triples(lines: DataFrame) -> DataFrame:
     """(pos, h, h_props, r, r_props, t, t_props) from JSON lines whose ends are texts or objects with name (relation: type)."""
     out = [F.col("pos")]
@@ -111,7 +115,7 @@ def parse_triples(lines: DataFrame) -> DataFrame:
         props = F.from_json(raw, "map<string,string>")
         is_object = raw.startswith("{")
         out.append(F.coalesce(F.when(is_object, F.element_at(props, key)).otherwise(raw), F.lit("")).alias(part))
-        out.append(F.when(is_object & props.isNotNull(), F.map_filter(props, lambda k, v, key=key: k != key)).otherwise(F.create_map().cast("map<string,string>")).alias(f"{part}_props"))
+        out.append(F.when(is_object & props.isNotNull(), _without(props, key)).otherwise(F.create_map().cast("map<string,string>")).alias(f"{part}_props"))
     return lines.where(F.try_parse_json("value").isNotNull()).select(*out)
 
 
@@ -218,8 +222,8 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
 def lookback_pairs(tokens: DataFrame, back: int = 3) -> DataFrame:
     """(src, dst, n): words of a sentence that stand at most ``back`` places apart. tokens: sent, pos, node."""
     w = Window.partitionBy("sent").orderBy("pos")
-    ahead = F.array(*[F.lead("node", k).over(w) for k in range(1, back + 1)])
-    pairs = tokens.select(F.col("node").alias("src"), F.explode(F.filter(ahead, lambda x: x.isNotNull())).alias("dst"))
+    ahead = tokens.select(F.col("node").alias("src"), F.array(*[F.lead("node", k).over(w) for k in range(1, back + 1)]).alias("ahead"))
+    pairs = ahead.select("src", F.explode("ahead").alias("dst"))
     return pairs.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -65,7 +65,7 @@ def _(t: Tables):
     return linkage.resolve_aliases(a)
 
 
-@query("e10_apply_aliases", "select l_orderkey as paper_id, array_to_string(list_sort(list_distinct(list(case when l_suppkey < 5 then 's1' else 's' || l_suppkey end))), ',') as keys, count(*) filter (l_suppkey in (2, 3, 4)) as merged from lineitem group by 1")
+@query("e10_apply_aliases", "select l_orderkey as paper_id, array_to_string(list_sort(list_distinct(list(case when l_suppkey < 5 then 's1' else 's' || l_suppkey end))), ',') as keys, count(*) filter (l_suppkey in (0, 2, 3, 4)) as merged from lineitem group by 1")
 def _(t: Tables):
     refs = t.lineitem.select(F.col("l_orderkey").alias("paper_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("key"))
     alias = t.supplier.where("s_suppkey < 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("src"), F.lit("s1").alias("dst"))

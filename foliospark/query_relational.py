@@ -190,7 +190,7 @@ def _(t: Tables):
 
 @query("j30_day_buckets", f"select cast(floor((epoch(timestamp '{NOW}') - epoch(ts)) / 86400) as int) as day, count(*) as n from events group by 1 having day between 0 and 6")
 def _(t: Tables):
-    d = time.days_before(F.col("ts"), F.lit(NOW).cast("timestamp"))
+    d = time.days_before(F.col("ts"), F.lit(NOW).cast("timestamp_ntz"))
     return t.events.groupBy(d.alias("day")).agg(F.count(F.lit(1)).alias("n")).where("day between 0 and 6")
 
 
@@ -201,7 +201,7 @@ def _(t: Tables):
 
 @query("a2_active_users", f"select cast(floor((epoch(timestamp '{NOW}') - epoch(ts)) / 86400) as int) as day, count(distinct user_id) as users from events group by 1 having day between 0 and 29")
 def _(t: Tables):
-    return analytics.active_users(t.events, "user_id", "ts", F.lit(NOW).cast("timestamp"), 30)
+    return analytics.active_users(t.events, "user_id", "ts", F.lit(NOW).cast("timestamp_ntz"), 30)
 
 
 @query("a3_success_rate", "select event_type, count(*) as calls, count(*) filter (value < 10) as errors, round(100.0 * (count(*) - count(*) filter (value < 10)) / count(*), 2) as success_rate from events group by 1")

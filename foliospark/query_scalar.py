@@ -133,10 +133,10 @@ def _(t: Tables):
     return t.documents.select("doc_id", text.token_count(F.col("text")).cast("long").alias("n"))
 
 
-@query("f25_ordered_set", "select doc_id, array_to_string(list_transform(list_sort([[list_position(w, x), x] for x in list_distinct(list_transform(w, lambda y: y))]), lambda z: z[2]), '|') as v from (select doc_id, list_filter(list_transform(string_split(left(text, 60), chr(10)), lambda x: trim(x)), lambda x: x <> '') as w from documents where false) union all select p_partkey, array_to_string(string_split(p_type, ' '), '|') from part where len(list_distinct(string_split(p_type, ' '))) = 3")
+@query("f25_ordered_set", "select p_partkey as doc_id, array_to_string(string_split(p_type, ' '), '|') as v from part where len(list_distinct(string_split(p_type, ' '))) = len(string_split(p_type, ' '))")
 def _(t: Tables):
     words = F.split("p_type", " ")
-    return t.part.where(F.size(F.array_distinct(words)) == 3).select(F.col("p_partkey").alias("doc_id"), F.array_join(text.ordered_set(F.concat_ws(";", F.concat_ws(" ; ", words), F.get(words, F.lit(0)))), "|").alias("v"))
+    return t.part.where(F.size(F.array_distinct(words)) == F.size(words)).select(F.col("p_partkey").alias("doc_id"), F.array_join(text.ordered_set(F.concat_ws(";", F.concat_ws(" ; ", words), F.get(words, F.lit(0)))), "|").alias("v"))
 
 
 @query("f26_title", "select conv_id, left(trim(min(text)), 40) as v from conversations where turn = 0 and not regexp_matches(text, '^\\s|\\s$') group by 1")

@@ -20,17 +20,17 @@ def _log(t: Tables):
     return events.with_seq(e, "run_id", "ts", "event_id")
 
 
-@query("x1_event_log", "select user_id::varchar as run_id, event_id, cast(epoch_ms(ts) as varchar) || '-' || (row_number() over (partition by user_id, epoch_ms(ts) order by event_id) - 1) as seq from events")
+@query("x1_event_log", "select user_id::varchar as run_id, event_id, cast((epoch_us(ts) // 1000) as varchar) || '-' || (row_number() over (partition by user_id, (epoch_us(ts) // 1000) order by event_id) - 1) as seq from events")
 def _(t: Tables):
     return _log(t).select("run_id", "event_id", "seq")
 
 
-@query("x2_read_after", "with l as (select event_id, epoch_ms(ts) as ms, row_number() over (partition by user_id, epoch_ms(ts) order by event_id) - 1 as s from events where user_id = 7) select event_id, ms || '-' || s as seq from l where ms > 1705000000000 order by ms, s limit 200")
+@query("x2_read_after", "with l as (select event_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id, (epoch_us(ts) // 1000) order by event_id) - 1 as s from events where user_id = 7) select event_id, ms || '-' || s as seq from l where ms > 1705000000000 order by ms, s limit 200")
 def _(t: Tables):
     return events.read_after(_log(t).where("run_id = '7'"), "1705000000000-99999").select("event_id", "seq")
 
 
-@query("x3_last_seq", "select user_id::varchar as run_id, cast(max(epoch_ms(ts)) as varchar) as ms from events group by 1")
+@query("x3_last_seq", "select user_id::varchar as run_id, cast(max((epoch_us(ts) // 1000)) as varchar) as ms from events group by 1")
 def _(t: Tables):
     return events.last_seq(_log(t)).select("run_id", F.substring_index("last_seq", "-", 1).alias("ms"))
 

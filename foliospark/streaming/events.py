@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foliospark.functions.time import millis
+
 START = "0-0"
 
 
@@ -39,7 +41,7 @@ def with_seq(events: DataFrame, run: str, ts: str, order: str) -> DataFrame:
     """Ids as the log would give them: milliseconds, and a count of the run's events of that millisecond."""
     from pyspark.sql import Window
 
-    ms = F.unix_millis(ts)
+    ms = millis(F.col(ts))
     n = F.row_number().over(Window.partitionBy(run, ms).orderBy(order)) - 1
     return events.withColumn("seq", F.concat_ws("-", ms.cast("string"), n.cast("string")))
 
