@@ -105,7 +105,7 @@ def masked_spans(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -
     return out
 
 
-_FORMAT = "conv_id long, formatted string, loss_spans array<array<int>>, n_tokens long, n_loss_tokens long"
+_FORMAT = "conv_id string, formatted string, loss_spans array<array<int>>, n_tokens long, n_loss_tokens long"
 
 
 def format_conversations(conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -119,7 +119,8 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str | None =
         F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row"),
     )
     grouped = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    grouped = grouped.select("conv_id", F.expr("transform(rows, r -> r.role)").alias("roles"), F.expr("transform(rows, r -> r.text)").alias("texts"))
+    # ids go through pandas as text, which has no integers with nulls
+    grouped = grouped.select(F.col("conv_id").cast("string").alias("conv_id"), F.expr("transform(rows, r -> r.role)").alias("roles"), F.expr("transform(rows, r -> r.text)").alias("texts"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -136,9 +137,9 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str | None =
                     spans = masked_spans(e.offsets, spans)
                 out.append((conv, text, [list(s) for s in spans], n, loss))
             frame = pd.DataFrame(out, columns=["conv_id", "formatted", "loss_spans", "n_tokens", "n_loss_tokens"])
-            yield frame.astype({"conv_id": "Int64", "n_tokens": "Int64", "n_loss_tokens": "Int64"})
+            yield frame.astype({"n_tokens": "Int64", "n_loss_tokens": "Int64"})
 
-    return grouped.mapInPandas(work, _FORMAT)
+    return grouped.mapInPandas(work, _FORMAT).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def with_odd_one(spark: SparkSession, conversations: DataFrame) -> DataFrame:
@@ -160,10 +161,10 @@ def digests(formatted: DataFrame) -> DataFrame:
                 masked = "".join(unescape(text[a:b]) for a, b in spans)
                 out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(text), n, loss))
             frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"])
-            yield frame.astype({"conv_id": "Int64", "n_tokens": "Int64", "n_loss_tokens": "Int64"})
+            yield frame.astype({"n_tokens": "Int64", "n_loss_tokens": "Int64"})
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
-    return formatted.mapInPandas(work, schema)
+    schema = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
+    return formatted.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(work, schema).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 SQL = r"""

@@ -274,5 +274,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in part.html]
             yield pd.DataFrame({"page_id": part.page_id, "url": part.url, "text": texts, "n_chars": [len(x) for x in texts]})
 
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return slim.mapInPandas(work, "page_id long, url string, text string, n_chars long")
+    # ids go through pandas as text, which has no integers with nulls
+    slim = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    return slim.mapInPandas(work, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

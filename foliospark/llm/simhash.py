@@ -100,7 +100,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = fresh(docs, "kept_id")
     ids = kept.groupBy(F.col("i").alias(key)).agg(F.count(F.lit(1)).alias("n"))
     ids = Stored(ids, {"most": F.max("n"), "nulls": F.count_if(F.col(key).isNull())})
-    out = docs.join(ids.df.select(key), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+    # the texts are shuffled once at every size; ids are the hashed side, so texts aren't sorted
+    out = docs.join(ids.df.select(key).hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
     if (ids.metrics["most"] or 0) > 1:  # an id on several rows; one row stays
         out = out.dropDuplicates([id_col])
     return out

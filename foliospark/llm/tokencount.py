@@ -115,7 +115,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern:
                     n += trie.count(group)
                     group, size = [], 0
             n += trie.count(group)
-            yield pd.DataFrame({"doc_id": part.doc_id, "n_tokens": n, "n_pretokens": pre, "n_bytes": [len(x.encode()) for x in texts]}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": part.doc_id, "n_tokens": n, "n_pretokens": pre, "n_bytes": [len(x.encode()) for x in texts]})
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInPandas(work, "doc_id long, n_tokens long, n_pretokens long, n_bytes long")
+    # ids go through pandas as text, which has no integers with nulls
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return slim.mapInPandas(work, "doc_id string, n_tokens long, n_pretokens long, n_bytes long").withColumn("doc_id", F.col("doc_id").cast("long"))
