@@ -204,8 +204,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
         lost = both.agg(F.coalesce(F.sum(F.when(F.col("to").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         got = both.where("to is not null").select(F.explode("to").alias("node"), (F.col("rank") / F.size("to")).alias("r")).groupBy("node").agg(F.sum("r").alias("r"))
         rank = links.select("node").join(got, "node", "left").join(F.broadcast(lost)).select("node", ((1 - alpha) / n + alpha * (F.coalesce("r", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % 5 == 4 and edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            rank = rank.checkpoint()
+        # a round reads the last one's ranks twice, so they are kept
+        rank = rank.checkpoint() if k % 5 == 4 and edges.sparkSession.conf.get("spark.checkpoint.dir", None) else rank.persist()
     return rank
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import names, text
@@ -187,13 +187,12 @@ def abbreviation_aliases(df: DataFrame, id_col: str, text_col: str) -> DataFrame
 
 
 def register_entities(df: DataFrame) -> DataFrame:
-    """(key, text, label, sources, n, uid): one entity for each key; the best source names it, then the earliest mention.
+    """(key, text, label, n, first): one entity for each key; the best source names it, then the earliest mention.
 
-    df: key, text, label, source (1 is best), pos. uid counts keys in order of their first mention.
+    df: key, text, label, source (1 is best), pos. ``first`` is the key's first mention, whose order is that of arrival.
     """
     per = df.groupBy("key").agg(F.min_by(F.struct("text", "label"), F.struct("source", "pos")).alias("b"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    uid = F.dense_rank().over(Window.orderBy("first", "key"))
-    return per.select("key", F.col("b.text").alias("text"), F.col("b.label").alias("label"), "n", uid.alias("uid"))
+    return per.select("key", F.col("b.text").alias("text"), F.col("b.label").alias("label"), "n", "first")
 
 
 def fill_cascade(df: DataFrame, key: str, providers: list[DataFrame], columns: list[str]) -> DataFrame:

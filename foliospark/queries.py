@@ -36,4 +36,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from foliospark import query_graph, query_linkage, query_relational, query_retrieval, query_scalar, query_stream  # noqa: E402, F401
+from foliospark import query_etl, query_graph, query_linkage, query_relational, query_retrieval, query_scalar, query_stream  # noqa: E402, F401
