@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text
-from foliospark.operators.relational import latest, top_per_group
+from foliospark.operators.relational import cut, latest, top_per_group
 
 
 def coauthors(writes: DataFrame, paper: str, author: str) -> DataFrame:
@@ -205,7 +205,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
         got = both.where("to is not null").select(F.explode("to").alias("node"), (F.col("rank") / F.size("to")).alias("r")).groupBy("node").agg(F.sum("r").alias("r"))
         rank = links.select("node").join(got, "node", "left").join(F.broadcast(lost)).select("node", ((1 - alpha) / n + alpha * (F.coalesce("r", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         # a round reads the last one's ranks twice, so they are kept
-        rank = rank.checkpoint() if k % 5 == 4 and edges.sparkSession.conf.get("spark.checkpoint.dir", None) else rank.persist()
+        rank = cut(rank) if k % 5 == 4 else rank.persist()
     return rank
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import names, text
-from foliospark.operators.relational import keep_first
+from foliospark.operators.relational import cut, keep_first
 
 
 def with_id(df: DataFrame, name: str) -> DataFrame:
@@ -44,8 +44,6 @@ def greedy_keep(df: DataFrame, id_col: str, pairs: DataFrame, rounds: int = 50)
     spark = df.sparkSession
     open_ = pairs.select("a", "b").distinct()
     gone = spark.createDataFrame([], "id long")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    cut = lambda d: d.checkpoint() if folder else d.persist()
     open_ = cut(open_)
     for _ in range(rounds):
         # partners that have no open earlier partner of their own stay

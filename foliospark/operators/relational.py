@@ -126,5 +126,16 @@ def prefix_by_size(df: DataFrame, order: list[Column], most: int, size: Column)
     return df.withColumn("_s", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_s") <= most).drop("_s")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows kept and the lineage cut: in the folder of spark.checkpoint.dir, or where that is unset in the executors."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def empty_like(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))

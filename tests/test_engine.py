@@ -215,6 +215,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(spark.table("counts")) == key(events.windowed_counts(e))
 
 
+def test_runs_end_once(spark, tmp_path):
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = [("a", t(0), "started"), ("a", t(1), "completed"), ("b", t(0), "started"), ("c", t(2), "failed")]
+    spark.createDataFrame(rows, "run_id string, ts timestamp, event_type string").write.parquet(f"{tmp_path}/in")
+    stream = events.from_files(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    q = events.tail(stream).writeStream.format("memory").queryName("ended").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {tuple(r) for r in spark.table("ended").collect()} >= {("a", "completed", 2), ("c", "failed", 1)}
+
+
 def test_flushes(spark):
     t = [datetime(2024, 1, 1, 0, 0, 0, k * 30_000) for k in range(6)]
     df = spark.createDataFrame([("r", x, "abc") for x in t], "run_id string, ts timestamp, piece string")
