@@ -111,13 +111,19 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, columns: list[str] | N
         F.expr(mix.domain).alias("domain"), has("lang").alias("lang"), has("source").alias("source"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), n_words(F.col("text")).alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("t"),
     ).fillna("", ["domain"]).where("n > 0")
-    leaves = Stored(base.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))).df
+    # words are counted once; rows without their text are kept with the counts, others are read again at the end
+    narrow = "text" not in {c.lower() for c in columns}
+    sized = Stored(base if narrow else base.drop("row")).df
+    leaves = Stored(sized.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))).df
     budgets = Stored(leaf_budgets(leaves, mix).select(
         *LEVELS, F.expr("cast(budget div tokens as int)").alias("whole"), F.expr("budget % tokens").alias("rest"),
     ).where("whole > 0 or rest > 0")).df
-    keyed = base.join(budgets, list(LEVELS)).withColumn("h", F.md5(F.concat(F.lit(f"{mix.seed}:"), F.col("whole").cast("string"), F.lit(":"), F.col("id"))))
-    keyed = keyed.withColumns({"h1": F.substring("h", 1, 2), "h2": F.substring("h", 3, 2)})
-    slim = keyed.where("rest > 0").select(*LEVELS, "rest", "h1", "h2", "n")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        h = F.md5(F.concat(F.lit(f"{mix.seed}:"), F.col("whole").cast("string"), F.lit(":"), F.col("id")))
+        return df.join(budgets, list(LEVELS)).withColumn("h", h).withColumns({"h1": F.substring("h", 1, 2), "h2": F.substring("h", 3, 2)})
+
+    slim = keyed(sized).where("rest > 0").select(*LEVELS, "rest", "h1", "h2", "n")
     # the bucket of the first byte where the budget ends, and what is left of the budget there; then that of the second
     ends = budgets.where("rest > 0").select(*LEVELS, F.col("rest").alias("left"))
     found = []
@@ -133,7 +139,7 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, columns: list[str] | N
         ends = found[-1].select(*LEVELS, "left")
     cut = found[0].select(*LEVELS, F.col("h1").alias("e1")).join(found[1].select(*LEVELS, F.col("h2").alias("e2"), "left"), list(LEVELS))
     cut = Stored(cut).df
-    placed = keyed.join(cut, list(LEVELS), "left")
+    placed = keyed(sized if narrow else base).join(cut, list(LEVELS), "left")
     inner = F.coalesce((F.col("h1") < F.col("e1")) | (F.col("h1") == F.col("e1")) & (F.col("h2") < F.col("e2")), F.lit(False))
     edge = F.coalesce((F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2")), F.lit(False))
     epochs = F.col("whole") + F.when(inner, 1).otherwise(0)
