@@ -11,13 +11,13 @@ one bit, so no bucket holds more than 65 rows, however large a group of copies o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,15 +93,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: those with the least id."""
-    decided = Stored(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("i"), F.col("component_id").alias("c")))
-    kept = decided.df.where(F.col("i").eqNullSafe(F.col("c")))
-    key = fresh(docs, "kept_id")
-    ids = kept.groupBy(F.col("i").alias(key)).agg(F.count(F.lit(1)).alias("n"))
-    ids = Stored(ids, {"most": F.max("n"), "nulls": F.count_if(F.col(key).isNull())})
-    # the texts are shuffled once at every size; ids are the hashed side, so texts aren't sorted
-    out = docs.join(ids.df.select(key).hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
-    if (ids.metrics["most"] or 0) > 1:  # an id on several rows; one row stays
-        out = out.dropDuplicates([id_col])
-    return out
+def fingerprint_groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[Stored, DataFrame]:
+    """(id, h1, h2, node) of every row, h1 and h2 hashes of its text; and (node, root) by op6's fingerprints."""
+    slim = Stored(docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), fingerprint_column(F.col(text_col)).alias("node")))
+    linked = connected_components(link_fingerprints(slim.df.select(F.col("node").alias("fp")).distinct()))
+    return slim, linked.df
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two hashes of a text, together 128 bits."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(SEED), text).alias("h2")]
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[[DataFrame, str, str], tuple[Stored, DataFrame]] = fingerprint_groups) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: of each the one with the least (id, hashes of the text).
+
+    A null id comes after all others. Rows are told apart by id and text together, so rows that share an id, or have
+    none, and belong to different components each stay. groups gives the components (``fingerprint_groups``).
+    """
+    slim, linked = groups(docs, id_col, text_col)
+    named = slim.df.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    key, k1, k2 = fresh(docs, "kept_id"), fresh(docs, "kept_h1"), fresh(docs, "kept_h2")
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("k"))
+    kept = Stored(least.select(F.col("k.id").alias(key), F.col("k.h1").alias(k1), F.col("k.h2").alias(k2)))
+    copies = slim.df.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    # the texts are shuffled once at every size; keys are the hashed side, so texts aren't sorted
+    h1, h2 = text_key(F.col(text_col))
+    hashed = docs.withColumns({k1: h1, k2: h2})
+    same = [hashed[id_col].eqNullSafe(kept.df[key]), hashed[k1] == kept.df[k1], hashed[k2] == kept.df[k2]]
+    out = hashed.join(kept.df.hint("shuffle_hash"), same, "left_semi")
+    if (copies or 0) > 1:  # rows with the same id and text; one stays
+        out = out.dropDuplicates([id_col, k1, k2])
+    return out.drop(k1, k2)

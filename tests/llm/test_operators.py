@@ -283,6 +283,14 @@ def test_simhash_odd(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0 and simhash.keep_one_of_each(none(spark)).count() == 0
 
 
+def test_one_of_each_is_decided_by_row(spark):
+    lines = [" ".join(f"{w}{k}" for k in range(40)) for w in "abcdefg"]
+    rows = [(None, lines[0]), (None, lines[1]), (None, lines[2]), (5, lines[3]), (5, lines[4]), (3, lines[4]), (3, lines[4]), (6, lines[5]), (None, lines[5]), (None, lines[6]), (None, lines[6])]
+    out = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, lines[0]), (None, lines[1]), (None, lines[2]), (5, lines[3]), (3, lines[4]), (6, lines[5]), (None, lines[6])]
+    assert Counter(map(tuple, out.collect())) == Counter(want)
+
+
 # 7 and 10
 def labelled(spark, spoil):
     rows, marks = [], []
