@@ -29,8 +29,6 @@ from foliospark.llm.common import bounded_labels, bounded_rows, crc_of_id, label
 
 #: Bound of the training sample: labelled rows of each class, and unlabelled rows.
 SAMPLE = 5000
-#: Bound of the induced lexicon, and of the candidates that are counted in clean texts.
-ENTRIES, CANDIDATES = 500, 20_000
 THRESHOLD = 0.5
 #: Lengths, in bytes, of word beginnings; 0 is the whole word.
 LENGTHS = (0, 3, 4, 5, 6, 7, 8, 9, 10)
@@ -43,6 +41,8 @@ INSULTS = frozenset("clown disgusting dumb garbage idiot idiots imbecile loser l
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+_NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
+
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LETTERS).split()
@@ -84,22 +84,15 @@ def induce(spark: SparkSession, toxic: DataFrame, clean: DataFrame, n1: int, n0:
     if not n1 or not n0:
         return []
     least = max(3, n1 // 150)
-    common = _document_counts(toxic).where(F.col("f1") >= least).orderBy(F.desc("f1"), "k", "unit").limit(CANDIDATES).collect()
-    wanted = spark.sparkContext.broadcast({(r.k, bytes(r.unit)) for r in common})
-    rest = {(r.k, bytes(r.unit)): r for r in _document_counts(clean, wanted).collect()}
-    found = []
-    for r in common:
-        key = (r.k, bytes(r.unit))
-        for t in (1, 2, 3):
-            a, b = r[f"f{t}"], rest[key][f"f{t}"] if key in rest else 0
-            if a < least:
-                continue
-            odds = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
-            bound = odds - 2.5 * math.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-            if bound > 1:
-                found.append((bound * math.sqrt(a / n1), *key, t))
-    found.sort(reverse=True)
-    return [x[1:] for x in found[:ENTRIES]]
+    mine = _document_counts(toxic).where(F.col("f1") >= least)
+    rest = _document_counts(clean).select("k", "unit", *[F.col(f"f{t}").alias(f"b{t}") for t in (1, 2, 3)])
+    both = mine.join(rest, ["k", "unit"], "left").select("k", "unit", F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"f{t}").alias("a"), F.coalesce(f"b{t}", F.lit(0)).alias("b")) for t in (1, 2, 3)])))
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
+    bound = odds - 2.5 * F.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n0 + 1 - b))
+    found = both.where(F.col("a") >= least).withColumn("bound", bound).where("bound > 1").collect()
+    ranked = sorted(((r.bound * math.sqrt(r.a / n1), r.k, bytes(r.unit), r.t) for r in found), reverse=True)
+    return [x[1:] for x in ranked]
 
 
 class Voters:
@@ -148,8 +141,8 @@ class Voters:
         out[base + 5 : self.votes] = [total >= t for t in TOTALS]
         out[-2:] = math.log2(1 + total), min(6.0, 30 * total / max(10, len(words)))
         text = text or ""
-        upper = sum(map(str.isupper, text[::7])) if len(text) > 40 else 0
-        out[base : base + 5] = insults >= 1, insults >= 2, insults >= 4, upper * 7 > 0.5 * len(text) > 0, text.count("!") * 20 > len(words) > 0
+        upper = len(text.encode().translate(None, _NOT_UPPER)) if text.isascii() else sum(map(str.isupper, text))
+        out[base : base + 5] = insults >= 1, insults >= 2, insults >= 4, upper > 0.5 * len(text) > 0, text.count("!") * 20 > len(words) > 0
         return out
 
 
@@ -181,7 +174,32 @@ class LabelModel:
         return sigmoid(math.log(self.prior / (1 - self.prior)) + (votes * on + (1 - votes) * off) @ self.weight)
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
+class Sparse:
+    """Rows of features by the places and values that aren't 0: as many bytes as entries that occur, however large the lexicon is."""
+
+    def __init__(self, places: list[bytes], values: list[bytes], width: int):
+        self.shape = len(places), width
+        sizes = [len(p) // 4 for p in places]
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.at = np.frombuffer(b"".join(places), np.int32)
+        self.value = np.frombuffer(b"".join(values), np.float16).astype(np.float32)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], self.shape[0])
+
+    def summed(self, by: np.ndarray) -> np.ndarray:
+        """The transposed matrix times by."""
+        return np.bincount(self.at, self.value * by[self.row], self.shape[1])
+
+    def first(self, n: int) -> np.ndarray:
+        """The first n columns, filled."""
+        out = np.zeros((self.shape[0], n), np.float32)
+        own = self.at < n
+        out[self.row[own], self.at[own]] = self.value[own]
+        return out
+
+
+def fit_linear(x: Sparse, q: np.ndarray, weight: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels with an L2 penalty, by Adam over all rows."""
     n, d = x.shape
     w, b = np.zeros(d), 0.0
@@ -189,7 +207,7 @@ def fit_linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 4
     weight = weight / weight.sum()
     for step in range(1, rounds + 1):
         slope = weight * (sigmoid(x @ w + b) - q)
-        g = np.append(x.T @ slope + 2e-4 * w, slope.sum())
+        g = np.append(x.summed(slope) + 2e-4 * w, slope.sum())
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         move = 0.1 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -205,17 +223,22 @@ class Model:
         return sigmoid(np.array([self.voters(t) @ self.w + self.b for t in texts], np.float64))
 
 
-def _features(spark: SparkSession, rows: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
+def _features(spark: SparkSession, rows: DataFrame, voters: Voters) -> tuple[Sparse, np.ndarray]:
     shared = spark.sparkContext.broadcast(voters)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for part in batches:
-            yield pd.DataFrame({"x": [own(t).astype(np.float16).tobytes() for t in part.text], "y": part.y})
+            at, x = [], []
+            for t in part.text:
+                row = own(t)
+                places = np.flatnonzero(row).astype(np.int32)
+                at.append(places.tobytes())
+                x.append(row[places].astype(np.float16).tobytes())
+            yield pd.DataFrame({"at": at, "x": x, "y": part.y})
 
-    got = rows.select("text", "y").mapInPandas(work, "x binary, y int").collect()
-    x = np.frombuffer(b"".join(r.x for r in got), np.float16).reshape(-1, voters.width).astype(np.float32)
-    return x, np.array([r.y for r in got])
+    got = rows.select("text", "y").mapInPandas(work, "at binary, x binary, y int").collect()
+    return Sparse([r["at"] for r in got], [r.x for r in got], voters.width), np.array([r.y for r in got])
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
@@ -229,10 +252,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     share = labels.where("toxic is not null").where(crc_of_id(F.col("doc_id")) % 5 != 0).agg(F.avg("toxic")).first()[0]
     rows.unpersist()
     ids.unpersist()
-    if not len(x):
+    if not len(y):
         return Model(voters, np.zeros(voters.width, np.float32), -3.0)
-    model = LabelModel(x[:, : voters.votes], y)
-    q = np.where(y >= 0, y, model.posterior(x[:, : voters.votes]))
+    votes = x.first(voters.votes)
+    model = LabelModel(votes, y)
+    q = np.where(y >= 0, y, model.posterior(votes))
     share = min(0.9, max(0.01, share if share is not None else q.mean()))
     # rows of a class weigh together what the class does among all labels; unlabelled rows as they are
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), np.where(y == 0, (1 - share) / max(1, (y == 0).sum()), 1 / max(1, (y < 0).sum())))

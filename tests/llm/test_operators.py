@@ -321,6 +321,18 @@ def test_toxicity(spark):
     assert accuracy(toxicity.classify(spark, docs, labels), labels, "toxic") > 0.97
 
 
+def test_shouting_reads_the_whole_text():
+    voters = toxicity.Voters([])
+    fires = lambda x: bool(voters(x)[voters.votes - len(toxicity.TOTALS) - 2])
+    assert fires("STOP IT NOW") and fires("ÉTÉ À L'ÎLE") and fires(("ABCDEFG" * 9).replace("A", "a")) and not fires("Stop it now") and not fires("") and not fires(("abcdefg" * 9).replace("a", "A"))
+
+
+def test_lexicon_isnt_cut_by_number(spark):
+    toxic = spark.createDataFrame([(" ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(650)),)] * 40, "text string")
+    clean = spark.createDataFrame([("zzz",)] * 400, "text string")
+    assert len(toxicity.induce(spark, toxic, clean, 40, 400)) == 650
+
+
 def test_risk_is_walked_back_where_it_is_negative():
     r = np.random.default_rng(2)
     net = quality.fit(r.normal(1, 1, (40, 5)), np.concatenate((r.normal(1, 1, (30, 5)), r.normal(-2, 1, (30, 5)))), 0.5)
