@@ -35,25 +35,23 @@ def similar_pairs(df: DataFrame, id_col: str, set_col: str, threshold: float) ->
     return full.select("a", "b", text.jaccard(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= threshold)
 
 
-def greedy_keep(df: DataFrame, id_col: str, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def greedy_keep(df: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
     """Rows that remain when, in order of id, each row goes that is similar to an earlier one that remained.
 
     Every round settles the rows whose earlier partners are settled: a row with a kept partner goes, a row all of whose
-    partners went stays. The result is that of the sequential pass.
+    partners went stays. The least row of the open pairs is settled in each round, so the rounds end, and the result is that
+    of the sequential pass. Pairs count with a < b.
     """
     spark = df.sparkSession
-    open_ = pairs.select("a", "b").distinct()
+    open_ = cut(pairs.select("a", "b").where("a < b").distinct())
     gone = spark.createDataFrame([], "id long")
-    open_ = cut(open_)
-    for _ in range(rounds):
+    while not open_.isEmpty():
         # partners that have no open earlier partner of their own stay
-        kept = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        kept = cut(open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
         lost = cut(open_.join(kept, open_.a == kept.id).select(F.col("b").alias("id")).distinct())
         gone = cut(gone.unionByName(lost))
         # what went takes its pairs along, on both sides
         open_ = cut(open_.join(lost, open_.b == lost.id, "left_anti").join(lost, open_.a == lost.id, "left_anti").join(kept, open_.a == kept.id, "left_anti"))
-        if open_.isEmpty():
-            break
     return df.join(gone, F.col(id_col) == F.col("id"), "left_anti")
 
 

@@ -131,7 +131,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df.persist()
+        return df.localCheckpoint()  # persist keeps the lineage, which grows by a power over the rounds
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -97,6 +97,14 @@ def test_greedy_dedup_is_that_of_the_sequential_pass(spark):
     assert {r.key for r in kept.collect()} == greedy([(k, set(s)) for k, s in rows], 0.6)
 
 
+def test_greedy_keep_on_a_long_chain(spark):
+    """Each row resembles the one before: more rounds are needed than any fixed number."""
+    df = spark.range(1, 113).coalesce(1)
+    pairs = df.selectExpr("id as a", "id + 1 as b").where("b < 113")
+    kept = linkage.greedy_keep(df.withColumnRenamed("id", "key"), "key", pairs)
+    assert {r.key for r in kept.collect()} == set(range(1, 113, 2))
+
+
 def test_dedup_papers(spark):
     rows = [(1, "Deep Nets for Text"), (2, "deep nets FOR text"), (3, "Deep nets for texts"), (4, ""), (5, ""), (6, "Other things entirely")]
     df = spark.createDataFrame(rows, "pos long, title string")
