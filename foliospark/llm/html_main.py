@@ -2,7 +2,7 @@
 
 Every node of the page's tree gets a density: characters per tag in its subtree, lowered the more of its characters and
 tags belong to links (Sun et al., "DOM based content extraction via text density", 2011). The subtree whose children
-have the largest sum of densities holds the article. The least density on the way from there to the body is the
+have the largest sum of densities holds the article. The least density on the way from there up to and including the body is the
 threshold by which other parts beside that way are taken along.
 
 Menus, page headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments are cut out of
@@ -211,20 +211,19 @@ def choose(root: Node) -> list[Node]:
     marked = [n for n in path if n.name in ARTICLE]
     if marked:
         return [marked[-1]]
-    path = [n for n in path if n.name not in ("", "html", "body")] or [best]
-    threshold = min(n.density for n in path)
-    body = next((n for n in order if n.name == "body"), root)
-    for node in path:  # the highest ancestor below the body whose other parts are as dense as this way, takes them along
-        if node.parent is not None and node.parent is not root and node.parent.name not in ("html", "body"):
-            continue
-        kept = []
-        for p in (node.parent or body).parts:
-            if p is node:
-                kept.append(p)
-            elif not isinstance(p, str) and p.chars and (p.density >= threshold or re.fullmatch("h[1-6]", p.name)) and 2 * p.link_chars < p.chars:
-                kept.append(p)
-        return kept or [best]
-    return [best]
+    end = next(k for k, n in enumerate(path) if n.name in ("", "html", "body"))
+    body = path[end]
+    if body is best:
+        return [best]
+    threshold = min(n.density for n in path[: end + 1])
+    # the highest ancestor below the body takes along the other parts that are as dense as this way, and the body's bare text
+    top, taken = path[end - 1], Node("", "", None)
+    for p in body.parts:
+        if p is top or isinstance(p, str):
+            taken.parts.append(p)
+        elif p.name == "br" or p.chars and (p.density >= threshold or p.name in INLINE or re.fullmatch("h[1-6]", p.name)) and 2 * p.link_chars < p.chars:
+            taken.parts.append(p)
+    return [taken]
 
 
 def blocks(node: Node) -> list[str]:

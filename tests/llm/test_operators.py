@@ -402,5 +402,16 @@ def test_html(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_html_fragments_and_bare_text():
+    long = "many words are in here and more " * 16
+    full = " ".join(long.split())
+    for page in (f"<p>{long}<p>Short closing words.", f"<body><p>{long}<p>Short closing words.", f"<html><body><p>{long}</p><p>Short closing words.</p></body></html>"):
+        assert html_main.main_text(page) == f"{full}\nShort closing words."
+    assert html_main.main_text(f"Bare <b>words</b> first<p>{long}</p>and last") == f"Bare words first\n{full}\nand last"
+    inner = f"<div><div><p>{long}</p><p>{long}</p></div></div>"
+    for page in (f"Before <i>it</i>{inner}after", f"<body>Before <i>it</i>{inner}after</body>"):
+        assert html_main.main_text(page) == f"Before it\n{full}\n{full}\nafter"
+
+
 def test_very_deep_page():
     assert html_main.main_text("<div>" * 20_000 + "deep") == "deep"
