@@ -38,8 +38,8 @@ from foliospark.llm.common import Stored, crc_of_id
 
 #: Word that ends a text; a blank can't be in any other word.
 END = b" "
-HEAD, MEMBERS, TAILS = 512, 32, 16
-WIDTH = 32
+HEAD, MEMBERS, TAILS = 2048, 64, 32
+WIDTH = 64
 ROWS = 1 << 15
 #: Most frequent words whose counts are broadcast (a few MB); the rest is joined.
 NEAR = 100_000

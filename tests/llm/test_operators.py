@@ -213,6 +213,12 @@ def test_language_model_sums_to_one():
     assert math.isclose(total + tails, 1, rel_tol=1e-5)
 
 
+def test_language_model_head_has_the_former_size(spark):
+    counts = spark.range(3000).selectExpr("cast(concat('w', id) as binary) as word", "3001 - id as n")
+    v = maxent.vocabulary(counts)
+    assert {b"w%d" % k for k in range(2048)} <= set(v.place)
+
+
 def test_language_model_odd(spark):
     assert maxent.score_documents(spark, odd(spark)).count() == len(ODD)
     assert maxent.score_documents(spark, none(spark)).count() == 0
