@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.shared import shared_dir
+
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """Those of the columns that there are, in the order asked for."""
@@ -127,13 +129,10 @@ def prefix_by_size(df: DataFrame, order: list[Column], most: int, size: Column)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows kept and the lineage cut: in the folder of spark.checkpoint.dir, or where that is unset in the executors."""
+    """The rows written to the shared folder and the lineage cut, which would else grow by a power over the rounds."""
     sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.localCheckpoint()  # persist keeps the lineage, which grows by a power over the rounds
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -1,18 +1,17 @@
 """Queries on event logs; streams run to the end of what there is, and their results are read back."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from foliospark.plans import sqlguard
 from foliospark.queries import Tables, query
+from foliospark.shared import shared_dir
 from foliospark.streaming import events
 
 
 def _shared(t: Tables) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='folio-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _log(t: Tables):
