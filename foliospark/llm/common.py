@@ -4,29 +4,22 @@ from __future__ import annotations
 
 import atexit
 import math
-import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.shared import shared_dir
+
 #: Edges in a file between the rounds of connected_components.
 EDGES_A_FILE = 250_000
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='folio-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 class Stored:
     """A table written to the shared folder: its rows survive lost executors and its lineage is cut."""
 
@@ -44,18 +37,35 @@ class Stored:
 
     def drop(self) -> None:
         """Deletes the files; no plan may read the table afterwards."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        if (self.spark, self.path) in _written:
-            _written.remove((self.spark, self.path))
+        _delete(self.spark, self.path)
+
+
+@contextmanager
+def freeing() -> Iterator[Callable[[Stored], Stored]]:
+    """Tables stored inside are dropped at the end, but for those handed to the function that this gives."""
+    before, stay = {p for _, p in _written}, set()
+
+    def keep(table: Stored) -> Stored:
+        stay.add(table.path)
+        return table
+
+    yield keep
+    for spark, path in [x for x in _written if x[1] not in before and x[1] not in stay]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if (spark, path) in _written:
+        _written.remove((spark, path))
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in list(_written):
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the cluster's own cleaner of the shared folder is left
             return
 

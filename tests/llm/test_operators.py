@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from foliospark.llm import chat, covertree, decontaminate, html_main, maxent, mixing, quality, simhash, tokencount, toxicity
-from foliospark.llm.common import connected_components, fresh
+from foliospark.llm.common import Stored, connected_components, fresh
 
 rng = random.Random(11)
 WORDS = [f"w{k}" for k in range(60)]
@@ -279,7 +279,8 @@ def test_simhash(spark):
 def test_simhash_ball(spark):
     fps = [0, 1, 3, 7, 1 << 63, (1 << 63) | 5, 0xFFFF]
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = connected_components(simhash.link_fingerprints(spark.createDataFrame([(x,) for x in signed], "fp long"))).df.collect()
+    fps = Stored(spark.createDataFrame([(x,) for x in signed], "fp long"), {"n": F.count(F.lit(1))})
+    got = connected_components(simhash.link_fingerprints(fps)).df.collect()
     assert len(got) == 6
 
 
