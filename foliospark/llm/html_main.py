@@ -1,18 +1,26 @@
 """Main text of web pages by composite text density.
 
-Every node of the page's tree gets a density: characters per tag in its subtree, lowered the more of its characters and
-tags belong to links (Sun et al., "DOM based content extraction via text density", 2011). The subtree whose children
-have the largest sum of densities holds the article. The least density on the way from there up to and including the body is the
-threshold by which other parts beside that way are taken along.
+Every node of the page's tree gets a density: characters per tag in its subtree times a logarithm that is lower the more of its
+characters and tags belong to links (Sun et al., "DOM based content extraction via text density", 2011):
 
-Menus, page headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments are cut out of
-the tree by element, role and class before densities are computed.
+    chars / tags * log_b(chars / link chars * tags / link tags),  b = ln(chars / other chars * link chars + share * chars + e)
+
+with the body's share of link characters. Bases below 2 count as 2: logarithms to a base near 1, as on pages without links,
+would favour the smallest nodes. Text and inline elements between blocks are a unit of their own with its own density.
+
+The subtree whose children have the largest sum of densities holds the article. The least density on the way from there up to
+and including the body is the threshold: beside that way, blocks that are as dense, headings and bare text are taken along;
+inside the subtree what is less dense and mostly links goes. An ``article`` element around the subtree is taken whole.
+
+Before, menus, page headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments are cut out by
+element and role, and by class and id names that as a whole say so (``side-effects`` isn't a side bar). Names other than
+those of comments don't count where they would take most of the page's text.
 
 Text comes out in blocks in page order: character references decoded, white space inside a block turned into one space,
-ends trimmed, blocks joined by a line feed. Nothing is dropped for its length.
+ends trimmed, blocks joined by a line feed. Nothing is dropped for its length. Time is linear in the page's length.
 
 Defined cases: null or empty html gives an empty text; unclosed, stray and misnested tags are closed as browsers would
-close the common cases; every row gives a row; other columns aren't read.
+close the common cases, a tag that never ends hides the rest of the page; every row gives a row; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,16 +28,18 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S
-)
-_ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*+)([^<>\"']*+)>")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_IN_TAG = re.compile(r"(=\s*+)?([\"'])|>")
+_ATTR = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 
 # Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,14 +57,20 @@ DROPPED = frozenset(
     "option textarea input label dialog menu title".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-NOISE = re.compile(
-    r"(?:ad|ads|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|sidebar|side|widget|menu|nav|navbar|navigation|navi|breadcrumb\w*|footer|foot|footnav|"
-    r"masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|replies|share|sharing|social|related|recommend\w*|pagination|"
-    r"pager|skip|login|search)\Z"
+# Words that name what isn't the article; a class or id says so if all its words are from these lists.
+COMMENTS = frozenset("comment comments commentlist commenter disqus respond reply replies".split())
+NOISE = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert "
+    "popup modal overlay newsletter subscribe subscription signup sidebar aside side menu nav navbar navigation navi breadcrumb breadcrumbs "
+    "footer masthead topbar toolbar share sharing social related recommended recommendations pagination pager skip login search".split()
+)
+AROUND = frozenset(
+    "area bar block body bottom box button buttons column container content form global group header holder inner item items left link links "
+    "list main message outer page panel primary right row secondary section site slot text thread title top unit widget wrap wrapper".split()
 )
-PAGE_HEADER = frozenset(("header", "masthead"))
+PAGE_HEADER = frozenset(("header", "masthead", "site-header", "page-header"))
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that end when another of the group begins, up to the container.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -69,97 +85,179 @@ SIBLINGS = {
 }
 
 
+_CHAINS = {name: k for k, name in enumerate(SIBLINGS)}
+_CHAINED = frozenset(x for own, stop in SIBLINGS.values() for x in own | stop)
+
+
 class Node:
-    __slots__ = ("attrs", "chars", "density", "link_chars", "link_tags", "name", "parent", "parts", "score", "tags")
+    """chains: for each name in SIBLINGS the outermost element that such an element would end. p: an open paragraph that a block ends."""
+
+    __slots__ = ("attrs", "chains", "chars", "density", "link_chars", "link_tags", "name", "p", "parent", "parts", "score", "tags")
 
     def __init__(self, name: str, attrs: str, parent: Node | None):
         self.name, self.attrs, self.parent = name, attrs, parent
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
+        self.p: Node | None = self if name == "p" else parent.p if parent and name in INLINE else None
+        self.chains: tuple = parent.chains if parent else (None,) * len(SIBLINGS)
+        if name in _CHAINED:
+            self.chains = tuple(None if name in stop else held or (self if name in own else None) for held, (own, stop) in zip(self.chains, SIBLINGS.values()))
+
+
+def _tag_end(page: str, at: int, missing: set[str]) -> int:
+    """Where the tag at ``at`` has its ``>``, outside of quoted values; -1 if nowhere. missing: quotes that don't come any more."""
+    while m := _IN_TAG.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return at - 1
+        if m[1] is not None and m[2] not in missing:
+            end = page.find(m[2], at)
+            if end < 0:
+                missing.add(m[2])
+            else:
+                at = end + 1
+    return -1
 
 
 def parse(page: str) -> Node:
     root = Node("", "", None)
     at, node, end = 0, root, len(page)
+    open_: Counter = Counter()
+    missing: set[str] = set()
+
+    def up_to(target: Node) -> Node:
+        """Closes elements until target is the current one; each is closed once."""
+        now = node
+        while now is not target:
+            open_[now.name] -= 1
+            now = now.parent
+        return now
+
     while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             node.parts.append(page[at:])
             break
-        if m.start() > at:
-            node.parts.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                node.parts.append(html.escape(m[0][9:].removesuffix("]]>")))
+        m = _PLAIN_TAG.match(page, start) or _TAG_NAME.match(page, start)
+        if m is None:
+            after = page[start + 1 : start + 2]
+            if after not in ("!", "?", "/"):  # a mere character
+                node.parts.append(page[at : start + 1])
+                at = start + 1
+                continue
+            if start > at:
+                node.parts.append(page[at:start])
+            opener, closer = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(x[0], start)), ("<", ">"))
+            stop = page.find(closer, start + len(opener))
+            if len(opener) > 4:
+                node.parts.append(html.escape(page[start + 9 : stop if stop >= 0 else end]))
+            at = stop + len(closer) if stop >= 0 else end
             continue
+        if start > at:
+            node.parts.append(page[at:start])
+        if m.re is _PLAIN_TAG:
+            attrs, at = m[3], m.end()
+        else:
+            stop = _tag_end(page, m.end(), missing)
+            if stop < 0:
+                break
+            attrs, at = page[m.end() : stop], stop + 1
         name = m[2].lower()
         if m[1]:
-            up = node
-            while up is not root and up.name != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if open_[name] > 0:
+                up = node
+                while up.name != name:
+                    up = up.parent
+                node = up_to(up.parent)
             continue
-        if name in CLOSES_P:
-            up = node
-            while up is not root and (up.name == "p" or up.name in INLINE):
-                if up.name == "p":
-                    node = up.parent
-                    break
-                up = up.parent
-        if name in SIBLINGS:
-            own, stop = SIBLINGS[name]
-            up, last = node, None
-            while up is not root and up.name not in stop:
-                if up.name in own:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        child = Node(name, m[3], node)
+        if name in CLOSES_P and node.p is not None:
+            node = up_to(node.p.parent)
+        if name in _CHAINS and (held := node.chains[_CHAINS[name]]) is not None:
+            node = up_to(held.parent)
+        child = Node(name, attrs, node)
         node.parts.append(child)
-        if name in VOID or m[3].endswith("/") and name not in INLINE and name not in CLOSES_P:
+        if name in VOID or attrs.endswith("/") and name not in INLINE and name not in CLOSES_P:
             continue
         if name in RAW:
-            m = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
-            stop = m.start() if m else -1
-            child.parts.append(page[at : stop if stop >= 0 else end])
-            at = page.find(">", stop) + 1 if stop >= 0 else end
+            m = _raw_end(name).search(page, at)
+            child.parts.append(page[at : m.start() if m else end])
+            at = page.find(">", m.start()) + 1 if m else end
             at = at or end
             continue
+        open_[name] += 1
         node = child
     return root
 
 
+@lru_cache(maxsize=32)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(name)}", re.I)
+
+
 def is_noise(node: Node, inside: bool) -> bool:
-    """Whether the element isn't part of any article. inside: of an article or main element."""
+    """Whether the element by its kind isn't part of any article. inside: of an article or main element."""
     if node.name in DROPPED or node.name == "header" and not inside:
         return True
     if not node.attrs or node.name in ("html", "body", "article", "main"):
         return False
-    for key, *values, bare in _ATTR.findall(node.attrs):
-        key, value = (key or bare).lower(), "".join(values).lower()
+    for key, *values in _ATTR.findall(node.attrs):
+        key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key == "role" and value in ROLES or key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key in ("class", "id"):
-            for word in re.split(r"[\s_\-]+", value):
-                if NOISE.match(word) or word in PAGE_HEADER and not inside:
-                    return True
     return False
 
 
+def named_noise(node: Node, inside: bool) -> frozenset[str]:
+    """The words by which a class or id says that the element isn't part of the article."""
+    if not node.attrs or node.name in ("html", "body", "article", "main"):
+        return frozenset()
+    found: set[str] = set()
+    for key, *values in _ATTR.findall(node.attrs):
+        if key.lower() in ("class", "id"):
+            for name in "".join(values).lower().split():
+                words = {w for w in re.split(r"[_\-0-9]+", name) if w}
+                if words & NOISE and words <= NOISE | AROUND:
+                    found |= words & NOISE
+                elif name in PAGE_HEADER and not inside:
+                    found.add(name)
+    return frozenset(found)
+
+
 def prune(root: Node) -> None:
-    """Takes noise out of the tree, from the top down."""
-    todo = [(root, False)]
-    while todo:
-        node, inside = todo.pop()
-        inside = inside or node.name in ARTICLE
-        node.parts = [p for p in node.parts if isinstance(p, str) or not is_noise(p, inside)]
-        todo += [(p, inside) for p in node.parts if not isinstance(p, str)]
+    """Takes noise out of the tree, from the top down: by kind, then by name where enough text is left."""
+    for names in (False, True):
+        todo, cut, comments = [(root, False)], [], []
+        while todo:
+            node, inside = todo.pop()
+            inside = inside or node.name in ARTICLE
+            kept: list[Node | str] = []
+            without_comments: list[Node | str] = []
+            for p in node.parts:
+                if isinstance(p, str):
+                    says = False
+                elif names:
+                    says = named_noise(p, inside)
+                else:
+                    says = is_noise(p, inside)
+                if not says:
+                    kept.append(p)
+                if not says or names and not says & COMMENTS:
+                    without_comments.append(p)
+            if len(kept) < len(node.parts):
+                cut.append((node, without_comments))
+                node.parts = kept
+            todo += [(p, inside) for p in kept if not isinstance(p, str)]
+        if not names:
+            count(root)
+            whole = root.chars - root.link_chars
+        elif cut:
+            count(root)
+            if 4 * (root.chars - root.link_chars) < whole and not any(n.name in ARTICLE and n.chars for n in nodes_of(root)):
+                for node, parts in cut:
+                    node.parts = parts
 
 
 def nodes_of(root: Node) -> list[Node]:
@@ -172,10 +270,10 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-def weigh(root: Node) -> None:
-    """Densities of all nodes and the sums over their children."""
-    order = nodes_of(root)
-    for node in reversed(order):
+def count(root: Node) -> None:
+    """Characters and tags of all subtrees, and those that belong to links."""
+    for node in reversed(nodes_of(root)):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += sum(map(len, part.split()))
@@ -187,43 +285,94 @@ def weigh(root: Node) -> None:
         if node.name == "a":
             node.link_chars = node.chars
             node.link_tags += 1
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    ratio = chars / max(1, link_chars) * tags / max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    return chars / tags * max(0.0, math.log(ratio)) / math.log(max(2.0, base))
+
+
+class Unit:
+    """A block below a node, or a run of text and inline elements between blocks."""
+
+    __slots__ = ("chars", "density", "link_chars", "node", "parts")
+
+    def __init__(self, parts: list[Node | str], node: Node | None, share: float):
+        self.parts, self.node = parts, node
+        if node is not None:
+            self.chars, self.link_chars, self.density = node.chars, node.link_chars, node.density
+            return
+        own = [p for p in parts if not isinstance(p, str)]
+        self.chars = sum(p.chars for p in own) + sum(len(w) for p in parts if isinstance(p, str) for w in p.split())
+        self.link_chars = sum(p.link_chars for p in own)
+        self.density = density(self.chars, sum(p.tags + 1 for p in own), self.link_chars, sum(p.link_tags for p in own), share)
+
+    @property
+    def linked(self) -> bool:
+        return 2 * self.link_chars >= self.chars > 0
+
+
+def units(node: Node, share: float) -> list[Unit]:
+    out: list[Unit] = []
+    run: list[Node | str] = []
+    for p in node.parts:
+        if isinstance(p, str) or p.name in INLINE:
+            run.append(p)
+            continue
+        if run:
+            out.append(Unit(run, None, share))
+            run = []
+        out.append(Unit([p], p, share))
+    if run:
+        out.append(Unit(run, None, share))
+    return out
+
+
+def weigh(root: Node) -> float:
+    """Densities of all nodes and the sums over their children; the share of link characters."""
+    count(root)
+    order = nodes_of(root)
     share = root.link_chars / max(1, root.chars)
     for node in order:
-        if node.chars:
-            tags, other = max(1, node.tags), max(1, node.chars - node.link_chars)
-            base = math.log(node.chars / other * node.link_chars + share * node.chars + math.e)
-            ratio = node.chars / max(1, node.link_chars) * tags / max(1, node.link_tags)
-            node.density = node.chars / tags * max(0.0, math.log(max(ratio, 1.0)) / max(base, 1.0))
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in order:
-        node.score = sum(p.density for p in node.parts if not isinstance(p, str) and p.name not in INLINE)
+        if any(not isinstance(p, str) and p.name not in INLINE for p in node.parts):
+            node.score = sum(u.density for u in units(node, share))
+    return share
 
 
-def choose(root: Node) -> list[Node]:
-    """The parts of the tree that hold the article, in page order."""
+def choose(root: Node) -> Node:
+    """The part of the tree that holds the article."""
+    share = weigh(root)
     order = nodes_of(root)
     best = max(order, key=lambda n: n.score)
     if not best.score:
-        best = next((n for n in order if n.name in ARTICLE), None) or next((n for n in order if n.name == "body"), root)
+        best = next((n for n in order if n.name == "article" and n.chars), None) or next((n for n in order if n.name == "body"), root)
     path, node = [], best
     while node is not None:
         path.append(node)
         node = node.parent
-    marked = [n for n in path if n.name in ARTICLE]
-    if marked:
-        return [marked[-1]]
-    end = next(k for k, n in enumerate(path) if n.name in ("", "html", "body"))
-    body = path[end]
-    if body is best:
-        return [best]
-    threshold = min(n.density for n in path[: end + 1])
-    # the highest ancestor below the body takes along the other parts that are as dense as this way, and the body's bare text
-    top, taken = path[end - 1], Node("", "", None)
-    for p in body.parts:
-        if p is top or isinstance(p, str):
-            taken.parts.append(p)
-        elif p.name == "br" or p.chars and (p.density >= threshold or p.name in INLINE or re.fullmatch("h[1-6]", p.name)) and 2 * p.link_chars < p.chars:
-            taken.parts.append(p)
-    return [taken]
+    articles = [n for n in path if n.name == "article"]
+    if articles:
+        return articles[-1]
+    end = next(k for k, n in enumerate(path) if n.name in ("", "html", "body", "main"))
+    way = path[: end + 1]
+    threshold = min(n.density for n in way)
+    for k, node in enumerate(way):
+        kept: list[Node | str] = []
+        for u in units(node, share):
+            beside = k and u.node is not None and u.node is not way[k - 1]
+            if k and u.node is not None and u.node is way[k - 1] or not u.linked and (not beside or u.density >= threshold or u.node.name in HEADINGS) or not beside and u.density >= threshold:
+                kept += u.parts
+            elif not u.chars:
+                kept += u.parts
+        if k or any(not isinstance(p, str) or p.strip() for p in kept):
+            node.parts = kept
+    return way[-1]
 
 
 def blocks(node: Node) -> list[str]:
@@ -261,8 +410,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     prune(root)
-    weigh(root)
-    return "\n".join(x for node in choose(root) for x in blocks(node))
+    return "\n".join(blocks(choose(root)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

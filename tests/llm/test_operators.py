@@ -422,3 +422,74 @@ def test_html_fragments_and_bare_text():
 
 def test_very_deep_page():
     assert html_main.main_text("<div>" * 20_000 + "deep") == "deep"
+
+
+PARAGRAPH = "This is a long paragraph with many words that say a lot of things about the topic at hand. " * 5
+FULL = PARAGRAPH.strip()
+
+
+def test_links_beside_the_article_go_with_and_without_a_wrapper():
+    inner = f"<a href=1>Link one</a> <a href=2>Link two</a> <a href=3>Link three</a><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>Short.</p><a href=x>Older posts</a>"
+    for page in (f"<body>{inner}</body>", f"<body><div id=wrap>{inner}</div></body>", f"<body><div><div id=wrap>{inner}</div></div><div><a href=1>More</a></div></body>"):
+        assert html_main.main_text(page) == f"{FULL}\n{FULL}\nShort."
+
+
+def test_names_that_only_look_like_noise_are_kept():
+    for name in ("ad-hoc notes", "side-effects", "search-methods", "related-work", "notice"):  # the last holds all the text there is
+        assert html_main.main_text(f"<body><div class='{name}'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></body>") == f"{FULL}\n{FULL}"
+    assert html_main.main_text(f"<article><p>{PARAGRAPH}</p><div class='search-methods'><p>{PARAGRAPH}</p></div></article>") == f"{FULL}\n{FULL}"
+    page = f"<body><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div class='ad-slot-3'>Buy</div><div id='comment-list'><p>{PARAGRAPH * 9}</p></div></body>"
+    assert html_main.main_text(page) == f"{FULL}\n{FULL}"
+
+
+def test_an_article_keeps_its_links_and_short_parts():
+    page = f"<body><nav><a href=1>x</a></nav><article><h1>T</h1><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><p><a href=2>The full report</a></p><div>End.</div></article></body>"
+    assert html_main.main_text(page) == f"T\n{FULL}\n{FULL}\nThe full report\nEnd."
+
+
+def test_densities_by_brute_force():
+    r = random.Random(4)
+
+    def build(depth):
+        out = []
+        for _ in range(r.randrange(1, 5)):
+            kind = r.choice("ttpdab") if depth else "t"
+            out.append(text(r.randrange(1, 9)) if kind == "t" else f"<{kind if kind != 'd' else 'div'} href=x>{build(depth - 1)}</{kind if kind != 'd' else 'div'}>")
+        return " ".join(out)
+
+    for _ in range(30):
+        root = html_main.parse(f"<div>{build(4)}</div>")
+        share = html_main.weigh(root)
+
+        def sums(node, link=False):
+            link = link or node.name == "a"
+            got = [0, 0, 0, int(node.name == "a")]
+            for p in node.parts:
+                if isinstance(p, str):
+                    n = len("".join(p.split()))
+                    got = [got[0] + n, got[1], got[2] + n * link, got[3]]
+                else:
+                    c = sums(p, link)
+                    got = [got[0] + c[0], got[1] + c[1] + 1, got[2] + c[2], got[3] + c[3]]
+            return got
+
+        everything = sums(root)
+        assert math.isclose(share, everything[2] / max(1, everything[0]))
+        for node in html_main.nodes_of(root):
+            c, t, lc, lt = sums(node)
+            if any(n.name == "a" for n in iter(lambda a=[node]: a.__setitem__(0, a[0].parent) or a[0], None)):
+                continue  # inside a link the link's characters count from the link on
+            base = max(2, math.log(c / max(1, c - lc) * lc + share * c + math.e))
+            want = c / max(1, t) * max(0, math.log(c / max(1, lc) * max(1, t) / max(1, lt), base)) if c else 0
+            assert math.isclose(node.density, want, abs_tol=1e-9)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 20_000
+    html_main.main_text("<div>" * 1000)
+    began = time.process_time()
+    for page in ("<div>" * n + "</b>" * n, "<a " * n, '<a x="' * n, "<div>" * n + "<li>" * n, "<b>" * n + "<hr>" * n, "<a x='" * n + ">", "<table>" * n + "<td>" * n, "<!--" * n):
+        html_main.main_text(page)
+    assert time.process_time() - began < 30  # quadratic, each would take minutes
