@@ -1,21 +1,26 @@
 """Language-model scores of a hashed maximum-entropy model with a class-factored softmax.
 
-    P(word | history) = P(class | history) * P(word | class, history)
+    P(word | history) = P(class | history) * P(member | class, history)
 
 Classes: the ``HEAD`` most frequent training words are dealt by frequency over classes of ``MEMBERS`` words; every other
-word, known or not, belongs to one of ``TAILS`` classes by a hash of its last two bytes. Both factors of a head word are
-softmaxes over sums of hashed weights of n-gram and skip features: the last word, the last two, the last three, the word
-before the last, and the one before that. A tail class shares its probability out by add-one counts, with one place for
-unknown words: (c + 1) / (N_class + V_class + 1). So the probabilities of a text's tokens sum to one over all continuations.
-
-Training is a distributed update of generalised iterative scaling over every token of the training documents, from the
-unigram model: each task counts, for each hashed row, how often each outcome came after it; the counts of all tasks are
-summed by blocks of rows. What the unigram model expects of a row is its number of tokens times the unigram
-distribution, in closed form, so the step from expected to observed, log(observed / expected), needs one pass. Steps are
-damped by ``STEPS`` (a row's features act together) and by ``PRIOR`` expected tokens in each row. Sizes of what is
-collected and broadcast are fixed by the parameters: the weights (2 * ROWS * WIDTH numbers), the head's words and the
-words whose counts are looked up on the spot (``NEAR``). Counts of all other words are joined by Spark, so vocabulary and
-corpus may be of any size.
+word, known or not, belongs to one of ``TAILS`` classes by a hash of its last two bytes, and there to one of ``WIDTH`` members
+by a hash of the word. Both factors are softmaxes over a unigram term and sums of hashed weights of n-gram and skip features:
+the last word, the last two, the last three, the word before the last, and the one before that. The words of a tail member
+share its probability by add-one counts, with one place for unknown words: (c + 1) / (N_member + V_member + 1). So the
+probabilities of a text's tokens sum to one over all continuations.
+
+Training is by distributed gradient updates from the unigram model. The gradient of the log likelihood in a weight is how often
+the weight's outcome came after its feature less how often the model expects it. Each round takes a share of the training texts
+by hash: its tasks count what came, and draw one outcome for each token from the model as it is, by a hash of the token's
+history and place, so that the drawn counts are an unbiased estimate of what is expected; in the first round the expected
+counts of the unigram model are known in closed form. Counts of all tasks are summed by blocks of rows, and the step is the
+gradient over the logarithmic mean of the two counts (each with ``PRIOR`` unigram tokens more), that is
+rate * log((came + prior) / (expected + prior)), at a rate that falls with the rounds. ``ROUNDS`` rounds are an epoch, in which
+every training token teaches once. Results don't depend on how rows are dealt over tasks.
+
+Sizes of what is collected and broadcast are fixed by the parameters: the weights ((ROWS + MEMBER_ROWS) * WIDTH numbers), the
+head's words and the words whose counts are looked up on the spot (``NEAR``). Counts of all other words are joined by Spark, so
+vocabulary and corpus may be of any size.
 
 Defined cases: null text is empty and has its end token only; a null doc_id is a training row; without training tokens every
 word is unknown; repeated rows count and are scored each; other columns aren't read.
@@ -40,18 +45,24 @@ from foliospark.llm.common import Stored, crc_of_id
 END = b" "
 HEAD, MEMBERS, TAILS = 2048, 64, 32
 WIDTH = 64
-ROWS = 1 << 15
+#: Rows of weights for classes and, for all classes together, for members; each feature has its share of them, in sixteenths.
+ROWS, MEMBER_ROWS = 1 << 15, 1 << 16
+SHARES = (4, 4, 4, 2, 2)
 #: Most frequent words whose counts are broadcast (a few MB); the rest is joined.
 NEAR = 100_000
-#: Steps of the five features, and the expected tokens that each row is given.
-STEPS, PRIOR = (0.7, 0.3, 0.2, 0.4, 0.3), 150.0
-#: Tokens scored at once.
-CHUNK = 1 << 15
+#: Rates of the five features, their fall by round, and the unigram tokens that each row is given.
+RATES, FALL, PRIOR = (0.7, 0.3, 0.2, 0.4, 0.3), 0.8, 150.0
+EPOCHS, ROUNDS = 1, 3
+#: Bound of a weight.
+MOST = 6.0
+#: Tokens whose logits are held at once (they fit a core's cache), and tokens of a group of texts.
+CHUNK, GROUP = 1 << 11, 1 << 16
 HEADS = HEAD // MEMBERS
 CLASSES = HEADS + TAILS
-assert CLASSES <= WIDTH and MEMBERS <= WIDTH and ROWS % HEADS == 0
+OWN_ROWS = MEMBER_ROWS // CLASSES
+assert CLASSES <= WIDTH and MEMBERS <= WIDTH and MEMBER_ROWS % CLASSES == 0 and OWN_ROWS % 16 == 0 and sum(SHARES) == 16
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-FEATURES = 5
+FEATURES = len(SHARES)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -60,8 +71,9 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
-def tail_class(word: bytes) -> int:
-    return HEADS + xxhash.xxh32_intdigest(word[-2:]) % TAILS
+def tail_place(word: bytes) -> tuple[int, int]:
+    """Class and member of a word that isn't of the head."""
+    return HEADS + xxhash.xxh32_intdigest(word[-2:]) % TAILS, xxhash.xxh32_intdigest(word) % WIDTH
 
 
 def training(c: Column) -> Column:
@@ -94,105 +106,133 @@ def features(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Classes of words, and counts of the frequent ones. near: word -> count, a bounded map; head in order of frequency."""
+    """Classes of words, and counts of the frequent ones. near: word -> count, a bounded map; head in order of frequency.
+
+    tail_n, tail_v: tokens and distinct words of each tail class and member.
+    """
 
     def __init__(self, near: dict[bytes, int], head: list[bytes], total: int, distinct: int, tail_n: np.ndarray, tail_v: np.ndarray):
         self.near, self.total, self.distinct = near, total, distinct
         self.place = {w: (k // MEMBERS, k % MEMBERS) for k, w in enumerate(head)}
-        counts = np.zeros((HEADS, MEMBERS))
+        mass = np.zeros((CLASSES, WIDTH))
         for w, (c, m) in self.place.items():
-            counts[c, m] = near[w]
-        self.members = np.full((HEADS, WIDTH), -1e9, np.float32)
-        self.members[:, :MEMBERS] = np.where(counts > 0, np.log(np.maximum(counts, 1)) - np.log(np.maximum(counts.sum(1, keepdims=True), 1)), -1e9)
-        mass = np.concatenate((counts.sum(1), tail_n + tail_v + 1.0))
-        has = np.concatenate(((counts > 0).any(1), np.ones(TAILS, bool)))
-        self.classes = np.full(WIDTH, -1e9, np.float32)
-        self.classes[:CLASSES] = np.where(has, np.log(np.maximum(mass, 1)) - math.log(mass.sum()), -1e9)
-        self.tail_log = np.log10(tail_n + tail_v + 1.0)
+            mass[c, m] = near[w]
+        mass[HEADS:] = tail_n + tail_v + 1.0
+        whole = mass.sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.members = np.where(mass > 0, np.log(mass) - np.log(whole), -1e9).astype(np.float32)
+            self.classes = np.full(WIDTH, -1e9, np.float32)
+            self.classes[:CLASSES] = np.where(whole[:, 0] > 0, np.log(whole[:, 0]) - math.log(whole.sum()), -1e9)
+        self.tail_log = np.log10(mass[HEADS:])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+class Words(dict):
+    """Per task: word -> place in arrays of what is known of it; for a bounded number of words.
 
+    Arrays: hash, class, member, whether of the head, whether the count is at hand, and log10(count + 1) if it is.
+    """
 
-class Words(dict):
-    """Per task: word -> place in arrays of hash, class and member; for a bounded number of words."""
+    KINDS = (np.uint64, np.int64, np.int64, bool, bool, np.float64)
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
-        self.new: list[tuple[int, int, int]] = []
-        self.ids, self.classes, self.members = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.all: list[bytes] = []
+        self.new: list[tuple] = []
+        self.known = [np.zeros(0, k) for k in self.KINDS]
 
     def __missing__(self, word: bytes) -> int:
-        got = self.v.place.get(word)
-        self.new.append((xxhash.xxh64_intdigest(word), *(got if got else (tail_class(word), -1))))
+        got, c = self.v.place.get(word), self.v.near.get(word)
+        self.new.append((xxhash.xxh64_intdigest(word), *(got or tail_place(word)), got is not None, c is not None, math.log10((c or 0) + 1)))
+        self.all.append(word)
         at = self[word] = len(self)
         return at
 
-    def arrays(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, classes, members (-1: tail) and each token's text's first place."""
+    def arrays(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Of each token: the word's place here, its arrays, and the place of its text's first token."""
         if len(self) > 150_000:
             self.clear()
-            self.ids, self.classes, self.members = self.ids[:0], self.classes[:0], self.members[:0]
+            self.all.clear()
+            self.known = [x[:0] for x in self.known]
         sizes = [len(t) for t in texts]
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
         if self.new:
-            h, c, m = zip(*self.new)
-            self.ids = np.concatenate((self.ids, np.array(h, np.uint64)))
-            self.classes, self.members = np.concatenate((self.classes, c)), np.concatenate((self.members, m))
+            self.known = [np.concatenate((x, np.array(y, x.dtype))) for x, y in zip(self.known, zip(*self.new))]
             self.new = []
-        return self.ids[at], self.classes[at], self.members[at], np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        return at, *[x[at] for x in self.known], np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+
+
+def _feature_rows(f: np.ndarray, rows: int) -> np.ndarray:
+    """Each feature's row among ``rows``, of which each feature has its own run."""
+    size = np.array(SHARES, np.uint64)[:, None] * np.uint64(rows // 16)
+    start = (np.cumsum((0, *SHARES[:-1])) * (rows // 16))[:, None]
+    return ((f >> np.uint64(17)) % size).astype(np.int64) + start
+
+
+def feature_of_row(rows: int) -> np.ndarray:
+    return np.repeat(np.arange(FEATURES), np.array(SHARES) * (rows // 16))
 
 
 class Weights:
-    """Two tables of hashed rows: for classes, and for members of a head class. Sums over features are added to the unigram's."""
+    """Two tables of hashed rows: for classes, and for members, where each class has its own run of rows."""
 
     def __init__(self):
-        self.c = np.zeros((ROWS, WIDTH), np.float32)
-        self.m = np.zeros((ROWS, WIDTH), np.float32)
+        self.tables = [np.zeros((ROWS, WIDTH), np.float32), np.zeros((MEMBER_ROWS, WIDTH), np.float32)]
 
     @staticmethod
-    def class_rows(f: np.ndarray) -> np.ndarray:
-        return ((f >> np.uint64(17)) % np.uint64(ROWS)).astype(np.int64)
+    def rows(f: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _feature_rows(f, ROWS), _feature_rows(f, OWN_ROWS) + classes * OWN_ROWS
 
-    @staticmethod
-    def member_rows(f: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Each head class has its own run of rows."""
-        return ((f >> np.uint64(17)) % np.uint64(ROWS // HEADS)).astype(np.int64) + classes * (ROWS // HEADS)
+    def masses(self, table: int, rows: np.ndarray, classes: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """exp of the logits; weights are bounded, so these are too."""
+        w = self.tables[table]
+        out = w.take(rows[0], 0)
+        for r in rows[1:]:
+            out += w.take(r, 0)
+        out += v.members.take(classes, 0) if table else v.classes
+        return np.exp(out, out=out)
 
-    @staticmethod
-    def _gathered(start: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        out = start + table[rows[0]] * np.float32(STEPS[0])
-        for r, step in zip(rows[1:], STEPS[1:]):
-            out += table[r] * np.float32(step)
-        return out
 
-    def class_logs(self, f: np.ndarray, v: Vocabulary) -> np.ndarray:
-        return _log_softmax(self._gathered(v.classes, self.c, self.class_rows(f)))
+def observe(counts: list[np.ndarray], rows: tuple[np.ndarray, np.ndarray], outcomes: tuple[np.ndarray, np.ndarray]) -> None:
+    """Adds to counts, flat for both tables, how often each outcome came after each row."""
+    for own, r, o in zip(counts, rows, outcomes):
+        own += np.bincount((r * WIDTH + o).ravel(), minlength=len(own))
 
-    def member_logs(self, f: np.ndarray, classes: np.ndarray, v: Vocabulary) -> np.ndarray:
-        return _log_softmax(self._gathered(v.members[classes], self.m, self.member_rows(f, classes)))
 
+def draw(mass: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """An outcome for each row of masses, by numbers u in [0, 1)."""
+    up = np.cumsum(mass, 1)
+    return np.minimum((up <= (u * up[:, -1])[:, None].astype(np.float32)).sum(1), WIDTH - 1)
+
+
+def chances(f: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers in [0, 1) for each token, by its history and its place in the text."""
+    with np.errstate(over="ignore"):
+        h = _mixed(f[2] + place.astype(np.uint64) * _SALTS[0])
+    return (h >> np.uint64(32)) / 2.0**32, (h & np.uint64(0xFFFFFFFF)) / 2.0**32
 
-def observe(counts: np.ndarray, f: np.ndarray, classes: np.ndarray, members: np.ndarray) -> None:
-    """Adds to counts (2, ROWS * WIDTH) how often each outcome came after each row."""
-    n = ROWS * WIDTH
-    counts[0] += np.bincount((Weights.class_rows(f) * WIDTH + classes).ravel(), minlength=n)
-    head = members >= 0
-    if head.any():
-        counts[1] += np.bincount((Weights.member_rows(f[:, head], classes[head]) * WIDTH + members[head]).ravel(), minlength=n)
 
+def expect(counts: list[np.ndarray], w: Weights, v: Vocabulary, f: np.ndarray, rows: tuple[np.ndarray, np.ndarray], classes: np.ndarray, place: np.ndarray) -> None:
+    """Adds to counts one drawn outcome for each token: of its class, and of its member given the class."""
+    u, drawn = chances(f, place), tuple(np.empty(len(classes), np.int64) for _ in range(2))
+    for a, b in _slices(len(classes)):
+        for t in range(2):
+            drawn[t][a:b] = draw(w.masses(t, rows[t][:, a:b], classes[a:b], v), u[t][a:b])
+    observe(counts, rows, drawn)
 
-def steps_of(counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """log(observed / expected) of rows of counts, each with PRIOR expected tokens more; 0 where nothing can come."""
+
+def step_of(came: np.ndarray, expected: np.ndarray | None, unigram: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The update of rows of weights; without expected counts they are the unigram model's. 0 where nothing can come."""
     p = np.exp(np.minimum(unigram, 0).astype(np.float64))
-    total = counts.sum(1, keepdims=True)
+    if expected is None:
+        expected = came.sum(1, keepdims=True) * p
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.log((counts + PRIOR * p) / ((total + PRIOR) * p))
-    return np.where(unigram > -1e8, np.clip(out, -4, 4), 0).astype(np.float32)
+        out = np.log((came + PRIOR * p) / (expected + PRIOR * p))
+    return np.where(unigram > -1e8, np.clip(out, -4, 4) * rate[:, None], 0).astype(np.float32)
+
+
+def rates(rows: np.ndarray, table_rows: int, round_: int) -> np.ndarray:
+    return np.array(RATES)[feature_of_row(table_rows)[rows]] * FALL**round_
 
 
 def _slices(total: int) -> Iterator[tuple[int, int]]:
@@ -217,111 +257,133 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    # words by steps of their count's logarithm, from the top down while they are NEAR at most; no task sends more than these
+    """Head and near words are the most frequent ones, by steps of their count's logarithm from the top down; of the step that
+    NEAR cuts through, words by a hash. No task sends more than these."""
     step = F.floor(F.log2("n") * 32)
-    least, room = None, NEAR
+    least, room, share = None, NEAR, 0
     for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.s):
+        least, share = r.s, min(1 << 20, (room << 20) // r.k)
         room -= r.k
         if room < 0:
             break
-        least = r.s
-    top = counts.where(step >= least).collect() if least is not None else []
-    near = {bytes(r.word): r.n for r in sorted(top, key=lambda r: (-r.n, bytes(r.word)))}
+    picked = (step > least) | (step == least) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share) if least is not None else F.lit(False)
+    near = {bytes(r.word): r.n for r in sorted(counts.where(picked).collect(), key=lambda r: (-r.n, bytes(r.word)))}
     head = list(near)[:HEAD]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
+        n, v = np.zeros(TAILS * WIDTH, np.int64), np.zeros(TAILS * WIDTH, np.int64)
         for part in batches:
-            c = np.fromiter((tail_class(bytes(w)) - HEADS for w in part.word), np.int64, len(part))
-            n += np.bincount(c, part.n.values, TAILS).astype(np.int64)
-            v += np.bincount(c, minlength=TAILS)
-        yield pd.DataFrame({"c": np.arange(TAILS), "n": n, "v": v})
+            c = np.fromiter(((c - HEADS) * WIDTH + m for c, m in map(tail_place, map(bytes, part.word))), np.int64, len(part))
+            n += np.bincount(c, part.n.values, len(n)).astype(np.int64)
+            v += np.bincount(c, minlength=len(v))
+        at = np.flatnonzero(v)
+        yield pd.DataFrame({"c": at, "n": n[at], "v": v[at]})
 
     got = counts.mapInPandas(work, "c int, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    n, v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
+    n, v = np.zeros((TAILS, WIDTH), np.int64), np.zeros((TAILS, WIDTH), np.int64)
     for r in got:
-        n[r.c], v[r.c] = r.n, r.v
+        n.flat[r.c], v.flat[r.c] = r.n, r.v
     total, distinct = int(n.sum()), int(v.sum())
     for w in head:
-        n[tail_class(w) - HEADS] -= near[w]
-        v[tail_class(w) - HEADS] -= 1
+        c, m = tail_place(w)
+        n[c - HEADS, m] -= near[w]
+        v[c - HEADS, m] -= 1
     return Vocabulary(near, head, total, distinct, n, v)
 
 
+#: Rows of weights whose counts travel together.
 _BLOCK = 256
 
 
-def train(spark: SparkSession, docs: DataFrame, v: Vocabulary) -> Weights:
-    """One pass over all training tokens, in parallel; counts are summed where the blocks of rows meet."""
-    shared = spark.sparkContext.broadcast(v)
+def grouped(texts: Iterator[str | None], size: int) -> Iterator[list[list[bytes]]]:
+    group: list[list[bytes]] = []
+    n = 0
+    for text in texts:
+        group.append(tokens_of(text))
+        n += len(group[-1])
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
+def counts_of(groups: Iterator[list[list[bytes]]], v: Vocabulary, w: Weights | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What came, and what the model's draws give (nothing for w = None), flat for both tables."""
+    words = Words(v)
+    came, drawn = ([np.zeros(r * WIDTH, np.int32) for r in (ROWS, MEMBER_ROWS)] for _ in range(2))
+    for group in groups:
+        _, ids, classes, members, _, _, _, first = words.arrays(group)
+        f = features(ids, first)
+        rows = Weights.rows(f, classes)
+        observe(came, rows, (classes, members))
+        if w is not None:
+            expect(drawn, w, v, f, rows, classes, np.arange(len(ids)) - first)
+    return came, drawn
+
+
+def round_of(spark: SparkSession, docs: DataFrame, v: Vocabulary, w: Weights, k: int, rounds: int) -> None:
+    """One update of w by the share of the training rows whose turn it is; counts are summed where the blocks of rows meet."""
+    shared = spark.sparkContext.broadcast((v, w if k else None))
+    turn = F.pmod(F.xxhash64("text", F.lit(k // rounds)), F.lit(rounds)) == k % rounds
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(shared.value)
-        counts = np.zeros((2, ROWS * WIDTH), np.int64)
-        group: list[list[bytes]] = []
-
-        def learn() -> None:
-            ids, classes, members, first = words.arrays(group)
-            observe(counts, features(ids, first), classes, members)
-
-        size = 0
-        for part in batches:
-            for text in part.text:
-                group.append(tokens_of(text))
-                size += len(group[-1])
-                if size >= 4 * CHUNK:
-                    learn()
-                    group.clear()
-                    size = 0
-        if group:
-            learn()
-        for k in range(2):
-            for b in range(ROWS // _BLOCK):
-                own = counts[k, b * _BLOCK * WIDTH : (b + 1) * _BLOCK * WIDTH]
-                if own.any():
-                    yield pd.DataFrame({"block": [2 * b + k], "n": [own.astype(np.int32).tobytes()]})
-
-    counted = docs.where(training(F.col("doc_id"))).select("text").mapInPandas(work, "block int, n binary")
+        came, drawn = counts_of(grouped((t for part in batches for t in part.text), 4 * GROUP), *shared.value)
+        blocks = [np.column_stack(x) for x in zip(came, drawn)]
+        for t, both in enumerate(blocks):
+            for b in range(len(both) // (_BLOCK * WIDTH)):
+                own = both[b * _BLOCK * WIDTH : (b + 1) * _BLOCK * WIDTH]
+                at = np.flatnonzero(own.any(1))
+                if len(at):
+                    yield pd.DataFrame({"block": [2 * b + t], "at": [at.astype(np.uint16).tobytes()], "n": [np.ascontiguousarray(own[at].T).tobytes()]})
+
+    counted = docs.where(training(F.col("doc_id")) & turn).select("text").mapInPandas(work, "block int, at binary, n binary")
+    v_classes, v_members = v.classes, v.members
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for part in batches:
-            for block, n in zip(part.block, part.n):
-                own = np.frombuffer(n, np.int32).astype(np.int64).reshape(_BLOCK, WIDTH)
-                if block in sums:
-                    sums[block] += own
-                else:
-                    sums[block] = own
+            for block, at, n in zip(part.block, part["at"], part.n):
+                if block not in sums:
+                    sums[block] = np.zeros((2, _BLOCK * WIDTH))
+                sums[block][:, np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int32).reshape(2, -1)
         for block, n in sums.items():
-            at = block // 2 * _BLOCK
-            unigram = v_members[np.arange(at, at + _BLOCK) // (ROWS // HEADS)] if block % 2 else v_classes
-            yield pd.DataFrame({"block": [block], "w": [steps_of(n, unigram).tobytes()]})
+            rows = np.arange(block // 2 * _BLOCK, block // 2 * _BLOCK + _BLOCK)
+            came, drawn = n.reshape(2, _BLOCK, WIDTH)
+            own = (v_members[rows // OWN_ROWS], rates(rows % OWN_ROWS, OWN_ROWS, k)) if block % 2 else (v_classes, rates(rows, ROWS, k))
+            yield pd.DataFrame({"block": [block], "w": [step_of(came, drawn if k else None, *own).tobytes()]})
 
-    v_classes, v_members = v.classes, v.members
-    out = Weights()
-    for r in counted.repartition(2 * ROWS // _BLOCK, "block").mapInPandas(add, "block int, w binary").collect():
-        table = out.m if r.block % 2 else out.c
+    for r in counted.repartition((ROWS + MEMBER_ROWS) // _BLOCK // 8, "block").mapInPandas(add, "block int, w binary").collect():
         at = r.block // 2 * _BLOCK
-        table[at : at + _BLOCK] = np.frombuffer(r.w, np.float32).reshape(_BLOCK, WIDTH)
-    return out
+        own = w.tables[r.block % 2][at : at + _BLOCK]
+        np.clip(own + np.frombuffer(r.w, np.float32).reshape(_BLOCK, WIDTH), -MOST, MOST, out=own)
+    shared.unpersist()
+
 
+def train(spark: SparkSession, docs: DataFrame, v: Vocabulary, epochs: int = EPOCHS, rounds: int = ROUNDS) -> Weights:
+    w = Weights()
+    for k in range(epochs * rounds):
+        round_of(spark, docs, v, w, k, rounds)
+    return w
 
-def log10_model(texts: list[list[bytes]], words: Words, w: Weights, v: Vocabulary) -> np.ndarray:
-    """Each text's log10 probability, save for the counts' share of its tail words, log10(c + 1)."""
-    ids, classes, members, first = words.arrays(texts)
+
+def token_logs(group: list[list[bytes]], words: Words, w: Weights, v: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Of each token: the word's place in words, whether its count is at hand, log10(count + 1) or 0, and its log10 probability.
+
+    A tail word's probability lacks the factor count + 1 where the count isn't at hand.
+    """
+    at, ids, classes, members, head, has, logs, first = words.arrays(group)
     f = features(ids, first)
+    rows = Weights.rows(f, classes)
     out = np.zeros(len(ids))
     for a, b in _slices(len(ids)):
-        c = classes[a:b]
-        logs = w.class_logs(f[:, a:b], v)[np.arange(b - a), c].astype(np.float64)
-        head = np.flatnonzero(members[a:b] >= 0)
-        if len(head):
-            logs[head] += w.member_logs(f[:, a:b][:, head], c[head], v)[np.arange(len(head)), members[a:b][head]]
-        logs /= math.log(10)
-        tail = members[a:b] < 0
-        logs[tail] -= v.tail_log[c[tail] - HEADS]
-        out[a:b] = logs
-    return np.add.reduceat(out, np.r_[0, np.cumsum([len(t) for t in texts])[:-1]])
+        line = np.arange(b - a)
+        for t, o in ((0, classes), (1, members)):
+            mass = w.masses(t, rows[t][:, a:b], classes[a:b], v)
+            out[a:b] += np.log10(mass[line, o[a:b]]) - np.log10(mass.sum(1))
+    tail = ~head
+    out[tail] += logs[tail] - v.tail_log[classes[tail] - HEADS, members[tail]]
+    return at, has, logs, out
 
 
 def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -338,34 +400,27 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, w = shared.value
-        words, near, place = Words(v), v.near, v.place
+        words = Words(v)
 
         def scored(group: list[list[bytes]]) -> pd.DataFrame:
-            rows: list[tuple] = []
-            for words_, s in zip(group, log10_model(group, words, w, v)):
-                known, base, own, far, times = 0, 0.0, 0.0, [], []
-                for word, k in Counter(words_).items():
-                    c = near.get(word)
-                    if c is None:
-                        far.append(word)
-                        times.append(k)
-                    else:
-                        known += k
-                        log = k * math.log10(c + 1)
-                        base += log
-                        own += log if word not in place else 0.0
-                rows.append((len(words_), known, base, s + own, far, times))
-            return pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "far", "times"])
+            at, has, logs, model = token_logs(group, words, w, v)
+            starts = np.cumsum([0, *map(len, group)])
+            sums = [np.add.reduceat(x, starts[:-1]) for x in (has.astype(np.int64), logs, model)]
+            lost = np.flatnonzero(~has)
+            cuts = np.searchsorted(lost, starts)
+            far, times = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                own = Counter(at[lost[a:b]].tolist()) if b > a else {}
+                far.append([words.all[k] for k in own])
+                times.append(list(own.values()))
+            return pd.DataFrame({"n_tokens": np.diff(starts), "n_known": sums[0], "base": sums[1], "score": sums[2], "far": far, "times": times})
 
         for part in batches:
-            group, size, done = [], 0, 0
-            for at, text in enumerate(part.text):
-                group.append(tokens_of(text))
-                size += len(group[-1])
-                if size >= 2 * CHUNK or at + 1 == len(part):  # rows go out by groups, so that few words are held at once
-                    own = part.iloc[done : at + 1]
-                    yield pd.concat([own[["doc_id", "rid"]].reset_index(drop=True), scored(group)], axis=1)
-                    group, size, done = [], 0, at + 1
+            done = 0
+            for group in grouped(part.text, GROUP):  # rows go out by groups, so that few words are held at once
+                own = part.iloc[done : done + len(group)]
+                done += len(group)
+                yield pd.concat([own[["doc_id", "rid"]].reset_index(drop=True), scored(group)], axis=1)
 
     # ids go through pandas as text, which has no integers with nulls
     numbered = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid"))

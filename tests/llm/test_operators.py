@@ -195,22 +195,94 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_sums_to_one():
-    near = Counter({b"a": 50, b"b": 30, maxent.END: 20, b"rare": 1})
-    n, v = np.zeros(maxent.TAILS), np.zeros(maxent.TAILS)
-    k = maxent.tail_class(b"rare") - maxent.HEADS
-    n[k], v[k] = 1, 1
-    voc = maxent.Vocabulary(dict(near), [b"a", b"b", maxent.END], 101, 4, n, v)
+def small_model(seed=1):
+    near = {b"a": 50, b"b": 30, maxent.END: 20, b"rare": 1}
+    n, v = np.zeros((maxent.TAILS, maxent.WIDTH)), np.zeros((maxent.TAILS, maxent.WIDTH))
+    c, m = maxent.tail_place(b"rare")
+    n[c - maxent.HEADS, m], v[c - maxent.HEADS, m] = 1, 1
+    voc = maxent.Vocabulary(near, [b"a", b"b", maxent.END], 101, 4, n, v)
     w = maxent.Weights()
-    r = np.random.default_rng(1)
-    w.c, w.m = r.normal(size=w.c.shape).astype(np.float32), r.normal(size=w.m.shape).astype(np.float32)
+    r = np.random.default_rng(seed)
+    w.tables = [r.normal(size=x.shape).astype(np.float32) for x in w.tables]
+    return voc, w
+
+
+def test_language_model_sums_to_one():
+    voc, w = small_model()
+    words = maxent.Words(voc)
+    last = lambda word: maxent.token_logs([[b"a", word]], words, w, voc)[3][-1]
+    total = sum(10 ** last(word) for word in (b"a", b"b", maxent.END))
+    seen, k = {}, 0
+    while len(seen) < maxent.TAILS * maxent.WIDTH:  # a word for each tail member: all of its words, seen ones and the unknown
+        word = b"%d" % k + bytes((97 + k % 26, 97 + k // 26 % 26))
+        place = maxent.tail_place(word)
+        if place not in seen:
+            weight = 10 ** voc.tail_log[place[0] - maxent.HEADS, place[1]]
+            seen[place] = 10 ** last(word) * weight
+        k += 1
+    assert math.isclose(total + sum(seen.values()), 1, rel_tol=1e-4)
+    place = maxent.tail_place(b"rare")
+    assert math.isclose(10 ** last(b"rare"), seen[place] * 2 / 3, rel_tol=1e-5)  # counts 1 and one unknown place: (1 + 1) / (1 + 1 + 1)
+
+
+def test_gradient_by_finite_differences():
+    """came - expected is the slope of the log likelihood; drawn outcomes have the expected counts as their mean."""
+    voc, w = small_model(3)
+    group = [[b"a", b"b", b"a", maxent.END], [b"b", b"rare", maxent.END]]
     words = maxent.Words(voc)
-    total = 0.0
-    for word in (b"a", b"b", maxent.END):
-        total += 10 ** (maxent.log10_model([[b"a", word]], words, w, voc)[0] - maxent.log10_model([[b"a"]], words, w, voc)[0])
-    ids, classes, members, first = words.arrays([[b"a", b"b"]])
-    tails = np.exp(w.class_logs(maxent.features(ids, first), voc)[1])[maxent.HEADS : maxent.CLASSES].sum()
-    assert math.isclose(total + tails, 1, rel_tol=1e-5)
+    _, ids, classes, members, _, _, _, first = words.arrays(group)
+    f = maxent.features(ids, first)
+    rows = maxent.Weights.rows(f, classes)
+    n = len(ids)
+    came = [np.zeros(r * maxent.WIDTH) for r in (maxent.ROWS, maxent.MEMBER_ROWS)]
+    maxent.observe(came, rows, (classes, members))
+    for t, o in ((0, classes), (1, members)):
+        mass = w.masses(t, rows[t], classes, voc)
+        p = mass / mass.sum(1, keepdims=True)
+        expected = np.zeros_like(came[t])
+        for k in range(maxent.FEATURES):
+            np.add.at(expected.reshape(-1, maxent.WIDTH), rows[t][k], p)
+        like = lambda: sum(maxent.token_logs(group, maxent.Words(voc), w, voc)[3]) * math.log(10)
+        for k, i in ((0, 0), (1, 1), (2, 2), (4, n - 1)):
+            at = (rows[t][k, i], o[i])
+            old = w.tables[t][at]
+            w.tables[t][at] = old + 0.01
+            up = like()
+            w.tables[t][at] = old - 0.01
+            slope = (up - like()) / 0.02
+            w.tables[t][at] = old
+            assert math.isclose(slope, came[t].reshape(-1, maxent.WIDTH)[at] - expected.reshape(-1, maxent.WIDTH)[at], abs_tol=0.02)
+        r = np.random.default_rng(0)
+        drawn = np.stack([np.bincount(maxent.draw(mass[:1].repeat(20_000, 0), r.random(20_000)), minlength=maxent.WIDTH)])[0] / 20_000
+        assert np.abs(drawn - p[0]).max() < 0.02
+
+
+def test_perplexity_falls_with_every_epoch(spark):
+    r = random.Random(2)
+    follow = {k: [r.randrange(40) for _ in range(3)] for k in range(40)}
+
+    def walk():
+        k, out = r.randrange(40), []
+        for _ in range(60):
+            out.append(f"w{k}")
+            k = r.choice(follow[k])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(k, walk()) for k in range(400)], "doc_id long, text string")
+    voc = maxent.vocabulary(maxent.count_words(docs))
+    held = [maxent.tokens_of(walk()) for _ in range(60)]
+    w, scores = maxent.Weights(), []
+    for k in range(4):
+        scores.append(maxent.token_logs(held, maxent.Words(voc), w, voc)[3].sum())
+        maxent.round_of(spark, docs, voc, w, k, 2)
+    assert scores[0] < scores[2] < maxent.token_logs(held, maxent.Words(voc), w, voc)[3].sum()
+
+
+def test_near_words_are_cut_within_a_step(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "NEAR", 1000)
+    counts = spark.range(5000).selectExpr("cast(concat('w', id) as binary) as word", "if(id < 10, 500L, 7L) as n")
+    v = maxent.vocabulary(counts)
+    assert 800 < len(v.near) < 1200 and {b"w%d" % k for k in range(10)} <= set(v.near) and v.total == 10 * 500 + 4990 * 7
 
 
 def test_language_model_head_has_the_former_size(spark):
