@@ -565,3 +565,37 @@ def test_hostile_pages_take_linear_time():
     for page in ("<div>" * n + "</b>" * n, "<a " * n, '<a x="' * n, "<div>" * n + "<li>" * n, "<b>" * n + "<hr>" * n, "<a x='" * n + ">", "<table>" * n + "<td>" * n, "<!--" * n):
         html_main.main_text(page)
     assert time.process_time() - began < 30  # quadratic, each would take minutes
+
+
+def test_traversal_prunes_and_loses_nothing():
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(150, 24))
+    x = np.concatenate([c + r.normal(size=(20, 24)) * s for c, s in zip(centres, r.choice([0.01, 0.1, 0.2], 150))])
+    x = covertree.unit_rows(list(x))
+    eps = covertree.chord(0.95)
+    tree = covertree.Tree(x[::3])
+    leaf, near = tree.nearest(x)
+    assert np.allclose(near[:, -1], np.linalg.norm(x - tree.centres[-1][leaf], axis=1), atol=1e-6)
+    leaves = np.unique(leaf)
+    tree.cover(leaves, np.stack([near[leaf == k].max(0) for k in leaves]))
+    for level, centres in enumerate(tree.centres):  # every vector is inside each of its ancestors' radii
+        up = tree.above[level][leaf]
+        assert (np.linalg.norm(x - centres[up], axis=1) <= tree.radii[level][up] + 1e-6).all()
+    live, visited = tree.pairs(eps)
+    close = x @ x.T >= 0.95
+    assert all(live[leaf[i], leaf[j]] for i, j in zip(*np.nonzero(close)))
+    assert live.sum() < 0.2 * len(leaves) ** 2 and visited < 0.5 * len(leaves) ** 2 / 2
+    found = covertree.links_within(x, leaf, np.zeros(len(x), int), (0, 0), np.ones(len(x), int), live, 0.95)
+    assert (found.count == close.sum(1) - 1).all() and found.compared < 0.1 * len(x) ** 2 / 2
+    # the same in one ball that holds everything, which has to find its own levels
+    alone = covertree.Links(x, np.ones(len(x), int), 0.95)
+    whole = alone.ball(np.arange(len(x)))
+    alone.meet(whole, whole)
+    assert (alone.count == found.count).all() and (alone.labels == found.labels).all()
+
+
+def test_vectors_odd(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.01]), (None, [-1.0, 0.0]), (7, [-1.0, 0.001]), (None, None)]
+    got = sorted(map(str, map(tuple, covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())))
+    want = [(1, 2, 1, True), (1, 2, 1, True), (1, 0, 1, True), (None, 2, 1, False), (None, 1, 7, False), (7, 1, 7, True), (None, 0, None, True)]
+    assert got == sorted(map(str, want))
