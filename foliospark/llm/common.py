@@ -136,18 +136,22 @@ def bounded_labels(labels: DataFrame, name: str, per_class: int, seed: int = 11)
 
 
 def bounded_rows(docs: DataFrame, most: int, seed: int = 12) -> DataFrame:
-    """(doc_id, text) of about ``most`` training rows, by hash, of all documents; all of them if there are fewer."""
+    """(doc_id, text) of about ``most`` training rows, by a hash of id and text, of all documents; all of them if there are fewer.
+
+    Rows that are equal in both count once, so no number of repeated rows makes the sample larger.
+    """
     n = docs.count()
-    picked = docs.select("doc_id", "text").where(crc_of_id(F.col("doc_id")) % 5 != 0)
+    picked = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")).where(crc_of_id(F.col("doc_id")) % 5 != 0)
     if n > most:
         top = (1 << 62) // n * most // (1 << 30)
-        picked = picked.where(F.shiftright(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit((1 << 63) - 1)), 31) < top)
-    return picked
+        picked = picked.where(F.shiftright(F.pmod("h", F.lit((1 << 63) - 1)), 31) < top)
+    return picked.dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
 
 
 def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text, y) for a bounded table of ids; an id on several rows gives several."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """(doc_id, text, y) for a bounded table of ids, one row an id: of several texts of an id the one with the least hash."""
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def sigmoid(x):

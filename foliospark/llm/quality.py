@@ -3,8 +3,8 @@
 Trusted positives (labels.quality = 1) and unlabelled web text are each sampled up to ``SAMPLE`` rows. A network with one
 hidden layer over shape statistics of the whole text minimises the non-negative unbiased risk (Kiryo et al., 2017)
     prior * E_pos[l(f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)]),
-whose class prior is estimated as the share of label 1 among the training labels. A last step fits two numbers, scale
-and offset of the network's output, on the training labels, so that scores are probabilities.
+whose class prior is estimated from the positives and the unlabelled text alone (see ``estimate_prior``). A last step fits two
+numbers, scale and offset of the network's output, on the training labels, so that scores are probabilities.
 
 Held-out rows (crc32 of doc_id mod 5 is 0) teach nothing. Language, source, id and labels are no inputs.
 
@@ -135,6 +135,31 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return net
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives in the unlabelled rows, as mixture proportion: unlabelled = share * positive + (1 - share) * negative.
+
+    Where a score is over t, unlabelled rows are at least share times as frequent as positives, and where only positives
+    are, just that: the share is the least of P_unlabelled(score > t) / P_positive(score > t), each with one standard error
+    more. The score is a linear discriminant fitted on one half of the rows; the ratios are those of the other half.
+    """
+    half = lambda x: (x[::2], x[1::2])
+    (p0, p1), (u0, u1) = half(positive), half(unlabelled)
+    if min(map(len, (p0, p1, u0, u1))) < 20:
+        return 0.5
+    both = np.concatenate((p0, u0)).astype(np.float64)
+    centre, scale = both.mean(0), both.std(0) + 1e-3
+    z = np.clip((both - centre) / scale, -6, 6)
+    gap = z[: len(p0)].mean(0) - z[len(p0) :].mean(0)
+    w = np.linalg.solve(np.cov(z.T) + 0.1 * np.eye(z.shape[1]), gap)
+    sp, su = (np.clip((x - centre) / scale, -6, 6) @ w for x in (p1, u1))
+    best = 1.0
+    for t in np.quantile(sp, np.linspace(0, 0.9, 46)):
+        a, b = (sp > t).mean(), (su > t).mean()
+        if a > 0:
+            best = min(best, (b + math.sqrt(b * (1 - b) / len(su))) / a * (1 + math.sqrt((1 - a) / (a * len(sp)))))
+    return float(np.clip(best, 0.05, 0.95))
+
+
 def calibrate(net: Network, x: np.ndarray, y: np.ndarray, share: float) -> None:
     """Scale and offset of the output by weighted logistic regression; classes weigh as they do among all labels."""
     f = net.output(x)
@@ -163,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | float:
     x, y = labelled[:, :-1], labelled[:, -1]
     if not (y == 1).any() or not len(unlabelled):
         return prior
-    net = fit(x[y == 1], unlabelled[:, :-1], prior)
+    net = fit(x[y == 1], unlabelled[:, :-1], estimate_prior(x[y == 1], unlabelled[:, :-1]))
     if (y == 0).any():
         calibrate(net, x, y, prior)
     return net

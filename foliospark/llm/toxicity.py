@@ -1,13 +1,14 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: a stated list of insults, lists of words and of word beginnings that the training labels
-mark (found by a bound on their log odds, see ``induce``), each at one, two and three occurrences, and patterns of
-shouting and of exclamation marks. A generative label model estimates each voter's rates of firing in toxic and in clean
-texts by expectation maximisation over a bounded sample, known labels held fast, and the correlations of the voters
-given the class; a voter's evidence is divided by the weight of the voters it goes along with. A linear classifier is
-trained on the resulting posterior labels, over votes and counts of the lexicon entries.
+Voters are lexicons and patterns: a stated list of insults, lists of words and of word beginnings that go along with the
+training labels (found by a bound on their log odds, see ``induce``), each at one, two and three occurrences, and patterns of
+shouting and of exclamation marks. The training labels themselves are one more voter, which abstains where there is none. A
+generative label model estimates every voter's rates of firing in toxic and in clean texts by expectation maximisation
+over a bounded sample, in which rows weigh as their class does among all documents, and the correlations of the voters given
+the class; a voter's evidence is divided by the weight of the voters it goes along with. A linear classifier is trained on the
+posterior labels of all rows of the sample, labelled or not, over votes and counts of the lexicon entries.
 
-Held-out rows (crc32 of doc_id mod 5 is 0) teach nothing. Language, source, id and labels are no inputs.
+Held-out rows (crc32 of doc_id mod 5 is 0) teach nothing. Language, source, id and labels are no inputs of a score.
 
 Defined cases: null or empty text has no words and its score is that of a text in which nothing fires; without labels
 the stated voters alone decide; repeated rows each give a row; other columns aren't read.
@@ -30,6 +31,8 @@ from foliospark.llm.common import bounded_labels, bounded_rows, crc_of_id, label
 #: Bound of the training sample: labelled rows of each class, and unlabelled rows.
 SAMPLE = 5000
 THRESHOLD = 0.5
+#: Bounds of the chances that the labeller says toxic: no label is quite sure.
+MISLABELLED = (0.005, 0.995)
 #: Lengths, in bytes, of word beginnings; 0 is the whole word.
 LENGTHS = (0, 3, 4, 5, 6, 7, 8, 9, 10)
 TIMES = 3
@@ -150,28 +153,39 @@ _INSULTS = frozenset(x.encode() for x in INSULTS)
 
 
 class LabelModel:
-    """Two classes, voters that fire or don't; evidence discounted by correlations given the class."""
+    """Two classes, voters that fire or don't, and a labeller who may abstain; evidence discounted by correlations given the class.
 
-    def __init__(self, votes: np.ndarray, known: np.ndarray, rounds: int = 25):
-        """known: 1, 0 or -1 for a row without label."""
+    known: 1, 0 or -1 (no label) for each row; weight: of the rows. ``labeller``: the chance that a toxic row, and a clean
+    one, is labelled toxic if it is labelled.
+    """
+
+    def __init__(self, votes: np.ndarray, known: np.ndarray, weight: np.ndarray | None = None, rounds: int = 25):
         n, m = votes.shape
+        w = np.ones(n) if weight is None else weight * n / weight.sum()
         fires = votes.sum(1)
-        q = np.where(known >= 0, known, np.where(fires >= 2, 0.9, 0.02))
+        q = np.where(known >= 0, 0.02 + 0.96 * known, np.where(fires >= 2, 0.9, 0.02))
         self.weight = np.ones(m)
         for _ in range(rounds):
-            self.prior = np.clip((q.sum() + 1) / (n + 2), 0.005, 0.9)
-            self.rate1 = np.clip((q @ votes + 0.5) / (q.sum() + 1), 1e-4, 1 - 1e-4)
-            self.rate0 = np.clip(((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1), 1e-4, 1 - 1e-4)
+            on, off = w * q, w * (1 - q)
+            self.prior = np.clip((on.sum() + 1) / (n + 2), 0.005, 0.9)
+            self.rate1 = np.clip((on @ votes + 0.5) / (on.sum() + 1), 1e-4, 1 - 1e-4)
+            self.rate0 = np.clip((off @ votes + 0.5) / (off.sum() + 1), 1e-4, 1 - 1e-4)
+            says, told = known == 1, known >= 0
+            self.labeller = tuple(float(np.clip((x[says].sum() + a) / (x[told].sum() + 1), *MISLABELLED)) for x, a in ((on, 0.98), (off, 0.02)))
             residual = votes - q[:, None] * self.rate1 - (1 - q[:, None]) * self.rate0
-            cov = residual.T @ residual / max(1, n)
+            cov = (residual * w[:, None]).T @ residual / max(1, n)
             sd = np.sqrt(np.diag(cov)) + 1e-6
             self.correlation = cov / sd / sd[:, None]
             self.weight = 1 / np.maximum(1, np.abs(self.correlation).sum(1))
-            q = np.where(known >= 0, known, self.posterior(votes))
+            q = self.posterior(votes, known)
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
         on, off = np.log(self.rate1 / self.rate0), np.log((1 - self.rate1) / (1 - self.rate0))
-        return sigmoid(math.log(self.prior / (1 - self.prior)) + (votes * on + (1 - votes) * off) @ self.weight)
+        logit = math.log(self.prior / (1 - self.prior)) + (votes * on + (1 - votes) * off) @ self.weight
+        if known is not None:
+            a, b = self.labeller
+            logit = logit + np.where(known == 1, math.log(a / b), np.where(known == 0, math.log((1 - a) / (1 - b)), 0.0))
+        return sigmoid(logit)
 
 
 class Sparse:
@@ -255,12 +269,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     if not len(y):
         return Model(voters, np.zeros(voters.width, np.float32), -3.0)
     votes = x.first(voters.votes)
-    model = LabelModel(votes, y)
-    q = np.where(y >= 0, y, model.posterior(votes))
-    share = min(0.9, max(0.01, share if share is not None else q.mean()))
+    share = min(0.9, max(0.01, share if share is not None else 0.05))
     # rows of a class weigh together what the class does among all labels; unlabelled rows as they are
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), np.where(y == 0, (1 - share) / max(1, (y == 0).sum()), 1 / max(1, (y < 0).sum())))
-    return Model(voters, *fit_linear(x, q, weight))
+    model = LabelModel(votes, y, weight)
+    return Model(voters, *fit_linear(x, model.posterior(votes, y), weight))
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from foliospark.llm import chat, covertree, decontaminate, html_main, maxent, mixing, quality, simhash, tokencount, toxicity
-from foliospark.llm.common import Stored, connected_components, fresh
+from foliospark.llm.common import Stored, bounded_rows, connected_components, fresh, labelled_texts
 
 rng = random.Random(11)
 WORDS = [f"w{k}" for k in range(60)]
@@ -599,3 +599,80 @@ def test_vectors_odd(spark):
     got = sorted(map(str, map(tuple, covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())))
     want = [(1, 2, 1, True), (1, 2, 1, True), (1, 0, 1, True), (None, 2, 1, False), (None, 1, 7, False), (7, 1, 7, True), (None, 0, None, True)]
     assert got == sorted(map(str, want))
+
+
+def test_prior_is_estimated_without_negatives():
+    r = np.random.default_rng(8)
+    draw = lambda n, at: r.normal(at, 1, (n, 6))
+    for share in (0.3, 0.6, 0.85):
+        unlabelled = np.concatenate((draw(int(6000 * share), 1.5), draw(int(6000 * (1 - share)), -1.5)))
+        r.shuffle(unlabelled)
+        assert abs(quality.estimate_prior(draw(4000, 1.5), unlabelled) - share) < 0.06
+    assert quality.estimate_prior(draw(5, 0), draw(5, 0)) == 0.5
+
+
+def test_risk_gradient_by_finite_differences():
+    r = np.random.default_rng(9)
+    xp, xu, prior = r.normal(1, 1, (30, 4)), r.normal(-1, 1, (40, 4)), 0.4
+    net = quality.Network(np.concatenate((xp, xu)), r)
+
+    def risk():
+        fp, fu = net.output(xp), net.output(xu)
+        return prior * np.logaddexp(0, -fp).mean() + np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
+    fp, fu = net.output(xp), net.output(xu)
+    up, down_p, down_u = -prior * quality.sigmoid(-fp) / len(fp), -prior * quality.sigmoid(fp) / len(fp), quality.sigmoid(fu) / len(fu)
+    slopes = [a + b for a, b in zip(net.gradient(xp, up + down_p), net.gradient(xu, down_u))]
+    for p, g in zip(net.p, slopes):
+        for at in list(np.ndindex(p.shape))[:6]:
+            old = p[at]
+            p[at] = old + 1e-5
+            more = risk()
+            p[at] = old - 1e-5
+            assert math.isclose((more - risk()) / 2e-5, g[at], abs_tol=1e-6)
+            p[at] = old
+
+
+def test_label_model_finds_rates_and_bad_labels():
+    r = np.random.default_rng(10)
+    y = r.random(4000) < 0.2
+    rate1, rate0 = np.array([0.9, 0.8, 0.7, 0.6, 0.5]), np.array([0.02, 0.05, 0.1, 0.02, 0.2])
+    votes = (r.random((4000, 5)) < np.where(y[:, None], rate1, rate0)).astype(float)
+    votes = np.column_stack((votes, votes[:, 0]))  # one voter twice: its evidence counts once
+    known = np.where(r.random(4000) < 0.3, np.where(r.random(4000) < 0.05, ~y, y), -1).astype(int)
+    model = toxicity.LabelModel(votes, known)
+    assert np.abs(model.rate1[:5] - rate1).max() < 0.06 and np.abs(model.rate0[:5] - rate0).max() < 0.06 and abs(model.prior - 0.2) < 0.03
+    assert model.correlation[0, 5] > 0.9 and model.weight[0] < 0.6 < model.weight[3]
+    assert abs(model.labeller[0] - 0.95) < 0.05 and abs(model.labeller[1] - 0.05) < 0.05
+    q = model.posterior(votes, known)
+    assert ((q > 0.5) == y).mean() > 0.95
+    # brute force: Bayes' rule row by row
+    for k in range(0, 4000, 400):
+        logit = math.log(model.prior / (1 - model.prior))
+        for v, a, b, w in zip(votes[k], model.rate1, model.rate0, model.weight):
+            logit += w * (math.log(a / b) if v else math.log((1 - a) / (1 - b)))
+        a, b = model.labeller
+        logit += math.log(a / b) if known[k] == 1 else math.log((1 - a) / (1 - b)) if known[k] == 0 else 0
+        assert math.isclose(q[k], 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
+
+
+def test_samples_are_of_rows(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert 800 < bounded_rows(docs, 1000).count() < 1200
+    same = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one").alias("text"))
+    assert bounded_rows(same, 1000).count() <= 1
+    ids = spark.createDataFrame([(3, 1)], "doc_id long, y int")
+    many = same.withColumn("text", F.rand(1).cast("string"))
+    assert labelled_texts(many, ids).count() == 1
+
+
+def test_linear_fit_by_dense_gradient():
+    r = np.random.default_rng(12)
+    dense = np.where(r.random((200, 7)) < 0.4, r.integers(1, 4, (200, 7)), 0).astype(np.float32)
+    places = [np.flatnonzero(row).astype(np.int32) for row in dense]
+    x = toxicity.Sparse([p.tobytes() for p in places], [row[p].astype(np.float16).tobytes() for row, p in zip(dense, places)], 7)
+    by = r.normal(size=200)
+    assert np.allclose(x @ np.arange(7.0), dense @ np.arange(7.0)) and np.allclose(x.summed(by), dense.T @ by, atol=1e-6) and np.allclose(x.first(3), dense[:, :3])
+    q = quality.sigmoid(dense @ np.array([2, -1, 0, 1, 0, -2, 0.5]) - 1)
+    w, b = toxicity.fit_linear(x, q, np.ones(200))
+    assert np.abs(quality.sigmoid(dense @ w + b) - q).mean() < 0.03
