@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,11 +109,28 @@ def masked_spans(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -
 _FORMAT = "conv_id string, formatted string, loss_spans array<array<int>>, n_tokens long, n_loss_tokens long"
 
 
+#: Characters that are encoded at once; a longer conversation is encoded alone.
+CHARS = 1 << 18
+
+
+def _in_parts(texts: list[str]) -> Iterator[list[str]]:
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        if part and size + len(text) > CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def format_conversations(conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per conversation: the rendered text, character spans under the loss mask, and token counts.
 
     A conversation's rows meet in one task as a sorted list; it is the unit of rendering and of a training example.
-    tokenizer_path: a tokenizer file that every executor can open; None leaves the token counts null.
+    tokenizer_path: the driver's path to a tokenizer file, sent to executors by Spark (a few MB); None leaves the token counts null.
     """
     c = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -122,19 +140,27 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str | None =
     # ids go through pandas as text, which has no integers with nulls
     grouped = grouped.select(F.col("conv_id").cast("string").alias("conv_id"), F.expr("transform(rows, r -> r.role)").alias("roles"), F.expr("transform(rows, r -> r.text)").alias("texts"))
 
+    name = None
+    if tokenizer_path:
+        conversations.sparkSession.sparkContext.addFile(tokenizer_path)
+        name = tokenizer_path.rpartition("/")[2]
+
+    def encoded(texts: list[str]) -> Iterator:
+        """Offsets of each text, held for CHARS of them at once."""
+        for part in _in_parts(texts):
+            for e in _tokenizer(SparkFiles.get(name)).encode_batch(part, add_special_tokens=False) if name else [None] * len(part):
+                yield None if e is None else e.offsets
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             out = []
             rendered = [render(list(zip(r, t))) for r, t in zip(part.roles, part.texts)]
-            encoded = [None] * len(rendered)
-            if tokenizer_path:
-                encoded = _tokenizer(tokenizer_path).encode_batch([x for x, _ in rendered], add_special_tokens=False)
-            for conv, (text, spans), e in zip(part.conv_id, rendered, encoded):
+            for conv, (text, spans), offsets in zip(part.conv_id, rendered, encoded([x for x, _ in rendered])):
                 n = loss = None
-                if e is not None:
-                    mask = token_mask(e.offsets, spans)
+                if offsets is not None:
+                    mask = token_mask(offsets, spans)
                     n, loss = len(mask), sum(mask)
-                    spans = masked_spans(e.offsets, spans)
+                    spans = masked_spans(offsets, spans)
                 out.append((conv, text, [list(s) for s in spans], n, loss))
             frame = pd.DataFrame(out, columns=["conv_id", "formatted", "loss_spans", "n_tokens", "n_loss_tokens"])
             yield frame.astype({"n_tokens": "Int64", "n_loss_tokens": "Int64"})

@@ -5,8 +5,8 @@
    capacity gets its capacity and what it falls short by goes to its siblings, again by weight; only what a whole family
    can't take is given to the family's siblings, since the family's budget is cut to its capacity one level higher.
 3. A leaf repeats its documents for the whole epochs its budget holds, and takes a prefix of one more epoch. Documents
-   of an epoch are in the order of md5(seed:epoch:doc_id), then of md5(text); the document at the budget's end is taken
-   for the tokens that are left.
+   of an epoch are in the order of md5(seed:epoch:doc_id:md5(text)), so that no id or text can fill a place in the order
+   by itself; the document at the budget's end is taken for the tokens that are left.
 
 Tokens are words, runs of anything but ASCII white space. Shares are whole tokens, rounded down; a remainder of fewer
 tokens than siblings stays unspent at each family.
@@ -15,7 +15,8 @@ DataFrame functions only. A leaf with a third of all rows isn't ordered as a who
 find the 1/256 of it where the budget ends, sums over the second byte the 1/65536, and only that is ordered.
 
 Defined cases: null domain, language or source is the value ''; null text has no tokens and its document is never taken;
-weights that are missing count as ``DEFAULT_WEIGHT``; repeated rows are documents of their own; empty tables give no
+weights that are missing count as ``DEFAULT_WEIGHT``; what has a weight of 0 or less is left out before shares are made, and a
+family of such children takes nothing; repeated rows are documents of their own; empty tables give no
 rows; columns with clashing names are kept as they are.
 """
 
@@ -86,12 +87,14 @@ def share_out(nodes: DataFrame, family: list[str], budget: str, out: str) -> Dat
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves (domain, lang, source, tokens) with budget long. Works on one row per leaf."""
     one = leaves.withColumn("cap0", F.col("tokens") * mix.max_epochs)
+    for level in LEVELS:  # what can't be taken is no capacity of the nodes above
+        one = one.where(_weight(level, mix) > 0)
     total = leaves.agg(F.coalesce(F.floor(F.sum("tokens").cast(_EXACT) * mix.share[0] / mix.share[1]), F.lit(0)).cast("long").alias("b0"))
     above = total.withColumn("root", F.lit(0))
     for depth, level in enumerate(LEVELS, 1):
         keys = list(LEVELS[:depth])
         rest = [F.lit("").alias(x) for x in LEVELS[depth:]]
-        nodes = one.groupBy(*keys).agg(F.sum("cap0").alias("cap")).select(*keys, *rest, "cap").withColumn("w", _weight(level, mix))
+        nodes = one.groupBy(*keys).agg(F.sum("cap0").alias("cap")).select(*keys, *rest, "cap").withColumn("w", _weight(level, mix)).where("w > 0")
         family = keys[:-1] or ["root"]
         nodes = nodes.withColumn("root", F.lit(0)) if depth == 1 else nodes
         nodes = share_out(nodes.join(above, family), family, f"b{depth - 1}", f"b{depth}")
@@ -120,7 +123,7 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, columns: list[str] | N
     ).where("whole > 0 or rest > 0")).df
 
     def keyed(df: DataFrame) -> DataFrame:
-        h = F.md5(F.concat(F.lit(f"{mix.seed}:"), F.col("whole").cast("string"), F.lit(":"), F.col("id")))
+        h = F.md5(F.concat(F.lit(f"{mix.seed}:"), F.col("whole").cast("string"), F.lit(":"), F.col("id"), F.lit(":"), F.col("t")))
         return df.join(budgets, list(LEVELS)).withColumn("h", h).withColumns({"h1": F.substring("h", 1, 2), "h2": F.substring("h", 3, 2)})
 
     slim = keyed(sized).where("rest > 0").select(*LEVELS, "rest", "h1", "h2", "n")
@@ -144,7 +147,7 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, columns: list[str] | N
     edge = F.coalesce((F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2")), F.lit(False))
     epochs = F.col("whole") + F.when(inner, 1).otherwise(0)
     whole = placed.where(epochs > 0).select("row", "domain", F.explode(F.sequence(F.lit(0), epochs - 1)).alias("epoch"), "n", F.col("n").alias("taken"))
-    order = Window.partitionBy(*LEVELS).orderBy("h", "id", "t")
+    order = Window.partitionBy(*LEVELS).orderBy("h")
     last = placed.where(edge).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     last = last.where("before < left").select("row", "domain", F.col("whole").alias("epoch"), "n", F.least(F.col("n"), F.col("left") - F.col("before")).alias("taken"))
     return whole.unionByName(last).select(
@@ -188,16 +191,18 @@ with d as (
   select *, {domain} as domain from (
     select doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source,
            len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n from documents) where n > 0
-), leaves as (
+), all_leaves as (
   select domain, lang, source, sum(n) as tokens, sum(n) * {mix.max_epochs} as cap0 from d group by all
+), leaves as (
+  select * from all_leaves where {" and ".join(f"({_sql_weight(x, mix)}) > 0" for x in LEVELS)}
 ), b0 as (
-  select (cast(sum(tokens) as hugeint) * {mix.share[0]}) // {mix.share[1]} as b from leaves
+  select (cast(sum(tokens) as hugeint) * {mix.share[0]}) // {mix.share[1]} as b from all_leaves
 ), {", ".join(steps)}, budgets as (
   select domain, lang, source, b // tokens as whole, b % tokens as rest from b3 join leaves using (domain, lang, source)
 ), k as (
-  select d.*, whole, rest, md5('{mix.seed}:' || whole || ':' || doc_id) as h from d join budgets using (domain, lang, source)
+  select d.*, whole, rest, md5('{mix.seed}:' || whole || ':' || coalesce(cast(doc_id as varchar), '') || ':' || md5(text)) as h from d join budgets using (domain, lang, source)
 ), s as (
-  select *, coalesce(sum(n) over (partition by domain, lang, source order by h, cast(doc_id as varchar), md5(text) rows between unbounded preceding and 1 preceding), 0) as before from k
+  select *, coalesce(sum(n) over (partition by domain, lang, source order by h rows between unbounded preceding and 1 preceding), 0) as before from k
 )
 select doc_id, lang, source, domain, cast(epoch as bigint) as epoch, cast(n as bigint) as n_tokens,
        cast(case when epoch < whole then n else least(n, rest - before) end as bigint) as tokens_taken

@@ -1,14 +1,14 @@
 """Token counts under a unigram tokenizer, by dynamic programming over a trie of pre-tokens.
 
 A text is cut into pre-tokens by the vocabulary's public pattern. A pre-token's tokens are the segmentation of its bytes
-into vocabulary entries with the largest sum of scores (ties: the fewest tokens). Distinct pre-tokens of a batch go into
-a trie, and the forward score at a byte is computed once for all pre-tokens that share the prefix up to it; a terminal
-keeps its token count.
+into vocabulary entries with the largest sum of scores (ties: the fewest tokens; sums are of doubles in the order of the
+text, so sums that differ in their last bits are no ties). A task's distinct pre-tokens go into one trie, and the forward
+score at a byte is computed once for all pre-tokens that share the prefix up to it; a terminal keeps its token count.
 
 The vocabulary is a file of ranks (base64 of the token's bytes, a space, the rank); the score of rank r is the log of
 its share under Zipf's law, -log(r + 1) - log(sum of 1 / (k + 1)). All 256 bytes are entries, so every text has a count.
 
-Defined cases: null or empty text has no tokens; every row gives a row, repeated ones too; other columns aren't read.
+Defined cases: null or empty text has no tokens; no rows give no rows; every row gives a row, repeated ones too; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Trie terminals kept in a task; beyond that the trie starts anew, so that memory is bounded.
-TERMINALS = 400_000
+#: Trie nodes kept in a task (some 300 bytes each); beyond that the trie starts anew, so that memory is bounded.
+NODES = 1_000_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, float]:
@@ -37,51 +37,59 @@ def read_ranks(raw: bytes) -> dict[bytes, float]:
 
 
 class Trie:
-    """Pre-tokens in sorted order share their prefixes' forward scores; the open path is the trie's current branch."""
+    """A node for each prefix of the pre-tokens so far, with the prefix's best score and the tokens that reach it.
+
+    A pre-token walks down its prefixes; the forward step is only made for nodes that are new. Terminals keep their node,
+    and so their count.
+    """
 
     def __init__(self, scores: dict[bytes, float]):
         self.scores = scores
-        self.by_end: dict[int, list[int]] = {}
+        ends: dict[int, set[int]] = {}
         for token in scores:
-            self.by_end.setdefault(token[-1], []).append(len(token))
-        self.by_end = {b: sorted(set(v)) for b, v in self.by_end.items()}
-        self.counts: dict[str, int] = {}
-
-    def insert(self, words: set[str]) -> None:
-        """Adds terminals for the words that have none."""
-        new = sorted(w.encode() for w in words)
-        score, tokens, before = [0.0], [0], b""
-        get, by_end = self.scores.get, self.by_end
-        for word in new:
-            shared = 0
-            top = min(len(before), len(word))
-            while shared < top and before[shared] == word[shared]:
-                shared += 1
-            del score[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
+            ends.setdefault(token[-1], set()).add(len(token))
+        self.sizes = [sorted(ends[b]) for b in range(256)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.kids: dict[int, int] = {}  # node * 256 + byte -> node
+        self.score, self.tokens = [0.0], [0]
+        self.terminals: dict[str, int] = {}
+
+    def insert(self, word: str) -> int:
+        """The word's terminal."""
+        raw, node, way = word.encode(), 0, [0]
+        kids, score, tokens, get = self.kids, self.score, self.tokens, self.scores.get
+        for end, byte in enumerate(raw, 1):
+            key = node * 256 + byte
+            node = kids.get(key, -1)
+            if node < 0:
                 best, n = -math.inf, 0
-                for size in by_end[word[end - 1]]:
+                for size in self.sizes[byte]:
                     if size > end:
                         break
-                    s = get(word[end - size : end])
+                    s = get(raw[end - size : end])
                     if s is not None:
-                        s += score[end - size]
-                        k = tokens[end - size] + 1
+                        before = way[end - size]
+                        s += score[before]
+                        k = tokens[before] + 1
                         if s > best or s == best and k < n:
                             best, n = s, k
+                node = kids[key] = len(score)
                 score.append(best)
                 tokens.append(n)
-            self.counts[word.decode()] = tokens[-1]
-            before = word
+            way.append(node)
+        self.terminals[word] = node
+        return node
 
-    def count(self, texts: list[list[str]]) -> list[int]:
-        missing = {w for words in texts for w in words if w not in self.counts}
-        if len(self.counts) + len(missing) > TERMINALS:
-            self.counts = {}
-            missing = {w for words in texts for w in words}
-        self.insert(missing)
-        get = self.counts.__getitem__
-        return [sum(map(get, words)) for words in texts]
+    def count(self, words: list[str]) -> int:
+        if len(self.score) > NODES:
+            self.clear()
+        at, tokens, insert, total = self.terminals.get, self.tokens, self.insert, 0
+        for word in words:
+            node = at(word)
+            total += tokens[insert(word) if node is None else node]
+        return total
 
 
 @lru_cache(maxsize=2)
@@ -105,16 +113,10 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern:
         for part in batches:
             texts = [x or "" for x in part.text]
             n, pre = [], []
-            group: list[list[str]] = []
-            size = 0
             for text in texts:
-                group.append(cut(text))
-                size += len(group[-1])
-                pre.append(len(group[-1]))
-                if size > 500_000:  # words held at once
-                    n += trie.count(group)
-                    group, size = [], 0
-            n += trie.count(group)
+                words = cut(text)
+                pre.append(len(words))
+                n.append(trie.count(words))
             yield pd.DataFrame({"doc_id": part.doc_id, "n_tokens": n, "n_pretokens": pre, "n_bytes": [len(x.encode()) for x in texts]})
 
     # ids go through pandas as text, which has no integers with nulls

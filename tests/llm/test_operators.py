@@ -86,8 +86,7 @@ def water_fill(caps, weights, budget):
 def test_mix_budgets_and_prefixes(spark):
     mix = mixing.Mix(seed=3, share=(3, 4), max_epochs=2, weights={"domain": {"a": 5, "b": 1}, "lang": {"en": 3}, "source": {"s1": 4}}, domain="case when source in ('s1', 's2') then 'a' else 'b' end")
     rows = [(k, text(rng.randrange(1, 9)), rng.choice(["en", "de"]), rng.choice(["s1", "s1", "s1", "s2", "s3", "s4"])) for k in range(200)]
-    tokens = {}
-    docs = {}
+    tokens, docs, texts = {}, {}, {i: t for i, t, *_ in rows}
     for i, t, lang, s in rows:
         leaf = ("a" if s in ("s1", "s2") else "b", lang, s)
         tokens[leaf] = tokens.get(leaf, 0) + len(t.split())
@@ -105,7 +104,7 @@ def test_mix_budgets_and_prefixes(spark):
         left, epoch = budget[leaf], 0
         while left > 0:
             whole = min(left // tokens[leaf], 1)
-            for i, n in sorted(own, key=lambda d: hashlib.md5(f"3:{epoch}:{d[0]}".encode()).hexdigest()):
+            for i, n in sorted(own, key=lambda d: hashlib.md5(f"3:{epoch}:{d[0]}:{hashlib.md5(texts[d[0]].encode()).hexdigest()}".encode()).hexdigest()):
                 if left <= 0:
                     break
                 want[i, epoch, min(n, left)] += 1
@@ -116,6 +115,20 @@ def test_mix_budgets_and_prefixes(spark):
     assert Counter((r.doc_id, r.epoch, r.tokens_taken) for r in got.collect()) == want
 
 
+def test_mix_leaves_out_what_has_no_weight(spark):
+    rows = [(k, "a b c", "en" if k % 2 else "de", f"s{k % 3}") for k in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix_documents(df, mixing.Mix(share=(1, 1), weights={"lang": {"de": 0}, "source": {"s1": -1}})).collect()
+    assert {(r.lang, r.source) for r in out} == {("en", "s0"), ("en", "s2")} and sum(r.tokens_taken for r in out) == 180
+    assert mixing.mix_documents(df, mixing.Mix(weights={"lang": {"de": 0, "en": 0}})).count() == 0
+
+
+def test_mix_with_one_id(spark):
+    rows = [(None if k % 2 else 5, f"a b c {k}", "en", "s") for k in range(300)]
+    out = mixing.mix_documents(spark.createDataFrame(rows, DOCS), mixing.Mix(share=(1, 3))).collect()
+    assert sum(r.tokens_taken for r in out) == 400 and len(out) == 100
+
+
 def test_mix_odd(spark):
     out = mixing.mix_documents(odd(spark)).collect()
     assert out and {"domain", "domain_1", "epoch", "epoch_1"} <= set(out[0].asDict()) and all(r.doc_id not in (1, 2, 3) for r in out)
@@ -320,7 +333,9 @@ def test_token_counts(spark):
     got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(spark, df, path, public_tokenizers.PATTERN).collect()}
     assert got == {k: sum(map(brute, regex.findall(public_tokenizers.PATTERN, t))) for k, t in enumerate(texts)} | {9: 0, 10: 0}
     trie = tokencount.Trie(scores)
-    assert trie.count([["abc", "abd"], ["abc"]]) == [brute("abc") + brute("abd"), brute("abc")]
+    assert [trie.count(x) for x in (["abc", "abd"], ["abc"])] == [brute("abc") + brute("abd"), brute("abc")]
+    assert len(trie.score) == 1 + len("abc") + len("d")  # shared prefixes are nodes once, whichever call inserts them
+    assert tokencount.count_tokens(spark, none(spark), path, public_tokenizers.PATTERN).count() == 0
     assert tokencount.count_tokens(spark, odd(spark), path, public_tokenizers.PATTERN).count() == len(ODD)
 
 
@@ -469,6 +484,16 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_odd(spark):
+    import public_tokenizers
+
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (1, 1, None, "x"), (1, 1, "assistant", "y"), (1, 1, "assistant", "y"), (1, None, "assistant", None), (2, 1, "assistant", "word " * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("roles", F.lit("x"))
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(df, str(public_tokenizers.path("byte_bpe_50k.json")))).collect()}
+    assert (got[None].n_turns, got[None].loss_chars) == (2, 1) and (got[1].n_turns, got[1].loss_chars) == (4, 2) and got[2].loss_chars == 500_000
+    assert [list(map(len, p)) for p in chat._in_parts(["a" * 10, "b" * chat.CHARS, "c", "d"])] == [[10], [chat.CHARS], [1, 1]]
+
+
 # 9
 def test_html(spark):
     page = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head &amp; shoulders</h1><p>One&nbsp;two <b>three</b><br>four<p>Five <a href=y>six</a><ul><li>a<li>b</ul><div class=ad>Buy</div><script>var a='</p>';</script></article><section id=comments><p>Nice one</p></section><aside>Side</aside><form>Mail <input></form><footer>&copy; x</footer></body></html>"
