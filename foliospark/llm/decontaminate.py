@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,9 @@ from foliospark.llm.common import Stored, fresh
 WINDOW = 10
 #: Words in a block of the shift table.
 BLOCK = 2
-#: Benchmark bytes that are searched for in one pass over the documents; larger benchmarks take several passes.
-PASS_BYTES = 8 << 20
+#: Benchmark bytes that are searched for in one pass over the documents (some 250 MB of tables in a Python worker); larger
+#: benchmarks take several passes, after the first of which only rows with hits are written.
+PASS_BYTES = 2 << 20
 
 _KEPT = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -118,47 +122,63 @@ def _passes(benchmark: DataFrame) -> list[list[tuple[object, str | None]]]:
     return [slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+_built: dict[str, list[WuManber]] = {}
+
+
+def _matchers(key: str, items: list[tuple[object, str | None]]) -> list[WuManber]:
+    """The tables of a pass, built once in a Python worker."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = patterns_of(items)
+    return _built[key]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _merged_column(spans: pd.Series) -> pd.Series:
+    return pd.Series([merged(list(zip(s[::2].tolist(), s[1::2].tolist()))) for s in spans])
+
+
 def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with three more columns: n_words long, hit_spans array<int> (word offsets), items array<string>.
 
-    The patterns reach the executors in a broadcast of one pass's bounded share of the benchmark.
+    The patterns reach the executors in a broadcast of one pass's bounded share of the benchmark. With several passes the
+    documents are written once, with the first pass's results; the others read their texts and write rows with hits, which
+    meet the documents by a row number at the end.
     """
-    names = [fresh(docs, c) for c in ("n_words", "hit_spans", "items")]
-    n_col, s_col, i_col = names
+    n_col, s_col, i_col = names = [fresh(docs, c) for c in ("n_words", "hit_spans", "items")]
     own_fields = [
         T.StructField(n_col, T.LongType()),
         T.StructField(s_col, T.ArrayType(T.IntegerType())),
         T.StructField(i_col, T.ArrayType(T.StringType())),
     ]
-    columns = docs.columns
-    out = docs
-    for k, group in enumerate(_passes(benchmark)):
-        items = [(r[0], r[1]) for r in group.collect()]
-        shared = spark.sparkContext.broadcast(items)
-
-        def search(batches: Iterator[pa.RecordBatch], first: bool = k == 0, shared=shared) -> Iterator[pa.RecordBatch]:
-            matchers = patterns_of(shared.value)
+
+    def searched(df: DataFrame, group: DataFrame, all_rows: bool) -> DataFrame:
+        """df with the three columns; only rows with hits unless all_rows."""
+        columns = df.columns
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r[0], r[1]) for r in group.collect()]))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matchers = _matchers(*shared.value)
             for batch in batches:
-                ns, spans, items = [], [], []
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                for at, text in enumerate(texts):
-                    n, s, i = scan(text, matchers)
-                    if not first:
-                        old = batch.column(batch.num_columns - 2)[at].as_py()
-                        s = merged(list(zip(old[::2], old[1::2])) + list(zip(s[::2], s[1::2])))
-                        i = sorted({*i, *batch.column(batch.num_columns - 1)[at].as_py()})
-                    ns.append(n)
-                    spans.append(s)
-                    items.append(i)
-                own = [batch.column(c) for c in range(len(columns))]
-                made = [pa.array(ns, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(own + made, names=[*columns, *names])
-
-        schema = T.StructType([*docs.schema.fields, *own_fields]) if k == 0 else out.schema
-        if k:
-            out = Stored(out).df
-        out = out.mapInArrow(search, schema)
-    return out
+                found = [scan(text, matchers) for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                made = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))]
+                out = pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*columns, *names])
+                yield out if all_rows else out.filter(pa.array([bool(f[1]) for f in found]))
+
+        return df.mapInArrow(search, T.StructType([*df.schema.fields, *own_fields]))
+
+    first, *others = _passes(benchmark)
+    if not others:
+        return searched(docs, first, True)
+    rid = fresh([*docs.columns, *names], "row")
+    base = Stored(searched(docs.withColumn(rid, F.monotonically_increasing_id()), first, True)).df
+    hits = [base.where(F.size(f"`{s_col}`") > 0).select(rid, s_col, i_col)]
+    for group in others:
+        hits.append(Stored(searched(base.select(rid, text_col), group, False).select(rid, s_col, i_col)).df)
+    met = reduce(DataFrame.unionByName, hits).groupBy(rid).agg(F.flatten(F.collect_list(s_col)).alias("s"), F.array_distinct(F.flatten(F.collect_list(i_col))).alias("i"))
+    met = met.select(F.col(rid).alias("hit_row"), _merged_column("s").alias("s"), F.array_sort("i").alias("i"))
+    out = base.join(met, base[rid] == met.hit_row, "left")
+    return out.select(*[base[f"`{c}`"] for c in docs.columns], base[n_col], F.coalesce(met.s, base[s_col]).alias(s_col), F.coalesce(met.i, base[i_col]).alias(i_col))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

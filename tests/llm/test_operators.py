@@ -179,6 +179,9 @@ def test_decontaminate(spark, monkeypatch):
     assert check() == want
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 150)  # several passes
     assert check() == want
+    clash = d.withColumns({c: F.lit("x") for c in ("row", "hit_row", "s", "i", "items")})
+    kept = decontaminate.drop_contaminated(spark, clash, b)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {k for k, w in want.items() if not w[-1]}
 
 
 def test_decontaminate_odd(spark):
