@@ -52,7 +52,9 @@ SHARES = (4, 4, 4, 2, 2)
 NEAR = 100_000
 #: Rates of the five features, their fall by round, and the unigram tokens that each row is given.
 RATES, FALL, PRIOR = (0.7, 0.3, 0.2, 0.4, 0.3), 0.8, 150.0
-EPOCHS, ROUNDS = 1, 3
+EPOCHS, ROUNDS = 1, 2
+#: Most partitions of documents whose counts one task sums up before they are shuffled.
+MERGED = 8
 #: Bound of a weight.
 MOST = 6.0
 #: Tokens whose logits are held at once (they fit a core's cache), and tokens of a group of texts.
@@ -163,10 +165,10 @@ class Words(dict):
 
 
 def _feature_rows(f: np.ndarray, rows: int) -> np.ndarray:
-    """Each feature's row among ``rows``, of which each feature has its own run."""
+    """Each feature's row among ``rows``, of which each feature has its own run; sizes are powers of two."""
     size = np.array(SHARES, np.uint64)[:, None] * np.uint64(rows // 16)
     start = (np.cumsum((0, *SHARES[:-1])) * (rows // 16))[:, None]
-    return ((f >> np.uint64(17)) % size).astype(np.int64) + start
+    return ((f >> np.uint64(17)) & (size - np.uint64(1))).astype(np.int64) + start
 
 
 def feature_of_row(rows: int) -> np.ndarray:
@@ -200,9 +202,13 @@ def observe(counts: list[np.ndarray], rows: tuple[np.ndarray, np.ndarray], outco
 
 
 def draw(mass: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """An outcome for each row of masses, by numbers u in [0, 1)."""
-    up = np.cumsum(mass, 1)
-    return np.minimum((up <= (u * up[:, -1])[:, None].astype(np.float32)).sum(1), WIDTH - 1)
+    """An outcome for each row of masses, by numbers u in [0, 1): first an eighth of the row, then a place in it."""
+    line, eighths = np.arange(len(mass)), mass.reshape(len(mass), 8, WIDTH // 8)
+    up = np.cumsum((mass.reshape(-1, WIDTH // 8) @ np.ones(WIDTH // 8, np.float32)).reshape(-1, 8), 1)
+    at = (u * up[:, -1]).astype(np.float32)
+    k = np.minimum((up <= at[:, None]).sum(1), 7)
+    at -= np.where(k, up[line, k - 1], 0)
+    return k * (WIDTH // 8) + np.minimum((np.cumsum(eighths[line, k], 1) <= at[:, None]).sum(1), WIDTH // 8 - 1)
 
 
 def chances(f: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,10 +340,13 @@ def round_of(spark: SparkSession, docs: DataFrame, v: Vocabulary, w: Weights, k:
             for b in range(len(both) // (_BLOCK * WIDTH)):
                 own = both[b * _BLOCK * WIDTH : (b + 1) * _BLOCK * WIDTH]
                 at = np.flatnonzero(own.any(1))
-                if len(at):
-                    yield pd.DataFrame({"block": [2 * b + t], "at": [at.astype(np.uint16).tobytes()], "n": [np.ascontiguousarray(own[at].T).tobytes()]})
+                if len(at):  # counts in as few bytes as the largest needs
+                    n = np.ascontiguousarray(own[at].T, np.min_scalar_type(int(own.max())))
+                    yield pd.DataFrame({"block": [2 * b + t], "at": [at.astype(np.uint16).tobytes()], "n": [n.tobytes()]})
 
-    counted = docs.where(training(F.col("doc_id")) & turn).select("text").mapInPandas(work, "block int, at binary, n binary")
+    texts = docs.where(training(F.col("doc_id")) & turn).select("text")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(texts.rdd.getNumPartitions() / MERGED))
+    counted = texts.coalesce(tasks).mapInPandas(work, "block int, at binary, n binary")
     v_classes, v_members = v.classes, v.members
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,7 +355,7 @@ def round_of(spark: SparkSession, docs: DataFrame, v: Vocabulary, w: Weights, k:
             for block, at, n in zip(part.block, part["at"], part.n):
                 if block not in sums:
                     sums[block] = np.zeros((2, _BLOCK * WIDTH))
-                sums[block][:, np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int32).reshape(2, -1)
+                sums[block][:, np.frombuffer(at, np.uint16)] += np.frombuffer(n, f"u{len(n) // len(at)}").reshape(2, -1)
         for block, n in sums.items():
             rows = np.arange(block // 2 * _BLOCK, block // 2 * _BLOCK + _BLOCK)
             came, drawn = n.reshape(2, _BLOCK, WIDTH)
