@@ -334,14 +334,13 @@ def round_of(spark: SparkSession, docs: DataFrame, v: Vocabulary, w: Weights, k:
     turn = F.pmod(F.xxhash64("text", F.lit(k // rounds)), F.lit(rounds)) == k % rounds
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        came, drawn = counts_of(grouped((t for part in batches for t in part.text), 4 * GROUP), *shared.value)
-        blocks = [np.column_stack(x) for x in zip(came, drawn)]
-        for t, both in enumerate(blocks):
-            for b in range(len(both) // (_BLOCK * WIDTH)):
-                own = both[b * _BLOCK * WIDTH : (b + 1) * _BLOCK * WIDTH]
-                at = np.flatnonzero(own.any(1))
+        came, drawn = counts_of(grouped((t for part in batches for t in part.text), 2 * GROUP), *shared.value)
+        for t, both in enumerate(zip(came, drawn)):
+            for b in range(len(both[0]) // (_BLOCK * WIDTH)):
+                own = np.stack([x[b * _BLOCK * WIDTH : (b + 1) * _BLOCK * WIDTH] for x in both])
+                at = np.flatnonzero(own.any(0))
                 if len(at):  # counts in as few bytes as the largest needs
-                    n = np.ascontiguousarray(own[at].T, np.min_scalar_type(int(own.max())))
+                    n = np.ascontiguousarray(own[:, at], np.min_scalar_type(int(own.max())))
                     yield pd.DataFrame({"block": [2 * b + t], "at": [at.astype(np.uint16).tobytes()], "n": [n.tobytes()]})
 
     texts = docs.where(training(F.col("doc_id")) & turn).select("text")
