@@ -160,12 +160,6 @@ LABELS = {
 }
 STRUCTURAL = ("Dosen", "Paper", "ProgramStudi", "Journal", "Year", "Keyword")
 SEMANTIC = ("Method", "Model", "Metric", "Dataset", "Problem", "Task", "Field", "Tool", "Innovation")
-EDGE_TYPES = {
-    "WRITES": ("Dosen", "Paper"), "MEMBER_OF": ("Dosen", "ProgramStudi"), "PUBLISHED_YEAR": ("Paper", "Year"), "PUBLISHED_IN": ("Paper", "Journal"),
-    "HAS_KEYWORD": ("Paper", "Keyword"), "HAS_METHOD": ("Paper", "Method"), "HAS_MODEL": ("Paper", "Model"), "HAS_METRIC": ("Paper", "Metric"),
-    "HAS_DATASET": ("Paper", "Dataset"), "ADDRESSES": ("Paper", "Problem"), "HAS_TASK": ("Paper", "Task"), "IN_FIELD": ("Paper", "Field"),
-    "HAS_TOOL": ("Paper", "Tool"), "PROPOSES": ("Paper", "Innovation"), "USES": ("Entity", "Entity"),
-}
 
 
 def node_type(label: Column) -> Column:

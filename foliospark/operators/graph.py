@@ -151,7 +151,7 @@ def sample_subgraph(nodes: DataFrame, edges: DataFrame, n: int, seeds: int = 5,
     """
     deg = degrees(edges)
     top = deg.orderBy(F.desc("degree"), "node").limit(seeds).select("node")
-    und = undirected(edges.select("src", "dst")).distinct()
+    und = cut(undirected(edges.select("src", "dst")).distinct())
 
     def around(of: DataFrame, k: int) -> DataFrame:
         near = und.join(of.withColumnRenamed("node", "src"), "src").join(deg.withColumnRenamed("node", "dst"), "dst")
@@ -211,11 +211,11 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, community): every node takes its neighbours' most frequent label, the least of equally frequent ones."""
-    und = undirected(edges.select("src", "dst")).distinct()
+    und = cut(undirected(edges.select("src", "dst")).distinct())
     labels = und.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = und.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
-        labels = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")).select(F.col("src").alias("node"), "label")
+        labels = cut(votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")).select(F.col("src").alias("node"), "label"))
     return labels.withColumnRenamed("label", "community")
 
 
@@ -243,14 +243,11 @@ def record_triples(records: DataFrame) -> DataFrame:
     return records.where(t != "").select(F.inline(both)).unionByName(who).distinct()
 
 
-def tree_paths(folders: DataFrame, depth: int = 20) -> DataFrame:
-    """(id, path, level) of a tree given by parent_id, from the roots down."""
-    now = folders.where("parent_id is null").select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(0).alias("level"))
-    out = now
-    for _ in range(depth):
-        below = folders.select(F.col("id").alias("c"), "parent_id", "name")
-        now = now.join(below, F.col("id") == F.col("parent_id")).select(F.col("c").alias("id"), F.concat_ws("/", "path", "name").alias("path"), (F.col("level") + 1).alias("level")).persist()
-        if not now.head(1):
-            break
+def tree_paths(folders: DataFrame) -> DataFrame:
+    """(id, path, level) of a tree given by parent_id, from the roots down to its last level."""
+    now = out = cut(folders.where("parent_id is null").select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(0).alias("level")))
+    below = folders.where("parent_id is not null").select(F.col("id").alias("c"), "parent_id", "name")
+    while now.head(1):
+        now = cut(now.join(below, F.col("id") == F.col("parent_id")).select(F.col("c").alias("id"), F.concat_ws("/", "path", "name").alias("path"), (F.col("level") + 1).alias("level")))
         out = out.unionByName(now)
     return out

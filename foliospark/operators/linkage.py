@@ -22,7 +22,7 @@ def similar_pairs(df: DataFrame, id_col: str, set_col: str, threshold: float) ->
     item among the first n - ceil(t * n) + 1 of both. Only those are joined, so frequent items hardly take part, and no
     pair is lost. Candidates are verified on the whole sets.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.col(set_col).alias("s")).where(F.size("s") > 0)
+    sets = df.select(F.col(id_col).alias("id"), F.array_distinct(set_col).alias("s")).where(F.size("s") > 0)
     items = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
     freq = items.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     ordered = items.join(freq, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"), F.first("n").alias("n"))
@@ -32,7 +32,8 @@ def similar_pairs(df: DataFrame, id_col: str, set_col: str, threshold: float) ->
     long_enough = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
     cand = a.join(b, "t").where((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
     full = cand.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-    return full.select("a", "b", text.jaccard(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= threshold)
+    common = F.size(F.array_intersect("sa", "sb"))
+    return full.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("score")).where(F.col("score") >= threshold)
 
 
 def greedy_keep(df: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
@@ -156,18 +157,27 @@ def matched_with_ambiguity(left: DataFrame, tiers: list[tuple[str, int, DataFram
     return left.select(left_id).join(best, left_id, "left").select(left_id, F.when(F.col("b.n") == 1, F.col("b.rid")).alias("right_id"), F.coalesce(strategy, F.lit("unmatched")).alias("strategy"), F.coalesce("b.score", F.lit(0)).alias("score"))
 
 
-def resolve_aliases(alias: DataFrame, depth: int = 32) -> DataFrame:
-    """(src, dst): where each alias ends. On a cycle it ends at the first key met twice. By pointer steps, ``depth`` at most."""
-    now = alias.select("src", "dst", F.array("src").alias("seen"))
+def resolve_aliases(alias: DataFrame) -> DataFrame:
+    """(src, dst): where each alias ends, however long the chain is. On a cycle it ends at the first key met twice.
+
+    Pointers double in each round, so a chain of n links takes log2(n) rounds; what still moves then leads into a cycle and
+    is walked step by step.
+    """
+    now, moved = cut(alias.select("src", "dst")), True
+    for _ in range(alias.count().bit_length() + 1):
+        step = now.select(F.col("src").alias("s2"), F.col("dst").alias("d2"))
+        nxt = cut(now.join(step, F.col("dst") == F.col("s2"), "left").select("src", F.coalesce("d2", "dst").alias("dst"), F.col("d2").isNotNull().alias("moved")))
+        now, moved = nxt.select("src", "dst"), bool(nxt.where("moved").head(1))
+        if not moved:
+            return now
     step = alias.select(F.col("src").alias("s2"), F.col("dst").alias("d2"))
-    for _ in range(depth):
-        looped = F.array_contains("seen", F.col("dst"))
-        nxt = now.join(step, (F.col("dst") == F.col("s2")) & ~looped, "left")
-        now = nxt.select("src", F.coalesce("d2", "dst").alias("dst"), F.when(F.col("d2").isNotNull(), F.concat("seen", F.array("dst"))).otherwise(F.col("seen")).alias("seen"), F.col("d2").isNotNull().alias("moved"))
-        now = now.persist()
-        if not now.where("moved").head(1):
-            break
-    return now.select("src", "dst")
+    circling = now.join(step.select(F.col("s2").alias("dst")).distinct(), "dst", "left_semi").select("src")
+    walk = cut(alias.join(circling, "src", "left_semi").select("src", "dst", F.array("src").alias("seen")))
+    while moved:
+        nxt = walk.join(step, (F.col("dst") == F.col("s2")) & ~F.array_contains("seen", F.col("dst")), "left")
+        nxt = cut(nxt.select("src", F.coalesce("d2", "dst").alias("dst"), F.when(F.col("d2").isNotNull(), F.concat("seen", F.array("dst"))).otherwise(F.col("seen")).alias("seen"), F.col("d2").isNotNull().alias("moved")))
+        walk, moved = nxt.drop("moved"), bool(nxt.where("moved").head(1))
+    return now.join(circling, "src", "left_anti").unionByName(walk.select("src", "dst"))
 
 
 def apply_aliases(refs: DataFrame, resolved: DataFrame) -> DataFrame:

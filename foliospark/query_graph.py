@@ -156,9 +156,9 @@ def _(t: Tables):
     return graph.paths(edges(t), seeds, 2, 20).select("seed", F.array_join("path", " ").alias("path"))
 
 
-@query("h13_lookback", "with w as (select doc_id, i, lower(w[i]) as w, lower(w[i + 1]) as w1, lower(w[i + 2]) as w2, lower(w[i + 3]) as w3 from (select doc_id, string_split(left(text, 200), ' ') as w, unnest(range(1, len(string_split(left(text, 200), ' ')) + 1)) as i from documents)) select src, dst, count(*) as n from (select w as src, w1 as dst from w union all select w, w2 from w union all select w, w3 from w) where dst is not null and src <> dst group by 1, 2")
+@query("h13_lookback", "with w as (select doc_id, i, lower(w[i]) as w, lower(w[i + 1]) as w1, lower(w[i + 2]) as w2, lower(w[i + 3]) as w3 from (select doc_id, string_split(text, ' ') as w, unnest(range(1, len(string_split(text, ' ')) + 1)) as i from documents)) select src, dst, count(*) as n from (select w as src, w1 as dst from w union all select w, w2 from w union all select w, w3 from w) where dst is not null and src <> dst group by 1, 2")
 def _(t: Tables):
-    words = t.documents.select(F.col("doc_id").alias("sent"), F.posexplode(F.split(F.substring("text", 1, 200), " ")).alias("pos", "node")).withColumn("node", F.lower("node"))
+    words = t.documents.select(F.col("doc_id").alias("sent"), F.posexplode(F.split("text", " ")).alias("pos", "node")).withColumn("node", F.lower("node"))
     return graph.lookback_pairs(words, 3)
 
 
@@ -189,7 +189,7 @@ def _(t: Tables):
 
 @query("h16_communities")
 def _(t: Tables):
-    return graph.label_propagation(graph.coauthors(t.lineitem.where("l_quantity > 40"), "l_orderkey", "l_suppkey").select(F.col("a").alias("src"), F.col("b").alias("dst")), 3)
+    return graph.label_propagation(graph.coauthors(t.lineitem, "l_orderkey", "l_suppkey").select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 @query("h18_record_triples", "select 'Part ' || p_partkey as h, 'HAS_KEYWORD' as r, w as t from (select distinct p_partkey, unnest(string_split(p_type, ' ')) as w from part) union all select 'Part ' || p_partkey, 'BELONGS_TO', p_brand from part")

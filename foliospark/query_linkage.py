@@ -1,43 +1,78 @@
 """Queries on deduplication, matching and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliospark.functions import text
 from foliospark.operators import linkage, relational
 from foliospark.queries import Tables, query
-from foliospark.sources import sinks
+from foliospark.shared import shared_dir
+from foliospark.sources import readers, sinks
+
+
+#: Titles are the first eight words of documents, thousands of different ones with copies among them.
+TITLES = "select doc_id, array_to_string(string_split(text, ' ')[1:8], ' ') as title from documents"
+#: Trigrams of squashed titles, one row a title; pairs of them by their Jaccard similarity.
+_SETS = """s as (select id, t, case when length(t) > 2 then list_distinct([substring(t, i, 3) for i in range(1, length(t) - 1)]) else [] end as g from once where length(t) >= 10),
+    items as (select id, len(g) as n, unnest(g) as x from s),
+    common as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from items a join items b on a.x = b.x and a.id < b.id and a.n * 5 >= b.n * 4 and b.n * 5 >= a.n * 4 group by 1, 2),
+    pairs as (select a, b, c / (na + nb - c) as score from common)"""
+
+
+def _titles(t: Tables):
+    return t.documents.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"))
 
 
-@query("e1_dedup_titles", """
-with b as (select min(p_partkey) as k, replace(lower(trim(p_name)), ' ', '') as t from part group by 2)
-select k as p_partkey from b""")
+@query("e1_dedup_titles", f"""
+with recursive titles as ({TITLES}), once as (select min(doc_id) as id, replace(lower(trim(title)), ' ', '') as t from titles group by 2),
+    {_SETS}, near as (select b, list(a) as earlier from pairs where score >= 0.8 group by b),
+    numbered as (select id, coalesce(earlier, []) as earlier, row_number() over (order by id) as r from once left join near on b = id where id in (select a from pairs where score >= 0.8 union select b from pairs where score >= 0.8)),
+    walk(r, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all
+        select n.r, case when list_has_any(kept, n.earlier) then kept else list_append(kept, n.id) end from walk join numbered n on n.r = walk.r + 1)
+select id as doc_id from once where id not in (select id from numbered) or id in (select unnest(kept) from walk where r = (select max(r) from walk))""")
 def _(t: Tables):
-    """Keep-first by title; the fuzzy part is tested by hand-made cases."""
-    return relational.keep_first(t.part.withColumn("_t", text.squashed(F.col("p_name"))), ["_t"], ["p_partkey"], empty_is_unique=False).select("p_partkey")
+    """The whole operator: equal titles, then those that resemble an earlier one that stays."""
+    return linkage.dedup_papers(_titles(t), "doc_id").select("doc_id")
 
 
-@query("e1_fuzzy_pairs", """
-with s as (select p_partkey as id, list_distinct([substring(replace(lower(p_type), ' ', ''), i, 3) for i in range(1, length(replace(p_type, ' ', '')) - 1)]) as g from (select min(p_partkey) as p_partkey, p_type from part group by 2))
-select a.id as a, b.id as b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) as score from s a join s b on a.id < b.id where len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.6""")
+@query("e1_fuzzy_pairs", f"""
+with titles as ({TITLES}), once as (select min(doc_id) as id, replace(lower(trim(title)), ' ', '') as t from titles group by 2), {_SETS}
+select a, b, round(score, 6) as score from pairs where score >= 0.8""")
 def _(t: Tables):
-    kinds = t.part.groupBy("p_type").agg(F.min("p_partkey").alias("id")).select("id", text.trigrams(text.squashed(F.col("p_type"))).alias("g"))
-    return linkage.similar_pairs(kinds, "id", "g", 0.6).select("a", "b", F.round("score", 6).alias("score"))
+    kinds = _titles(t).groupBy(text.squashed(F.col("title")).alias("t")).agg(F.min("doc_id").alias("id")).where("length(t) >= 10").select("id", text.trigrams(F.col("t")).alias("g"))
+    return linkage.similar_pairs(kinds, "id", "g", 0.8).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query("e1_greedy_dedup")
+@query("e1_greedy_dedup", f"""
+with recursive titles as ({TITLES}), once as (select min(doc_id) as id, replace(lower(trim(title)), ' ', '') as t from titles group by 2), {_SETS},
+    near as (select b, list(a) as earlier from pairs where score >= 0.8 group by b), numbered as (select id, coalesce(earlier, []) as earlier, row_number() over (order by id) as r from s left join near on b = id),
+    walk(r, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all
+        select n.r, case when list_has_any(kept, n.earlier) then kept else list_append(kept, n.id) end from walk join numbered n on n.r = walk.r + 1)
+select id as key, t as title from once where id in (select unnest(kept) from walk where r = (select max(r) from walk))""")
 def _(t: Tables):
-    kinds = t.part.groupBy("p_type").agg(F.min("p_partkey").alias("id"))
-    pairs = linkage.similar_pairs(kinds.select("id", text.trigrams(text.squashed(F.col("p_type"))).alias("g")), "id", "g", 0.6)
-    return linkage.greedy_keep(kinds.withColumnRenamed("id", "key"), "key", pairs).select("key", "p_type")
+    kinds = _titles(t).groupBy(text.squashed(F.col("title")).alias("title")).agg(F.min("doc_id").alias("key")).where("length(title) >= 10")
+    pairs = linkage.similar_pairs(kinds.select(F.col("key").alias("id"), text.trigrams(F.col("title")).alias("g")), "id", "g", 0.8)
+    return linkage.greedy_keep(kinds, "key", pairs).select("key", "title")
 
 
 @query("e3_dedup_cascade", """
-with a as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as r from orders), b as (select *, row_number() over (partition by o_orderpriority, o_totalprice order by o_orderdate desc, o_orderkey) as r2 from a where r = 1)
-select o_orderkey from b where r2 = 1""")
-def _(t: Tables):
-    by = [F.desc("o_orderdate"), F.col("o_orderkey")]
-    one = relational.top_per_group(t.orders, ["o_custkey"], by)
-    return relational.top_per_group(one, ["o_orderpriority", "o_totalprice"], by).select("o_orderkey")
+with p as (select doc_id, case when doc_id % 3 = 0 then '10.1/' || (doc_id % 500) when doc_id % 3 = 1 then 'none' else null end as doi, case when doc_id % 4 = 0 then 'http://x/' || (doc_id % 600) else '' end as link,
+        array_to_string(string_split(text, ' ')[1:2], ' ') as title, 2000 + doc_id % 9 as year, case when doc_id % 2 = 0 then lang else '' end as abstract, source as keywords from documents),
+    f as (select *, (trim(abstract) <> '')::int + (trim(keywords) <> '')::int + (coalesce(trim(doi), '') <> '')::int as filled from p),
+    a as (select *, row_number() over (partition by case when regexp_matches(doi, '^10[.]') then lower(doi) end order by filled desc, year desc, doc_id) as r1 from f),
+    b as (select *, row_number() over (partition by trim(link) order by filled desc, year desc, doc_id) as r2 from a where r1 = 1 or doi is null or not regexp_matches(doi, '^10[.]')),
+    c as (select *, replace(lower(trim(title)), ' ', '') as t from b where r2 = 1 or trim(link) = ''),
+    d as (select *, row_number() over (partition by t, year order by filled desc, year desc, doc_id) as r3 from c)
+select doc_id from d where r3 = 1 or t = ''""")
+def _(t: Tables):
+    n = F.col("doc_id")
+    p = t.documents.select(
+        "doc_id", F.when(n % 3 == 0, F.concat(F.lit("10.1/"), (n % 500).cast("string"))).when(n % 3 == 1, F.lit("none")).alias("doi"),
+        F.when(n % 4 == 0, F.concat(F.lit("http://x/"), (n % 600).cast("string"))).otherwise("").alias("link"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("title"),
+        (n % 9 + 2000).alias("year"), F.when(n % 2 == 0, F.col("lang")).otherwise("").alias("abstract"), F.col("source").alias("keywords"),
+    )
+    return linkage.dedup_publications(p, "doc_id").select("doc_id")
 
 
 @query("e4_drop_duplicates", "select count(*) as n from (select distinct l_orderkey, l_partkey, l_suppkey from lineitem)")
@@ -143,6 +178,40 @@ def _(t: Tables):
     return sinks.replace_chunks(old, new)
 
 
+@query("k15_json_rows", "select doc_id, case when doc_id % 5 = 0 then null else source end as source, n_chars from documents")
+def _(t: Tables):
+    path = f"{shared_dir(t.spark)}/rows-{uuid.uuid4().hex}"
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"), "n_chars")
+    sinks.write_json_rows(rows, path)
+    return readers.json_lines(t.spark, path, "doc_id long, source string, n_chars long")
+
+
+@query("s1_csv_text", "select cast(p_partkey as varchar) as p_partkey, p_name, case when p_partkey % 7 = 0 then '' else p_brand || ', \"' || p_type || '\"' end as note from part")
+def _(t: Tables):
+    """Out by the quoting sink and in again: every value is text, nulls are empty, quotes and commas survive."""
+    path = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    note = F.when(F.col("p_partkey") % 7 != 0, F.concat("p_brand", F.lit(', "'), "p_type", F.lit('"')))
+    t.part.select("p_partkey", "p_name", note.alias("note")).write.option("escape", '"').csv(path, header=True)
+    return readers.csv_text(t.spark, path)
+
+
+@query("s5_missing_source", "select cast(s_suppkey as varchar) as s_suppkey, s_name from supplier")
+def _(t: Tables):
+    path = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    t.supplier.select("s_suppkey", "s_name").write.csv(path, header=True)
+    names = ["s_suppkey", "s_name"]
+    return readers.csv_or_empty(t.spark, path, names).unionByName(readers.csv_or_empty(t.spark, f"{path}-missing", names))
+
+
+@query("s7_json_lines", "select c_custkey, c_name from customer where c_custkey % 5 not in (1, 2)")
+def _(t: Tables):
+    """Broken lines and those without the required field go."""
+    path = f"{shared_dir(t.spark)}/json-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct("c_custkey", F.when(F.col("c_custkey") % 5 != 1, F.col("c_name")).alias("c_name")))
+    t.customer.select(F.when(F.col("c_custkey") % 5 == 2, F.concat(F.lit("{"), line)).otherwise(line).alias("value")).write.text(path)
+    return readers.json_lines(t.spark, path, "c_custkey long, c_name string", "c_name")
+
+
 @query("k18_soft_delete", "select c_custkey, case when c_acctbal < 0 then 1 else 0 end as is_deleted from customer")
 def _(t: Tables):
     return sinks.soft_delete(t.customer.withColumn("is_deleted", F.lit(0)), F.col("c_acctbal") < 0).select("c_custkey", "is_deleted")

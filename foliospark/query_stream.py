@@ -29,9 +29,9 @@ def _(t: Tables):
     return events.read_after(_log(t).where("run_id = '7'"), "1705000000000-99999").select("event_id", "seq")
 
 
-@query("x3_last_seq", "select user_id::varchar as run_id, cast(max((epoch_us(ts) // 1000)) as varchar) as ms from events group by 1")
+@query("x3_last_seq", "with l as (select user_id::varchar as run_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id, (epoch_us(ts) // 1000) order by event_id) - 1 as s from events) select run_id, arg_max(ms || '-' || s, ms * 100000 + s) as last_seq from l group by 1")
 def _(t: Tables):
-    return events.last_seq(_log(t)).select("run_id", F.substring_index("last_seq", "-", 1).alias("ms"))
+    return events.last_seq(_log(t)).select("run_id", "last_seq")
 
 
 @query("x4_stream_counts", "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 3) as value from events group by 1, 2")

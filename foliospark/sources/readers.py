@@ -36,8 +36,9 @@ def csv_behind_preamble(spark: SparkSession, path: str, first: str, lines: int =
     if header is None:
         raise ValueError(f"no header line starts with {first!r} in the first {lines} lines")
     names = [n.strip().strip('"') for n in header.removeprefix("\ufeff").split(",")]
-    preamble = [r.value for r in numbered[: [r.value for r in numbered].index(header) + 1]]
-    body = spark.read.text(path).where(~F.coalesce("value", F.lit("")).isin(*[v or "" for v in preamble]) & (F.trim("value") != ""))
+    # the file's first lines are numbered from 0 on; a line of data may repeat one of the preamble
+    head = [r.value for r in numbered].index(header)
+    body = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where((F.col("at") > head) & (F.trim("value") != ""))
     return body.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("r.*").fillna("")
 
 

@@ -11,14 +11,17 @@ from foliospark.sources.readers import exists
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table and swaps, since the new rows may be read from the old ones."""
+    """Writes beside the table and swaps, since the new rows may be read from the old ones. The old table stays aside until the new one is in place."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
-    p, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new"))
+    p, new, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new", f"{path}.old"))
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p, True)
+    fs.delete(old, True)
+    if fs.exists(p) and not fs.rename(p, old):
+        raise OSError(f"{path} could not be put aside")
     if not fs.rename(new, p):
-        raise OSError(f"{path}.new could not take the place of {path}")
+        raise OSError(f"{path}.new could not take the place of {path}; the old table is {path}.old")
+    fs.delete(old, True)
 
 
 def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], order: str) -> int:
@@ -57,6 +60,11 @@ def write_quoted_csv(df: DataFrame, path: str, id_columns: list[str]) -> None:
     df.withColumns({c: nulls.clean_id(F.col(c)) for c in id_columns if c in df.columns}).write.mode("overwrite").option("quoteAll", True).csv(path, header=True)
 
 
+def write_json_rows(df: DataFrame, path: str) -> None:
+    """One object a line, nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """Chunks of re-indexed files in place of their old ones."""
     return old.join(new.select("file_id").distinct(), "file_id", "left_anti").unionByName(new)

@@ -264,3 +264,26 @@ def test_small_relational(spark):
     assert dict(relational.mode_or_first(df, ["k"], "v", "pos").collect()) == {"a": "y", "b": None}
     assert relational.keep_first(df, ["v"], ["pos"]).count() == 3
     assert relational.pick(df, ["POS"]) == "pos" and relational.pick(df, ["nothing"]) is None
+
+
+def test_long_chains_are_followed_to_the_end(spark):
+    chain = [(f"k{n:03}", f"k{n + 1:03}") for n in range(100)]
+    cycle = [("a", "b"), ("b", "c"), ("c", "b"), ("d", "d")]
+    got = dict(linkage.resolve_aliases(spark.createDataFrame(chain + cycle, "src string, dst string")).collect())
+    assert all(got[s] == "k100" for s, _ in chain) and {k: got[k] for k in "abcd"} == {"a": "b", "b": "b", "c": "c", "d": "d"}
+    tree = [(n, n - 1 if n else None, f"f{n}") for n in range(60)]
+    out = graph.tree_paths(spark.createDataFrame(tree, "id long, parent_id long, name string")).collect()
+    assert len(out) == 60 and max(r.level for r in out) == 59
+
+
+def test_table_is_replaced_by_rows_read_from_it(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    for n in (1, 2):
+        sinks.upsert_table(spark, path, spark.createDataFrame([(k, f"v{n}", n) for k in range(n, n + 3)], "k long, v string, at long"), ["k"], "at")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "v1"), (2, "v2"), (3, "v2"), (4, "v2")]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_csv_keeps_lines_that_repeat_the_preamble(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Export\nTitle,Year\nA,1\nTitle,Year\nExport\n")
+    assert sorted(map(tuple, readers.csv_behind_preamble(spark, f"file://{tmp_path}/s.csv", "Title").collect())) == [("A", "1"), ("Export", ""), ("Title", "Year")]
