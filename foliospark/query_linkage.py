@@ -46,10 +46,10 @@ def _(t: Tables):
 
 @query("e1_greedy_dedup", f"""
 with recursive titles as ({TITLES}), once as (select min(doc_id) as id, replace(lower(trim(title)), ' ', '') as t from titles group by 2), {_SETS},
-    near as (select b, list(a) as earlier from pairs where score >= 0.8 group by b), numbered as (select id, coalesce(earlier, []) as earlier, row_number() over (order by id) as r from s left join near on b = id),
+    near as (select b, list(a) as earlier from pairs where score >= 0.8 group by b), numbered as (select id, coalesce(earlier, []) as earlier, row_number() over (order by id) as r from s left join near on b = id where id in (select a from pairs where score >= 0.8 union select b from pairs where score >= 0.8)),
     walk(r, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all
         select n.r, case when list_has_any(kept, n.earlier) then kept else list_append(kept, n.id) end from walk join numbered n on n.r = walk.r + 1)
-select id as key, t as title from once where id in (select unnest(kept) from walk where r = (select max(r) from walk))""")
+select id as key, t as title from s where id not in (select id from numbered) or id in (select unnest(kept) from walk where r = (select max(r) from walk))""")
 def _(t: Tables):
     kinds = _titles(t).groupBy(text.squashed(F.col("title")).alias("title")).agg(F.min("doc_id").alias("key")).where("length(title) >= 10")
     pairs = linkage.similar_pairs(kinds.select(F.col("key").alias("id"), text.trigrams(F.col("title")).alias("g")), "id", "g", 0.8)
