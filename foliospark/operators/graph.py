@@ -189,24 +189,22 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int = 2, per_seed: int = 20)
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
     """(node, rank) by power iteration over src -> dst with equal weights; nodes without out-edges spread evenly.
 
-    The graph is partitioned by node once; each round is one join and one aggregation. Lineage is cut every 5 rounds.
+    A round joins edges with ranks and sums by target, partly before the shuffle; a hub's edges stay single rows, so that a
+    skewed join can be split. Each round's ranks are written, since the next one reads them twice.
     """
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    out = e.groupBy("src").agg(F.collect_list("dst").alias("to"))
-    links = nodes.join(out, F.col("node") == F.col("src"), "left").select("node", "to").persist()
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
-        both = links.join(rank, "node")
-        lost = both.agg(F.coalesce(F.sum(F.when(F.col("to").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        got = both.where("to is not null").select(F.explode("to").alias("node"), (F.col("rank") / F.size("to")).alias("r")).groupBy("node").agg(F.sum("r").alias("r"))
-        rank = links.select("node").join(got, "node", "left").join(F.broadcast(lost)).select("node", ((1 - alpha) / n + alpha * (F.coalesce("r", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        # a round reads the last one's ranks twice, so they are kept
-        rank = cut(rank) if k % 5 == 4 else rank.persist()
-    return rank
+    out = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    rank = cut(nodes.join(out, F.col("node") == F.col("src"), "left").select("node", "k", F.lit(1.0 / n).alias("rank")))
+    for _ in range(rounds):
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        share = rank.where("k is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("k")).alias("r"))
+        got = e.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("r").alias("r"))
+        rank = cut(rank.select("node", "k").join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "k", ((1 - alpha) / n + alpha * (F.coalesce("r", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
+    return rank.select("node", "rank")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:

@@ -98,6 +98,7 @@ def tiered_match(left: DataFrame, right: DataFrame, tiers: list[tuple[str, Colum
         both = l_.where(F.coalesce("_k", F.lit("")) != "").join(r_.where(F.coalesce("_k", F.lit("")) != ""), "_k")
         both = both.withColumn("_s", score if score is not None else F.lit(1.0)).where("_s > 0")
         hit = both.groupBy(right_id).agg(F.min_by(left_id, F.struct(-F.col("_s"), F.col(left_id))).alias(left_id), F.max("_s").alias("score")).withColumn("tier", F.lit(name))
+        hit = cut(hit)  # every later tier reads it
         out.append(hit)
         done = hit.select(right_id) if done is None else done.unionByName(hit.select(right_id))
     return reduce(DataFrame.unionByName, out)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliospark.functions import names, text
-from foliospark.operators import etl, relational
+from foliospark.operators import etl
 from foliospark.queries import Tables, query
 from foliospark.query_graph import edges
 
@@ -34,7 +34,7 @@ def _(t: Tables):
     return etl.abbreviated_match(a, t.customer.select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" xavier")).alias("name")))
 
 
-@query("j13_initials")
+@query("j13_initials", "select s_suppkey as rpos, s_suppkey as lpos, 'initials' as tier from supplier")
 def _(t: Tables):
     left = t.supplier.select(F.col("s_suppkey").alias("pos"), F.lower(F.concat(F.lit("adi "), "s_name")).alias("name"))
     right = t.supplier.select(F.col("s_suppkey").alias("pos"), F.lower(F.concat(F.lit("a "), "s_name")).alias("name"))
@@ -198,4 +198,4 @@ def _(t: Tables):
 
 @query("l6_entity_list", "select s_name as name, s_acctbal as score from supplier order by s_acctbal desc, s_name limit 8")
 def _(t: Tables):
-    return relational.top_per_group(t.supplier.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("score"), F.lit(0).alias("g")), ["g"], [F.desc("score"), F.col("name")], 8).drop("g")
+    return t.supplier.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("score")).orderBy(F.desc("score"), "name").limit(8)

@@ -38,10 +38,9 @@ def _(t: Tables):
     return t.lineitem.join(s, F.col("s_suppkey") == F.col("l_suppkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).groupBy("n_name", "p_brand").agg(F.count_distinct("l_orderkey").alias("papers"))
 
 
-@query("j27_expert_finder", "with w as (select distinct l_suppkey as a, p_brand as k from lineitem join part on p_partkey = l_partkey where p_size = 1) select x.a, y.a as b, count(*) as problems from w x join w y on x.k = y.k and x.a < y.a group by 1, 2")
+@query("j27_expert_finder", "with w as (select distinct l_suppkey as a, l_partkey as k from lineitem) select x.a, y.a as b, count(*) as problems from w x join w y on x.k = y.k and x.a < y.a group by 1, 2")
 def _(t: Tables):
-    w = t.lineitem.join(t.part.where("p_size = 1"), F.col("p_partkey") == F.col("l_partkey")).select("l_suppkey", "p_brand")
-    return graph.coauthors(w, "p_brand", "l_suppkey").withColumnRenamed("n", "problems")
+    return graph.coauthors(t.lineitem, "l_partkey", "l_suppkey").withColumnRenamed("n", "problems")
 
 
 @query("j28_optional_match", "select s_suppkey, count(distinct l_orderkey) as returned from supplier left join lineitem on l_suppkey = s_suppkey and l_returnflag = 'R' and l_quantity > 45 group by 1")
@@ -150,7 +149,12 @@ def _(t: Tables):
     return graph.keyword_neighbourhood(nodes, edges(t), "00001", 40)[0]
 
 
-@query("h11_paths")
+@query("h11_paths", f"""
+with e as (select distinct * from {_EDGES}), ids as (select *, src || chr(9247) || rel || chr(9247) || dst as eid from e),
+    u as (select src as a, dst as b, rel, eid from ids union all select dst, src, rel, eid from ids where src <> dst),
+    one as (select a as seed, b as here, [a, rel, b] as path, eid as used from u where a in ('a1', 'a2')),
+    two as (select seed, list_concat(path, [rel, b]) as path from one join u on a = here and eid <> used)
+select seed, array_to_string(path, ' ') as path from (select seed, path from one union all select seed, path from two) qualify row_number() over (partition by seed order by len(path), path) <= 20""")
 def _(t: Tables):
     seeds = t.spark.createDataFrame([("a1",), ("a2",)], "node string")
     return graph.paths(edges(t), seeds, 2, 20).select("seed", F.array_join("path", " ").alias("path"))
@@ -168,7 +172,7 @@ def _(t: Tables):
 
 
 _RANK = """
-with recursive e as (select distinct s_nationkey as src, (s_suppkey * 7) % 25 as dst from supplier), n as (select src as node from e union select dst from e),
+with e as (select distinct l_suppkey as src, l_partkey as dst from lineitem), n as (select src as node from e union select dst from e),
 d as (select src, count(*) as k from e group by 1), c as (select count(*) as n from n),
 r0 as (select node, 1.0 / (select n from c) as r from n)"""
 
@@ -178,16 +182,24 @@ def _rank_sql(rounds: int) -> str:
     for k in range(1, rounds + 1):
         out += f""", r{k} as (select n.node, 0.15 / (select n from c) + 0.85 * (coalesce(sum(p.r / d.k), 0) + (select coalesce(sum(x.r), 0) from r{k - 1} x where x.node not in (select src from e)) / (select n from c)) as r
 from n left join e on e.dst = n.node left join r{k - 1} p on p.node = e.src left join d on d.src = e.src group by n.node)"""
-    return f"{out} select cast(node as bigint) as node, round(r, 6) as rank from r{rounds}"
+    return f"{out} select cast(node as bigint) as node, round(r, 9) as rank from r{rounds}"
 
 
 @query("h14_pagerank", _rank_sql(5))
 def _(t: Tables):
-    e = t.supplier.select(F.col("s_nationkey").cast("long").alias("src"), ((F.col("s_suppkey") * 7) % 25).alias("dst"))
-    return graph.pagerank(e, rounds=5).select("node", F.round("rank", 6).alias("rank"))
+    e = t.lineitem.select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"))
+    return graph.pagerank(e, rounds=5).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query("h16_communities")
+def _communities_sql(rounds: int) -> str:
+    out = f"with w as ({_WRITES}), e as (select x.a as src, y.a as dst from w x join w y on x.p = y.p and x.a <> y.a group by 1, 2), l0 as (select distinct src as node, src as label from e)"
+    for k in range(1, rounds + 1):
+        votes = f"select src, label, count(*) as n from e join l{k - 1} on node = dst group by 1, 2"
+        out += f", l{k} as (select src as node, label from ({votes}) qualify row_number() over (partition by src order by n desc, label) = 1)"
+    return f"{out} select node, label as community from l{rounds}"
+
+
+@query("h16_communities", _communities_sql(5))
 def _(t: Tables):
     return graph.label_propagation(graph.coauthors(t.lineitem, "l_orderkey", "l_suppkey").select(F.col("a").alias("src"), F.col("b").alias("dst")))
 

@@ -2,16 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from foliospark.functions import vectors
 from foliospark.operators import chunking, evaluation, retrieval
 from foliospark.queries import Tables, query
 
 
 def _queries(t: Tables):
-    return t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
-_HITS = "select q.vec_id as qid, e.vec_id as chunk_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as s from embeddings e, embeddings q where q.vec_id < 5"
+_HITS = "select q.vec_id as qid, e.vec_id as chunk_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as s from embeddings e, embeddings q where q.vec_id % 50 = 0"
 
 
 @query("v2_dense_search", f"select qid, chunk_id, round(s, 6) as score from (select *, row_number() over (partition by qid order by s desc, chunk_id) as r from ({_HITS})) where r <= 10 and s >= 0.2")
@@ -55,7 +54,7 @@ def _(t: Tables):
     from foliospark.operators.relational import top_per_group
 
     chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    hits = chunks.crossJoin(F.broadcast(_queries(t))).select("qid", "chunk_id", vectors.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    hits = retrieval.scores(chunks, _queries(t))
     a = top_per_group(hits, ["qid"], [F.desc("score"), F.col("chunk_id")], 20)
     b = top_per_group(hits, ["qid"], [F.col("score"), F.col("chunk_id")], 20)
     return retrieval.fuse(a, b, 0.7, 0.3).select("qid", "chunk_id", F.round("score", 5).alias("score"))
@@ -169,7 +168,7 @@ def _(t: Tables):
     return chunking.split_characters(t.documents, "doc_id", "text")
 
 
-@query("v13_exact_neighbours", "select q.vec_id as qid, e.vec_id as chunk_id from embeddings e, embeddings q where q.vec_id < 5 and e.vec_id <> q.vec_id qualify row_number() over (partition by q.vec_id order by list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) desc, e.vec_id) <= 5")
+@query("v13_exact_neighbours", "select q.vec_id as qid, e.vec_id as chunk_id from embeddings e, embeddings q where q.vec_id % 50 = 0 and e.vec_id <> q.vec_id qualify row_number() over (partition by q.vec_id order by list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) desc, e.vec_id) <= 5")
 def _(t: Tables):
     from foliospark.operators.relational import top_per_group
 

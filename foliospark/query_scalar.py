@@ -59,10 +59,9 @@ def _(t: Tables):
     return t.customer.select("c_custkey", names.without_titles(F.concat(F.lit("Prof. Dr. "), "c_name", F.lit(", M.T."))).alias("v"))
 
 
-@query("f7_normalized_name", "select doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(left(regexp_replace(text, ',.*', '', 's'), 40))), '[.;()\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g')) as v from documents where lang = 'fr' and regexp_matches(left(text, 40), '^[A-Za-zÀ-ÿ ]+$')")
+@query("f7_normalized_name", "select doc_id, regexp_replace(strip_accents(lower(trim(regexp_replace(regexp_replace(text, ',.*', '', 's'), '\\s+', ' ', 'g')))), '[^\\x00-\\x7F]', '', 'g') as v from documents")
 def _(t: Tables):
-    ok = (F.col("lang") == "fr") & F.substring("text", 1, 40).rlike("^[A-Za-zÀ-ÿ ]+$")
-    return t.documents.where(ok).select("doc_id", names.fold(F.lower(text.squeeze(F.substring(F.regexp_replace("text", "(?s),.*", ""), 1, 40)))).alias("v"))
+    return t.documents.select("doc_id", names.fold(F.lower(text.squeeze(F.regexp_replace("text", "(?s),.*", "")))).alias("v"))
 
 
 @query("f8_squashed_title", "select p_partkey, replace(trim(lower(p_name)), ' ', '') as v from part")
