@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.shared import shared_dir
@@ -158,3 +158,28 @@ def sigmoid(x):
     import numpy as np
 
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+#: Rows of a small table up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def numbered(df: DataFrame, order: list[str], group: str | None = None, name: str = "position") -> DataFrame:
+    """df with ``name`` long: each row's place, from 0, in the order of columns ``order``, within its ``group`` (never null).
+
+    Rows are range-sorted; a task knows the places of its own rows, and those of the rows before it come from one count for
+    each task and group. So a group with a third of all rows is dealt out like any other. Rows that are equal in ``order`` are
+    told apart by where they were read, so they fill no task by themselves.
+    """
+    m, g = fresh(df, "m"), group or fresh(df, "g")
+    df = df if group else df.withColumn(g, F.lit(0))
+    keys = [g, *order, m]
+    dealt = df.withColumn(m, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at, part = fresh(df, "at"), fresh(df, "part")
+    placed = Stored(dealt.drop(m).withColumn(at, F.monotonically_increasing_id())).df.withColumn(part, F.shiftright(at, 33))
+    runs = placed.groupBy(g, part).agg(F.min(at).alias("lo"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(g).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = Stored(runs.select(F.col(g).alias("run_g"), F.col(part).alias("run_part"), (before - F.col("lo")).alias("shift")), {"n": F.count(F.lit(1))})
+    small = F.broadcast(shifts.df) if shifts.metrics["n"] <= BROADCAST_ROWS else shifts.df
+    out = placed.join(small, (placed[g] == small.run_g) & (placed[part] == small.run_part))
+    return out.select(*[placed[f"`{c}`"] for c in df.columns if group or c != g], (placed[at] + small["shift"]).alias(name))
