@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat, covertree, decontaminate, html_main, licenses, maxent, merkle, mixing, quality, simhash, tokencount, toxicity
+from foliospark.llm import chat, covertree, decontaminate, html_main, licenses, maxent, merkle, mixing, quality, resample, simhash, tokencount, toxicity
 
 
 @lru_cache
@@ -72,9 +72,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(_table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_embedding_near_dedup, op3_decontaminate, op4_maxent_scores, op5_token_counts, op6_simhash_near_dedup, op7_quality_classifier, op8_chat_format, op9_html_main_text, op10_toxicity, op11_license_scan, op12_merkle_manifest)
+    for f in (op1_mix_sources, op2_embedding_near_dedup, op3_decontaminate, op4_maxent_scores, op5_token_counts, op6_simhash_near_dedup, op7_quality_classifier, op8_chat_format, op9_html_main_text, op10_toxicity, op11_license_scan, op12_merkle_manifest, op13_importance_resample)
 }
 
-SQL: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op2_embedding_near_dedup": covertree.SQL, "op3_decontaminate": decontaminate.SQL, "op8_chat_format": chat.SQL, "op11_license_scan": licenses.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op2_embedding_near_dedup": covertree.SQL, "op3_decontaminate": decontaminate.SQL, "op8_chat_format": chat.SQL, "op11_license_scan": licenses.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql(), "op13_importance_resample": resample.oracle_sql()}
