@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import graph
+from foliospark.operators import ann, community, graph
 from foliospark.queries import Tables, query
 
 _WRITES = "select distinct l_suppkey as a, l_orderkey as p from lineitem"
@@ -204,6 +204,27 @@ def _(t: Tables):
     return graph.label_propagation(graph.coauthors(t.lineitem, "l_orderkey", "l_suppkey").select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+def _links(t: Tables):
+    """Suppliers and parts as nodes of one graph, by the number of lineitems."""
+    return t.lineitem.groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query("h16_modularity", f"""
+with recursive com as ({_communities_sql(5)}), w as ({_WRITES}), e as (select x.a as s, y.a as d, count(*) as n from w x join w y on x.p = y.p and x.a < y.a group by 1, 2),
+b as (select s, d, n from e union all select d, s, n from e), k as (select s as node, sum(n) as k from b group by 1), t as (select sum(k) as t from k),
+i as (select sum(n) as i from b join com x on x.node = s join com y on y.node = d where x.community = y.community),
+q as (select sum(g * g) as q from (select sum(k) as g from k join com using (node) group by community))
+select round(coalesce(i, 0) / t - q / (t * t), 9) as modularity from i, q, t""")
+def _(t: Tables):
+    pairs = graph.coauthors(t.lineitem, "l_orderkey", "l_suppkey").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("weight"))
+    return community.modularity(pairs, graph.label_propagation(pairs.select("src", "dst"))).select(F.round("modularity", 9).alias("modularity"))
+
+
+@query("h16_louvain")
+def _(t: Tables):
+    return community.louvain(_links(t))
+
+
 @query("h18_record_triples", "select 'Part ' || p_partkey as h, 'HAS_KEYWORD' as r, w as t from (select distinct p_partkey, unnest(string_split(p_type, ' ')) as w from part) union all select 'Part ' || p_partkey, 'BELONGS_TO', p_brand from part")
 def _(t: Tables):
     rec = t.part.select(F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("title"), F.lit("").alias("authors"), F.replace("p_type", F.lit(" "), F.lit(";")).alias("keywords"), F.lit("").alias("affiliations"), F.col("p_brand").alias("field"))
@@ -227,3 +248,27 @@ def _(t: Tables):
     s = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "n_name")
     w = t.lineitem.join(s, F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("l_orderkey").alias("paper")).agg(F.sort_array(F.collect_set("n_name")).alias("x"))
     return w.where(F.size("x") > 4).select("paper", F.size("x").cast("long").alias("units"), F.array_join("x", ", ").alias("names"))
+
+
+def _upload_nodes(t: Tables):
+    """Every vector is a node; those of even labels were uploaded."""
+    labels = F.when(F.col("label") % 2 == 0, F.array(F.lit("Entity"), F.lit("Upload"))).otherwise(F.array(F.lit("Entity")))
+    return t.embeddings.select(F.col("vec_id").alias("node_id"), F.concat(F.lit("node "), F.col("vec_id").cast("string")).alias("name"), labels.alias("labels"), "embedding")
+
+
+def _node_queries(t: Tables):
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+@query("h5_node_index_all_cells", """
+select qid, name, round(s, 6) as score from (
+  select q.vec_id as qid, 'node ' || e.vec_id as name, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as s, e.vec_id as id
+  from embeddings e, embeddings q where q.vec_id % 50 = 0 and e.label % 2 = 0
+  qualify row_number() over (partition by qid order by s desc, id) <= 10) where s > 0.2""")
+def _(t: Tables):
+    return ann.node_search(_upload_nodes(t), _node_queries(t), threshold=0.2, probes=ann.ALL).withColumn("score", F.round("score", 6))
+
+
+@query("h5_node_index")
+def _(t: Tables):
+    return ann.node_search(_upload_nodes(t), _node_queries(t), threshold=0.2).withColumn("score", F.round("score", 6))
