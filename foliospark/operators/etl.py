@@ -47,16 +47,14 @@ def best_candidate(candidates: DataFrame, key: str, score: str, least: float = 0
 
 
 def initials_match(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(rpos, lpos, tier): by name, by initials, by similar name, by similar initials within the same last word."""
-    from foliospark.operators.linkage import tiered_match
+    """(rpos, lpos, tier): by name, by initials, by similar name, by similar initials."""
+    from foliospark.operators.linkage import _similar_tier, tiered_match
 
-    l_ = left.selectExpr("pos as lpos", "name as lname").withColumns({"li": names.initials(F.col("lname")), "ll": F.element_at(F.split("lname", " "), -1)})
-    r_ = right.selectExpr("pos as rpos", "name as rname").withColumns({"ri": names.initials(F.col("rname")), "rl": F.element_at(F.split("rname", " "), -1)})
-    good = lambda a, b: F.when(names.ratio(F.col(a), F.col(b)) >= threshold, names.ratio(F.col(a), F.col(b))).otherwise(0.0)
-    first = lambda c: F.substring(c, 1, 1)
+    l_ = left.selectExpr("pos as lpos", "name as lname").withColumn("li", names.initials(F.col("lname")))
+    r_ = right.selectExpr("pos as rpos", "name as rname").withColumn("ri", names.initials(F.col("rname")))
     return tiered_match(l_, r_, [
         ("name", F.col("lname"), F.col("rname"), None), ("initials", F.col("li"), F.col("ri"), None),
-        ("fuzzy", first("lname"), first("rname"), good("rname", "lname")), ("fuzzy_initials", F.col("ll"), F.col("rl"), good("ri", "li")),
+        ("fuzzy", _similar_tier("lname", "rname", threshold, "lpos", "rpos")), ("fuzzy_initials", _similar_tier("li", "ri", threshold, "lpos", "rpos")),
     ], "lpos", "rpos")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import names, text
+from foliospark.operators.community import components
 from foliospark.operators.relational import cut, keep_first
+from foliospark.tables import Table
 
 
 def with_id(df: DataFrame, name: str) -> DataFrame:
@@ -85,18 +87,23 @@ def dedup_publications(df: DataFrame, order: str, compat: bool = False) -> DataF
     return keep_first(with_title, [name, year], by).unionByName(without).drop("_c", "_y")
 
 
-def tiered_match(left: DataFrame, right: DataFrame, tiers: list[tuple[str, Column, Column, Column | None]], left_id: str, right_id: str) -> DataFrame:
+def tiered_match(left: DataFrame, right: DataFrame, tiers: list[tuple], left_id: str, right_id: str) -> DataFrame:
     """(right_id, left_id, tier): for each right row its left row by the first tier that has one.
 
     A tier is (name, key of left, key of right, score): an equi-join on the keys, then, with a score, those of a positive
-    score with the best first; else the first left row. Later tiers see only right rows that earlier ones left over.
+    score with the best first; else the first left row. Or it is (name, function): of left and the open right rows it makes the
+    pairs (left_id, right_id, _s). Later tiers see only right rows that earlier ones left over.
     """
     done, out = None, []
-    for name, lk, rk, score in tiers:
+    for name, *how in tiers:
         rest = right if done is None else right.join(done, right_id, "left_anti")
-        l_, r_ = left.withColumn("_k", lk), rest.withColumn("_k", rk)
-        both = l_.where(F.coalesce("_k", F.lit("")) != "").join(r_.where(F.coalesce("_k", F.lit("")) != ""), "_k")
-        both = both.withColumn("_s", score if score is not None else F.lit(1.0)).where("_s > 0")
+        if len(how) == 1:
+            both = how[0](left, rest)
+        else:
+            lk, rk, score = how
+            l_, r_ = left.withColumn("_k", lk), rest.withColumn("_k", rk)
+            both = l_.where(F.coalesce("_k", F.lit("")) != "").join(r_.where(F.coalesce("_k", F.lit("")) != ""), "_k")
+            both = both.withColumn("_s", score if score is not None else F.lit(1.0)).where("_s > 0")
         hit = both.groupBy(right_id).agg(F.min_by(left_id, F.struct(-F.col("_s"), F.col(left_id))).alias(left_id), F.max("_s").alias("score")).withColumn("tier", F.lit(name))
         hit = cut(hit)  # every later tier reads it
         out.append(hit)
@@ -104,23 +111,86 @@ def tiered_match(left: DataFrame, right: DataFrame, tiers: list[tuple[str, Colum
     return reduce(DataFrame.unionByName, out)
 
 
+def _rare_first(rows: DataFrame, tokens: Column, need: Column) -> DataFrame:
+    """(id, token): of each row's tokens, a repeated one numbered by its occurrence, the rarest ones: so many that two rows which share
+    ``need`` tokens or more have one of them in common."""
+    each = rows.select("id", F.posexplode(tokens).alias("at", "t"))
+    each = each.select("id", F.concat("t", F.row_number().over(Window.partitionBy("id", "t").orderBy("at")).cast("string")).alias("token"))
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    ordered = each.join(held, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("o"))
+    few = ordered.join(rows.select("id", need.alias("need")), "id")
+    return few.select("id", F.explode(F.slice("o", F.lit(1), F.greatest(F.size("o") - F.col("need") + 1, F.lit(1)).cast("int"))).alias("x")).select("id", F.col("x.token").alias("token"))
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float, within: list[str] | None = None, either: bool = False) -> DataFrame:
+    """(lname, rname, *within, score): pairs of distinct names, equal in the columns ``within``, whose ratio of matching blocks reaches the threshold.
+
+    left and right: name and the columns ``within``. No pair is lost: matched characters are a common subsequence, so with
+    threshold t at most d = (1 - t) * (m + n) characters of both are left over, and they cover at most d + (d + m - n) / 2 of m - 1 pairs of
+    neighbouring characters; names have to share the rest. Where that bound is empty, one name being short, they have to share
+    t * (m + n) / 2 characters. Rare shared tokens make the candidates, lengths and all shared characters thin them out, and only then the ratio is taken.
+    either: the better ratio of both orders, since it isn't symmetric.
+    """
+    within = within or []
+    t = threshold
+    n, c, span = F.length("name"), 0.5 - 1.5 * (1 - t), t / (2 - t)
+    both = left.select(F.lit(True).alias("is_left"), "name", *within).unionByName(right.select(F.lit(False).alias("is_left"), "name", *within))
+    need = F.ceil(n * (2 / (2 - t)) * c - 1 - 1e-9)
+    rows = Table(both.where("name <> ''").distinct().withColumns({"id": F.monotonically_increasing_id(), "n": n, "need": need})).df
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), lambda i: F.substring(F.col("name"), i, F.lit(k)))
+    longest = rows.where("need <= 0").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+    near = rows.where(F.col("n") * span <= longest)
+
+    def met(rows: DataFrame, tokens: Column, least: Column, more: Column) -> DataFrame:
+        keyed = _rare_first(rows, tokens, least).join(rows, "id")
+        a = keyed.where("is_left").select("token", *within, *[F.col(x).alias(f"l{x}") for x in ("id", "name", "n", "need")])
+        b = keyed.where("not is_left").select("token", *within, *[F.col(x).alias(f"r{x}") for x in ("id", "name", "n", "need")])
+        fits = (F.col("ln") * span <= F.col("rn")) & (F.col("rn") * span <= F.col("ln")) & more
+        return a.join(b, ["token", *within]).where(fits).select("lid", "rid", "lname", "rname", *within)
+
+    pairs = met(rows.where("need > 0"), at(2), F.col("need"), F.lit(True))
+    if longest:
+        pairs = pairs.unionByName(met(near, at(1), F.ceil(F.col("n") * span - 1e-9), (F.col("lneed") <= 0) | (F.col("rneed") <= 0)))
+    pairs = pairs.dropDuplicates(["lid", "rid"]).drop("lid", "rid")
+    left_over = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))  # noqa: E731  characters of x that y hasn't at all
+    m, k = F.length("lname"), F.length("rname")
+    shared = F.least(m - left_over(F.col("lname"), F.col("rname")), k - left_over(F.col("rname"), F.col("lname")))
+    score = names.ratio(F.col("lname"), F.col("rname"))
+    if either:
+        score = F.greatest(score, names.ratio(F.col("rname"), F.col("lname")))
+    return pairs.where(shared >= t * (m + k) / 2 - 1e-9).select("lname", "rname", *within, score.alias("score")).where(F.col("score") >= t)
+
+
+def _similar_tier(lname: str, rname: str, threshold: float, left_id: str, right_id: str, first_letter: bool = False):
+    """A tier of tiered_match: names of a ratio that reaches the threshold, with the same first letter if so asked."""
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        letter = {"letter": F.substring("name", 1, 1)} if first_letter else {}
+        l_, r_ = left.select(F.col(lname).alias("name")).withColumns(letter), right.select(F.col(rname).alias("name")).withColumns(letter)
+        found = similar_names(l_, r_, threshold, list(letter)).select(F.col("lname").alias("_l"), F.col("rname").alias("_r"), F.col("score").alias("_s"))
+        return found.join(left.select(left_id, F.col(lname).alias("_l")), "_l").join(right.select(right_id, F.col(rname).alias("_r")), "_r")
+
+    return pairs
+
+
 def link_people(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Two people tables (pos, name normalised, number, unit): by name, by number, by a name's beginning in the unit, by similarity.
 
-    Similarity is asked for within the same first letter only.
+    A beginning has three words at least, so both names have the first two in common. Similarity is asked for within the same first
+    letter only, as between equal persons' names.
     """
     l_ = left.selectExpr("pos as lpos", "name as lname", "number as lnumber", "unit as lunit")
     r_ = right.selectExpr("pos as rpos", "name as rname", "number as rnumber", "unit as runit")
     words = lambda c: F.size(F.split(c, " "))
     begins = (F.least(words(F.col("lname")), words(F.col("rname"))) >= 3) & (F.col("lname").startswith(F.col("rname")) | F.col("rname").startswith(F.col("lname")))
-    r = names.ratio(F.col("rname"), F.col("lname"))
+    two = lambda unit, name: F.when(words(F.col(name)) >= 3, F.concat_ws("|", unit, F.substring_index(name, " ", 2)))
     return tiered_match(
         l_, r_,
         [
             ("name", F.col("lname"), F.col("rname"), None),
             ("number", F.col("lnumber"), F.col("rnumber"), None),
-            ("prefix", F.concat_ws("|", "lunit", F.substring("lname", 1, 1)), F.concat_ws("|", "runit", F.substring("rname", 1, 1)), F.when(begins, 1.0).otherwise(0.0)),
-            ("fuzzy", F.substring("lname", 1, 1), F.substring("rname", 1, 1), F.when(r >= threshold, r).otherwise(0.0)),
+            ("prefix", two("lunit", "lname"), two("runit", "rname"), F.when(begins, 1.0).otherwise(0.0)),
+            ("fuzzy", _similar_tier("lname", "rname", threshold, "lpos", "rpos", first_letter=True)),
         ],
         "lpos", "rpos",
     )
@@ -214,31 +284,69 @@ def fill_cascade(df: DataFrame, key: str, providers: list[DataFrame], columns: l
     return out.withColumn("enriched", was).select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns], "enriched")
 
 
-def merge_people(df: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Within a unit, people with similar names or a common id become one: the one with more ids, the other's ids, the longer name.
-
-    df: unit, pos, name, scholar_id, number. A unit is a department's staff; its rows are merged in order in one task.
-    """
+def _merged(part, threshold: float):
+    """The rows of one group, merged in order."""
     import pandas as pd
 
     from foliospark.functions.names import SequenceMatcher
 
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in part.sort_values("pos").to_dict("records"):
-            for k in kept:
-                same = any(row[c] and row[c] == k[c] for c in ("scholar_id", "number"))
-                if same or SequenceMatcher(None, (row["name"] or "").lower(), (k["name"] or "").lower()).ratio() >= threshold:
-                    ids = lambda r: sum(bool(r[c]) for c in ("scholar_id", "number"))
-                    base, other = (dict(row), k) if ids(row) > ids(k) else (k, row)
-                    for c in ("scholar_id", "number"):
-                        base[c] = base[c] or other[c]
-                    base["name"] = max(base["name"] or "", other["name"] or "", key=len)
-                    base["pos"] = min(row["pos"], k["pos"])
-                    k.update(base)
-                    break
-            else:
-                kept.append(dict(row))
-        return pd.DataFrame(kept, columns=part.columns)
-
-    return df.select("unit", "pos", "name", "scholar_id", "number").groupBy("unit").applyInPandas(merge, "unit string, pos long, name string, scholar_id string, number string")
+    kept: list[dict] = []
+    ids = lambda r: sum(bool(r[c]) for c in ("scholar_id", "number"))
+    for row in part.sort_values(["pos", "rid"]).drop(columns="rid").to_dict("records"):
+        for k in kept:
+            same = any(row[c] and row[c] == k[c] for c in ("scholar_id", "number"))
+            if same or row["name"] and k["name"] and SequenceMatcher(None, row["name"].lower(), k["name"].lower()).ratio() >= threshold:
+                base, other = (dict(row), k) if ids(row) > ids(k) else (k, row)
+                for c in ("scholar_id", "number"):
+                    base[c] = base[c] or other[c]
+                base["name"] = max(base["name"] or "", other["name"] or "", key=len)
+                base["pos"] = min(row["pos"], k["pos"])
+                k.update(base)
+                break
+        else:
+            kept.append(dict(row))
+    return pd.DataFrame(kept, columns=["unit", "pos", "name", "scholar_id", "number"])
+
+
+def merge_people(df: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Within a unit, people with similar names or a common id become one: the one with more ids, the other's ids, the longer name.
+
+    df: unit, pos, name, scholar_id, number. The result is that of one pass in order of pos over each unit, in which merged people go on under
+    their new name and ids. A merged person's name and ids are those of some row of it, so whoever joins it resembles one of its
+    rows: people of different connected components of that resemblance never meet, and each component is passed through by itself.
+    So a unit isn't one task's, but only those rows of it that hang together. Rows without a unit are nobody's colleagues and stay as they are.
+    """
+    columns = ["unit", "pos", "name", "scholar_id", "number"]
+    rows = Table(df.select(*columns).withColumn("rid", F.monotonically_increasing_id())).df
+    staff = rows.where("unit is not null").withColumn("key", F.col("rid"))
+    lower = staff.select(F.lower("name").alias("name"), "unit").where("name is not null")
+    # names meet their first bearer, so that equal names give one edge each
+    bearers = staff.where("name <> ''").groupBy("unit", F.lower("name").alias("name")).agg(F.min("key").alias("first"))
+    alike = similar_names(lower, lower, threshold, ["unit"], either=True).where("lname < rname")
+    first = lambda c: bearers.select("unit", F.col("name").alias(c), F.col("first").alias(f"{c}_first"))
+    edges = alike.join(first("lname"), ["unit", "lname"]).join(first("rname"), ["unit", "rname"]).select(F.col("lname_first").alias("u"), F.col("rname_first").alias("v"))
+    edges = edges.unionByName(staff.withColumn("name", F.lower("name")).join(bearers, ["unit", "name"]).select(F.col("key").alias("u"), F.col("first").alias("v")))
+    for c in ("scholar_id", "number"):
+        known = staff.where(F.coalesce(c, F.lit("")) != "").select("unit", "key", c)
+        edges = edges.unionByName(known.join(known.groupBy("unit", c).agg(F.min("key").alias("v")), ["unit", c]).select(F.col("key").alias("u"), "v"))
+    found = components(edges).df
+    tied = staff.join(found, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+
+    met = tied.where("node is not null").select(*columns, "rid", "root").groupBy("root").applyInPandas(lambda part: _merged(part.drop(columns="root"), threshold), "unit string, pos long, name string, scholar_id string, number string")
+    return met.unionByName(tied.where("node is null").select(*columns)).unionByName(rows.where("unit is null").select(*columns))
+
+
+def synonym_aliases(groups: DataFrame, entities: DataFrame) -> DataFrame:
+    """(src, dst): aliases from synonym groups (group_id, canonical, member), as a model or a list gives them, to one key for all that hang together.
+
+    Texts count by their plain key. A group of one key says nothing; one whose known members have different labels is refused
+    as a clash. Groups that share a key are one; it goes by the canonical key of its groups that has the most mentions, of equal ones the least. entities: key, label, n.
+    """
+    told = groups.select("group_id", text.plain(F.col("canonical")).alias("c"), text.plain(F.col("member")).alias("m")).where("c <> '' and m <> ''")
+    keys = told.select("group_id", F.explode(F.array_distinct(F.array("c", "m"))).alias("key")).distinct()
+    known = keys.join(entities.select("key", "label"), "key", "left").groupBy("group_id").agg(F.count_distinct("key").alias("keys"), F.count_distinct("label").alias("labels"))
+    good = Table(told.join(known.where("keys > 1 and labels <= 1"), "group_id").select("c", "m")).df
+    found = components(good.select(F.col("c").alias("u"), F.col("m").alias("v"))).df
+    heads = good.select(F.col("c").alias("node")).distinct().join(found, "node").join(entities.select(F.col("key").alias("node"), "n"), "node", "left")
+    elected = heads.groupBy("root").agg(F.min_by("node", F.struct(-F.coalesce("n", F.lit(0)), F.col("node"))).alias("dst"))
+    return found.join(elected, "root").where("node <> dst").select(F.col("node").alias("src"), "dst")

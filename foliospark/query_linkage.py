@@ -215,3 +215,53 @@ def _(t: Tables):
 @query("k18_soft_delete", "select c_custkey, case when c_acctbal < 0 then 1 else 0 end as is_deleted from customer")
 def _(t: Tables):
     return sinks.soft_delete(t.customer.withColumn("is_deleted", F.lit(0)), F.col("c_acctbal") < 0).select("c_custkey", "is_deleted")
+
+
+def _staff(t: Tables):
+    """Customers as the staff of their nations: the name's digits in words, a letter off where the id is odd, and shared ids."""
+    digit = F.create_map(*[F.lit(x) for pair in zip("0123456789", ("nol", "satu", "dua", "tiga", "empat", "lima", "enam", "tujuh", "delapan", "sembilan")) for x in pair])
+    words = F.array_join(F.transform(F.split(F.col("c_custkey").cast("string"), ""), lambda d: F.coalesce(digit[d], F.lit(""))), " ")
+    name = F.when(F.col("c_custkey") % 2 == 1, F.concat(words, F.lit("x"))).otherwise(words)
+    return t.customer.select(F.col("c_nationkey").cast("string").alias("unit"), F.col("c_custkey").alias("pos"), name.alias("name"), F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("s"), (F.col("c_custkey") % 90).cast("string"))).otherwise("").alias("scholar_id"), F.lit("").alias("number"))
+
+
+@query("e5_merge_people")
+def _(t: Tables):
+    return linkage.merge_people(_staff(t))
+
+
+@query("e5_merge_by_number", """
+select cast(o_orderpriority as varchar) as unit, min(o_orderkey) as pos, 's' || o_custkey as scholar_id, cast(o_custkey as varchar) as number from orders group by o_orderpriority, o_custkey""")
+def _(t: Tables):
+    """Orders without names: within a priority those of one customer are one person, who keeps the place of the first."""
+    p = t.orders.select(F.col("o_orderpriority").alias("unit"), F.col("o_orderkey").alias("pos"), F.lit("").alias("name"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("scholar_id"), F.col("o_custkey").cast("string").alias("number"))
+    return linkage.merge_people(p).drop("name")
+
+
+@query("j5_fuzzy_names")
+def _(t: Tables):
+    """All staff against itself with the last letter of each name lost: by name, by beginning, by similarity."""
+    staff = _staff(t).withColumn("number", F.lit(""))
+    return linkage.link_people(staff, staff.withColumn("name", F.expr("left(name, length(name) - 1)")))
+
+
+_GROUPS = """
+with recursive g as (select l_orderkey as g, 'p' || min(l_partkey) as c, 'p' || max(l_partkey) as m from lineitem where l_quantity > 40 and l_discount > 0.07 group by 1 having min(l_partkey) < max(l_partkey)),
+ent as (select 'p' || p_partkey as k, case when p_size <= 25 then 'small' else 'large' end as label, n from part left join (select l_partkey, count(*) as n from lineitem group by 1) on l_partkey = p_partkey),
+good as (select g.c, g.m from g join ent x on x.k = c join ent y on y.k = m where x.label = y.label),
+e as (select c as a, m as b from good union select m, c from good),
+reach as (select a as node, a as other from e union select node, b from reach join e on a = other),
+roots as (select node, min(other) as root from reach group by 1),
+heads as (select distinct c as node from good),
+best as (select root, node as dst from roots join heads using (node) join ent on k = node qualify row_number() over (partition by root order by coalesce(n, 0) desc, node) = 1)
+select node as src, dst from roots join best using (root) where node <> dst"""
+
+
+@query("e8_synonym_groups", _GROUPS)
+def _(t: Tables):
+    """Parts of an order that are dear in the same way are synonyms; small and large ones clash."""
+    p = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    g = t.lineitem.where("l_quantity > 40 and l_discount > 0.07").groupBy(F.col("l_orderkey").alias("group_id")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a < b")
+    n = t.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    entities = t.part.join(n, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.when(F.col("p_size") <= 25, "small").otherwise("large").alias("label"), "n")
+    return linkage.synonym_aliases(g.select("group_id", p(F.col("a")).alias("canonical"), p(F.col("b")).alias("member")), entities)

@@ -1,5 +1,6 @@
 """Queries on retrieval, metrics and chunking."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.operators import chunking, evaluation, retrieval
@@ -146,21 +147,67 @@ def _(t: Tables):
     return c.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_BOOK = """
+with o as (select o_orderkey, '# Order ' || o_orderkey as top from orders),
+l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as k, l_partkey as p, l_suppkey as s from lineitem)"""
+
+
+@query("c3_book_outline", f"""{_BOOK}, x as (
+  select o_orderkey, cast(0 as bigint) as k, 0 as b, top || chr(10) || 'customer order of ' || o_orderkey as content from o
+  union all select l_orderkey, k, b, top || chr(10) || '## Line ' || k || chr(10) || case b when 0 then 'part ' || p else 'made by ' || s end
+  from l join o on l_orderkey = o_orderkey, (values (0), (1)) v(b))
+select cast(o_orderkey as varchar) as file_id, cast(row_number() over (partition by o_orderkey order by k, b) - 1 as int) as chunk_index, content from x""")
+def _(t: Tables):
+    """A book for each order: a heading for it, one for each line, and text under both."""
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    said = F.format_string("## Line %d\npart %d\nmade by %d", F.col("k"), F.col("l_partkey"), F.col("l_suppkey"))
+    parts = t.lineitem.withColumn("k", order).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", said.alias("said")))), lambda x: x["said"]), "\n").alias("lines"))
+    books = t.orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.concat_ws("\n", F.format_string("# Order %d\ncustomer order of %d", F.col("o_orderkey"), F.col("o_orderkey")), "lines").alias("text"))
+    return chunking.chunk(books, "o_orderkey", "text", chunking.resolve("book")).select("file_id", "chunk_index", "content")
+
+
 @query("c3_book_chunks")
 def _(t: Tables):
     return chunking.chunk(t.documents, "doc_id", "text", chunking.resolve("book", {"chunk_token_num": 256}))
 
 
+@query("c4_law_articles", """
+with s as (select s_suppkey, s_nationkey, row_number() over (partition by s_nationkey order by s_suppkey) as k from supplier)
+select cast(n_nationkey as varchar) as file_id, cast(row_number() over (partition by n_nationkey order by k) - 1 as int) as chunk_index,
+       'Chapter ' || n_nationkey || ' of suppliers' || chr(10) || case when k is null then 'all of them' else 'all of them' || chr(10) || 'Article ' || k || chr(10) || 'supplier ' || s_suppkey || chr(10) || '(1) delivers' || chr(10) || 'and is paid' end as content
+from nation left join s on s_nationkey = n_nationkey""")
+def _(t: Tables):
+    """A law for each nation: a chapter with one sentence, and an article for each supplier with a clause."""
+    k = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    said = F.format_string("- **Article %d** supplier %d\n(1) delivers\nand is paid", F.col("k"), F.col("s_suppkey"))
+    parts = t.supplier.withColumn("k", k).groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", said.alias("said")))), lambda x: x["said"]), "\n").alias("lines"))
+    laws = t.nation.join(parts, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_nationkey", F.concat_ws("\n", F.format_string("## Chapter %d of suppliers\nall of them", F.col("n_nationkey")), "lines").alias("text"))
+    return chunking.chunk(laws, "n_nationkey", "text", chunking.resolve("laws")).select("file_id", "chunk_index", "content")
+
+
 @query("c4_law_chunks")
 def _(t: Tables):
     return chunking.chunk(t.documents, "doc_id", "text", chunking.resolve("laws", {"chunk_token_num": 180}))
 
 
-@query("c5_qa_chunks")
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("c5_qa_chunks", f"""
+with g as (select conv_id, turn, role, replace(text, chr(10), ' ') as x, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as k from conversations),
+p as (select conv_id, min(turn) as t0, {_TRIM.format("string_agg(x, chr(10) order by turn) filter (role = 'user')")} as q, {_TRIM.format("string_agg(x, chr(10) order by turn) filter (role <> 'user')")} as a from g where k > 0 group by conv_id, k),
+d1 as (select conv_id, q, a, t0 from p where q <> '' and a <> ''),
+l as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as n, case when role = 'user' then 'Q: ' else 'A: ' end || x as line from g where conv_id not in (select conv_id from d1)),
+c as (select *, sum(case when len(string_split(line, ',')) = 2 then 1 else 0 end) over (partition by conv_id order by n) as k from l),
+c2 as (select conv_id, min(n) as t0, split_part(arg_min(line, n), ',', 1) as q, split_part(arg_min(line, n), ',', 2) || coalesce(chr(10) || string_agg(line, chr(10) order by n) filter (len(string_split(line, ',')) <> 2), '') as a from c where k > 0 group by conv_id, k),
+d2 as (select conv_id, trim(q) as q, trim(a) as a, t0 from c2 where trim(q) <> '' and trim(a) <> ''),
+d3 as (select conv_id, min(line) filter (n % 2 = 0) as q, min(line) filter (n % 2 = 1) as a, min(n) as t0 from l where conv_id not in (select conv_id from d2) group by conv_id, n // 2),
+d as (select conv_id, q, a, min(t0) as t0 from (select * from d1 union all select * from d2 union all select * from d3 where a is not null) group by 1, 2, 3)
+select cast(conv_id as varchar) as file_id, cast(row_number() over (partition by conv_id order by t0) - 1 as int) as chunk_index, 'Question: ' || regexp_replace(q, '(?i)^(question|答案|answer|user|assistant|q|a|问|答)[\\t:： ]+', '') || chr(9) || 'Answer: ' || regexp_replace(a, '(?i)^(question|答案|answer|user|assistant|q|a|问|答)[\\t:： ]+', '') as content from d""")
 def _(t: Tables):
     turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.regexp_replace("text", "\n", " ").alias("text")))).alias("x"))
     text = F.array_join(F.transform("x", lambda e: F.concat(F.when(e.role == "user", "Q: ").otherwise("A: "), e["text"])), "\n")
-    return chunking.chunk(turns.select("conv_id", text.alias("text")), "conv_id", "text", chunking.resolve("qa"))
+    return chunking.chunk(turns.select("conv_id", text.alias("text")), "conv_id", "text", chunking.resolve("qa")).select("file_id", "chunk_index", "content")
 
 
 @query("c8_character_windows", "select doc_id as file_id, cast(k as int) as chunk_index, substr(text, k * 800 + 1, 1000) as content from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil((length(text) - 200) / 800.0) as bigint)))) as k from documents where length(text) > 0)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.plans import sqlguard
 from foliospark.queries import Tables, query
 from foliospark.shared import shared_dir
-from foliospark.streaming import events
+from foliospark.streaming import events, live
 
 
 def _shared(t: Tables) -> str:
@@ -49,7 +49,60 @@ def _(t: Tables):
     return t.spark.read.parquet(f"{out}/rows")
 
 
-@query("x5_flushes")
+def _runs(t: Tables):
+    """The events as a stream of runs' events and pieces of replies."""
+    src = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
+    return src.select(F.col("user_id").cast("string").alias("run_id"), "ts", "event_id", "event_type", F.col("props").alias("piece"))
+
+
+def _replayed(t: Tables, df):
+    out = _shared(t)
+    live.run_to_end(df, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+
+_TAIL = """
+with recursive e as (select cast(user_id as varchar) as run_id, event_id, event_type, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as k from events),
+w as (
+  select run_id, k, 1 as connection, us as began, 1 as n, event_id, event_type, false as timed_out, 0 as n_before, cast(null as bigint) as last_before from e where k = 1
+  union all
+  select e.run_id, e.k, case when w.event_type = 'error' or e.us >= w.began + 86400000000 then w.connection + 1 else w.connection end,
+         case when w.event_type = 'error' or e.us >= w.began + 86400000000 then e.us else w.began end, case when w.event_type = 'error' or e.us >= w.began + 86400000000 then 1 else w.n + 1 end,
+         e.event_id, e.event_type, w.event_type <> 'error' and e.us >= w.began + 86400000000, w.n, w.event_id
+  from w join e on e.run_id = w.run_id and e.k = w.k + 1),
+x as (
+  select run_id, connection, n, event_id, event_type as kind, null as status from w
+  union all select run_id, connection, n, event_id, 'close', 'error' from w where event_type = 'error'
+  union all select run_id, connection - 1, n_before, last_before, 'close', 'timeout' from w where timed_out
+  union all select run_id, connection, n, event_id, 'close', 'timeout' from (select * from w qualify row_number() over (partition by run_id order by k desc) = 1)
+            where event_type <> 'error' and (began + 86400000000) // 1000 <= (select max(us) // 1000 from e))
+select run_id, cast(connection as bigint) as connection, cast(n as bigint) as n, event_id, kind, status from x"""
+
+
+@query("x4_tail", _TAIL)
+def _(t: Tables):
+    """Runs followed for a day or to their first error, as a stream with timers."""
+    return _replayed(t, live.tail(_runs(t), ("error",), "1 day"))
+
+
+_PIECES = """
+with recursive e as (select cast(user_id as varchar) as run_id, coalesce(props, '') as piece, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as k from events),
+w as (
+  select run_id, k, piece, cast(0 as bigint) as chunk, us as since, length(piece) as chars, length(piece) >= 64 as closed from e where k = 1
+  union all
+  select e.run_id, e.k, e.piece, case when w.closed then w.chunk + 1 else w.chunk end, case when w.closed then e.us else w.since end, case when w.closed then length(e.piece) else w.chars + length(e.piece) end,
+         case when w.closed then length(e.piece) >= 64 else w.chars + length(e.piece) >= 64 or e.us - w.since >= 3600000000 end
+  from w join e on e.run_id = w.run_id and e.k = w.k + 1)
+select run_id, chunk, string_agg(piece, '' order by k) as text from w group by 1, 2"""
+
+
+@query("x5_streamed_flushes", f"{_PIECES} having bool_or(closed) or (min(since) + 3600000000) // 1000 <= (select max(us) // 1000 from e)")
+def _(t: Tables):
+    """Flushes of a stream with timers: what waits at the end goes out once the watermark is past it."""
+    return _replayed(t, live.flush(_runs(t), 64, 3_600_000))
+
+
+@query("x5_flushes", _PIECES)
 def _(t: Tables):
     pieces = t.events.select(F.col("user_id").cast("string").alias("run_id"), "ts", F.col("props").alias("piece"))
     return events.flushes(pieces, 64, 3_600_000)

@@ -73,13 +73,14 @@ def flushes(deltas: DataFrame, chars: int = 512, millis: int = 100) -> DataFrame
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        out, buf, since = [], [], None
+        out, buf, since, size = [], [], None, 0
         for ts, piece in part.sort_values("ts")[["ts", "piece"]].itertuples(index=False):
             since = ts if since is None else since
             buf.append(piece or "")
-            if sum(map(len, buf)) >= chars or (ts - since).total_seconds() * 1000 >= millis:
+            size += len(buf[-1])
+            if size >= chars or (ts - since).total_seconds() * 1000 >= millis:
                 out.append("".join(buf))
-                buf, since = [], None
+                buf, since, size = [], None, 0
         if buf:
             out.append("".join(buf))
         return pd.DataFrame({"run_id": part.run_id.iloc[0], "chunk": range(len(out)), "text": out})

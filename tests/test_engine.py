@@ -1,12 +1,14 @@
 """Hand-made cases for what SQL can't tell, and for the traps."""
 
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import names, nulls, text, vectors
-from foliospark.operators import chunking, graph, linkage, relational, retrieval
+from foliospark.operators import ann, chunking, community, graph, linkage, outline, relational, retrieval
 from foliospark.plans import sqlguard
 from foliospark.sources import html, readers, sinks
 from foliospark.streaming import events
@@ -185,17 +187,66 @@ def test_chunk_parameters():
     assert (p["preset"], p["chunk_token_num"], p["delimiter"]) == ("laws", 777, "###") and "content_hashes" not in p
 
 
-def test_chunkers():
+def chunked(spark, content, preset, **params):
+    df = spark.createDataFrame([("f", content)], "id string, text string")
+    rows = chunking.chunk(df, "id", "text", chunking.resolve(preset, params) | {k: v for k, v in params.items() if k in ("tree", "form")})
+    return [r.content for r in rows.orderBy("chunk_index").collect()]
+
+
+def test_chunkers(spark):
     law = "\n".join(f"Article {i} words and more words of the article number {i}" for i in range(1, 260))
-    made = chunking.chunk_text(law, chunking.resolve("laws", {"chunk_token_num": 180}))
+    made = chunked(spark, law, "laws", chunk_token_num=180)
     assert len(made) > 1 and max(map(chunking.tokens, made)) <= 180
-    same = chunking.chunk_text("The same sentence again. " * 120, chunking.resolve("laws", {"chunk_token_num": 120}))
+    same = chunked(spark, "The same sentence again. " * 120, "laws", chunk_token_num=120)
     assert max(map(chunking.tokens, same)) <= 120
-    assert any("Chapter 1" in c for c in chunking.chunk_text("Chapter 1 One\ntext\nSection 1 A\nmore\nChapter 2 Two\ntext", chunking.resolve("book")))
-    assert chunking.heading_kind(["# A", "## B", "1. x", "2. y, z", "3. a"]) == "markdown"
-    assert chunking.chunk_text("# What?\nThis.\n# What?\nThis.", chunking.resolve("qa")) == ["Question: What?\tAnswer: This."]
-    assert chunking.chunk_text(None, chunking.resolve()) == []
-    assert chunking.chunk_text("a`b", chunking.resolve("general", {"delimiter": "`b`"})) == ["\na`"]
+    assert any("Chapter 1" in c for c in chunked(spark, "Chapter 1 One\ntext\nSection 1 A\nmore\nChapter 2 Two\ntext", "book"))
+    assert chunked(spark, "# What?\nThis.\n# What?\nThis.", "qa") == ["Question: What?\tAnswer: This."]
+    assert chunked(spark, None, "general") == chunked(spark, None, "book") == chunked(spark, " ", "laws") == chunked(spark, None, "qa") == []
+    assert chunked(spark, "a`b", "general", delimiter="`b`") == ["a`"]
+
+
+def family(spark, lines):
+    return outline.families(spark.createDataFrame([(1, x) for x in lines], "row long, line string")).first().family
+
+
+def test_families(spark):
+    assert family(spark, ["# A", "## B", "1. x", "2. y, z", "3. a"]) == outline.MARKDOWN
+    heads = ["# 3.2 Overview of taxable income items and filing methods", "1. The following rules continue to apply for seasonal or temporary worker deductions.", "2. Under current policy, subsidy income is included in salary income.", "(1) Subsidies paid above the statutory ratio are not tax-exempt benefits."]
+    assert family(spark, heads) == outline.MARKDOWN
+    inside = ["Based on the previous rule: 1. this is an in-sentence list, not a heading level.", "Continuing above: (2) this is also inline enumeration, not an independent title.", "## 3.4 Tax treatment of transportation allowances"]
+    assert family(spark, inside) == outline.MARKDOWN
+    assert family(spark, ["nothing here", "0 no number", "12 34 neither"]) == -1
+    assert family(spark, ["Chapter I One", "Section 1 A", "Article 2 B"]) == 3
+
+
+def test_book_outline(spark):
+    text = "before\nChapter 1 General Provisions\nSection 1 Scope of Application\nThis specification applies to test scenarios.\nand more\nSection 2 Basic Principles\nChapter II Other\nlast line"
+    top = "Chapter 1 General Provisions"
+    scope = f"{top}\nSection 1 Scope of Application"
+    assert chunked(spark, text, "book") == ["before", f"{scope}\nThis specification applies to test scenarios.", f"{scope}\nand more", "Chapter II Other\nlast line", f"{top}\nSection 2 Basic Principles"]
+    toc = "Contents\nChapter 1 One\nChapter 2 Two\nChapter 1 One\ntext of one\nChapter 2 Two\ntext of two"
+    assert chunked(spark, toc, "book") == ["Chapter 1 One\ntext of one", "Chapter 2 Two\ntext of two"]
+    few = "\n".join(f"# Title {k}" for k in range(3)) + "\n" + "word " * 150
+    assert chunked(spark, few, "book") == [f"# Title 2\n{('word ' * 150).strip()}", "# Title 0\n# Title 1"]
+
+
+def test_law_outline(spark):
+    text = "Chapter VI Special Tax Adjustments\nArticle 106 Scenarios where a withholding agent may be designated include:\n(1) direct or indirect control relationships in funding, operations, or procurement;\n(2) the ability to perform other binding actions on behalf of the enterprise.\nArticle 107 Tax authorities may determine taxable income according to law."
+    made = [c for c in chunked(spark, text, "laws", chunk_token_num=1000) if "Article 106" in c]
+    assert len(made) == 1 and "(1)" in made[0] and "(2)" in made[0] and "Article 107" not in made[0] and made[0].startswith("Chapter VI")
+    marked = "## Chapter I General Provisions\n- **Article 1** This law is established to regulate guarantee activities and protect creditor rights.\n- **Article 2** In lending activities, parties may establish guarantees according to law.\n- **Article 3** Guarantee activities shall follow principles of equality, voluntariness, fairness, and good faith."
+    made = chunked(spark, marked, "laws", chunk_token_num=120)
+    assert [("Article 1" in c, "Article 2" in c, "Article 3" in c) for c in made] == [(True, False, False), (False, True, False), (False, False, True)]
+    tree = "# Law\nintro\n## Part\nfirst\n### Deep\nsecond\n## Other\nthird"
+    assert chunked(spark, tree, "laws", tree="docx") == ["Law\nintro\nPart\nfirst\nDeep\nsecond", "Law\nintro\nOther\nthird"]
+
+
+def test_questions(spark):
+    md = "# Q1\nans\n## Sub\nmore\n```\n# no heading\n```\n| a | b |\n|---|---|\n| c | d |"
+    assert chunked(spark, md, "qa", form="md") == ["Question: Q1\tAnswer: ans", "Question: Q1\nSub\tAnswer: more\n```\n# no heading\n```\n| a | b |\n|---|---|\n| c | d |", "Question: a\tAnswer: b", "Question: c\tAnswer: d"]
+    assert chunked(spark, 'x,"a, b"\nstill\ny,z', "qa", form="csv") == ["Question: x\tAnswer: a, b\nstill", "Question: y\tAnswer: z"]
+    assert chunked(spark, "x\ty\nz", "qa", form="txt") == ["Question: x\tAnswer: y\nz"]
+    assert chunked(spark, "one\ntwo\nthree", "qa") == ["Question: one\tAnswer: two"]
 
 
 def test_guard(spark):
@@ -287,3 +338,129 @@ def test_table_is_replaced_by_rows_read_from_it(spark, tmp_path):
 def test_csv_keeps_lines_that_repeat_the_preamble(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Export\nTitle,Year\nA,1\nTitle,Year\nExport\n")
     assert sorted(map(tuple, readers.csv_behind_preamble(spark, f"file://{tmp_path}/s.csv", "Title").collect())) == [("A", "1"), ("Export", ""), ("Title", "Year")]
+
+
+def test_inverted_file(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 16))
+    rows = [(k, [float(x) for x in middles[k % 12] + rng.normal(size=16) * 0.4], "n") for k in range(1200)]
+    rows += [(2000, None, "null"), (2001, [0.0] * 16, "zero"), (2002, [1.0, 2.0], "short")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, name string")
+    queries = chunks.where("chunk_id % 50 = 0 and chunk_id < 1200").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("q"))
+    index = ann.build(chunks)
+    assert index.table.df.count() == 1200 and index.cells <= 34
+    exact = {(r.qid, r.chunk_id): r.score for r in retrieval.dense(chunks.where("chunk_id < 1200"), queries, 10).collect()}
+    assert {(r.qid, r.chunk_id): r.score for r in ann.search(index, queries, 10, index.cells).collect()} == exact
+    probes = ann.probes_for(index, queries, 10)
+    found = {(r.qid, r.chunk_id) for r in ann.search(index, queries, 10, probes).collect()}
+    assert probes < index.cells and len(found & set(exact)) >= 0.9 * len(exact)
+    curve = ann.recall_curve(index, queries, 10)
+    assert curve == sorted(curve) and curve[-1] == 1.0
+    nodes = chunks.where("chunk_id < 1200").select(F.col("chunk_id").alias("node_id"), "name", F.array(F.lit("Upload")).alias("labels"), "embedding")
+    assert {r.name for r in ann.node_search(nodes, queries, threshold=0.99).collect()} == {"n"}
+    with pytest.raises(ValueError):
+        ann.build(chunks.where("embedding is null"))
+
+
+def brute_modularity(edges, of):
+    total, inside, degree = 0, 0, {}
+    for a, b, w in edges:
+        total += 2 * w
+        inside += 2 * w * (of[a] == of[b])
+        for x in (a, b):
+            degree[of[x]] = degree.get(of[x], 0) + w
+    return inside / total - sum(d * d for d in degree.values()) / total**2
+
+
+def test_louvain(spark):
+    rng = random.Random(5)
+    edges = [(10 * g + i, 10 * g + j, 3) for g in range(4) for i in range(8) for j in range(i) if rng.random() < 0.8] + [(10 * g, (10 * g + 10) % 40, 1) for g in range(4)] + [(3, 3, 2)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight long")
+    of = {r.node: r.community for r in community.louvain(df).collect()}
+    assert of == {x: x // 10 * 10 for e in edges for x in e[:2]}
+    assert community.modularity(df, spark.createDataFrame(list(of.items()), "node long, community long")).first()[0] == pytest.approx(brute_modularity(edges, of))
+    mixed = {x: x % 3 for x in of}
+    assert community.modularity(df, spark.createDataFrame(list(mixed.items()), "node long, community long")).first()[0] == pytest.approx(brute_modularity(edges, mixed))
+    assert community.louvain(df.where("src < 0")).count() == 0
+
+
+def odd_names(n, seed):
+    rng = random.Random(seed)
+    parts = ["budi", "adi", "siti", "aminah", "santoso", "putra", "dewi", "sri", "agus", "rahmat", "hidayat", "nur"]
+    out = set()
+    while len(out) < n:
+        name = " ".join(rng.sample(parts, rng.choice((1, 2, 2, 3, 4))))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            k = rng.randrange(len(name))
+            name = name[:k] + rng.choice(["", "x", name[k] * 2]) + name[k + 1 :]
+        out.add(name.strip())
+    return sorted(out - {""}) + ["a", "ab", "abc", "abcd", "ba"]
+
+
+@pytest.mark.parametrize(("threshold", "letter"), [(0.85, True), (0.75, False), (0.6, False)])
+def test_similar_names(spark, threshold, letter):
+    left, right = odd_names(150, 1), odd_names(150, 2)
+    want = {(a, b) for a in left for b in right if (not letter or a[0] == b[0]) and names.SequenceMatcher(None, a, b).ratio() >= threshold}
+    table = lambda xs: spark.createDataFrame([(x, x[0] if letter else "") for x in xs * 2], "name string, letter string")
+    assert {(r.lname, r.rname) for r in linkage.similar_names(table(left), table(right), threshold, ["letter"]).collect()} == want
+
+
+def test_fuzzy_tiers(spark):
+    left, right = [*odd_names(120, 3), "zaki budi adi"], [*odd_names(120, 4), "zaki budi adi putra"]
+    df = lambda xs: spark.createDataFrame(list(enumerate(xs)), "pos long, name string").withColumns({"number": F.lit(""), "unit": F.lit("u")})
+    want = {}
+    for r, b in enumerate(right):
+        words = len(b.split())
+        begins = [k for k, a in enumerate(left) if min(words, len(a.split())) >= 3 and (a.startswith(b) or b.startswith(a))]
+        best = max(((names.SequenceMatcher(None, a, b).ratio(), -k) for k, a in enumerate(left) if a[0] == b[0]), default=(0, 0))
+        if b in left:
+            want[r] = (left.index(b), "name")
+        elif begins:
+            want[r] = (begins[0], "prefix")
+        elif best[0] >= 0.85:
+            want[r] = (-best[1], "fuzzy")
+    assert {r.rpos: (r.lpos, r.tier) for r in linkage.link_people(df(left), df(right)).collect()} == want
+    assert {t for _, t in want.values()} == {"name", "prefix", "fuzzy"}
+
+
+def one_pass(rows, threshold=0.75):
+    import pandas as pd
+
+    part = pd.DataFrame(rows, columns=["unit", "pos", "name", "scholar_id", "number"]).assign(rid=range(len(rows)))
+    return sorted((tuple(r) for _, g in part.groupby("unit") for r in linkage._merged(g, threshold).itertuples(index=False)), key=str)
+
+
+def test_merge_people_is_the_sequential_pass(spark):
+    rng = random.Random(9)
+    rows = []
+    for k, name in enumerate(odd_names(120, 7) * 2):
+        rows.append((rng.choice(["ti", "si", "tk"]), k, name, rng.choice(["", "", "s" + str(rng.randrange(30))]), rng.choice(["", "", "n" + str(rng.randrange(60))])))
+    df = spark.createDataFrame([*rows, (None, 900, "budi", "s1", ""), (None, 901, "budi", "s1", "")], "unit string, pos long, name string, scholar_id string, number string")
+    got = linkage.merge_people(df).collect()
+    assert sorted((tuple(r) for r in got if r.unit), key=str) == one_pass(rows)
+    assert sorted(r.pos for r in got if not r.unit) == [900, 901]
+    assert linkage.merge_people(df.where("pos < 0")).count() == 0
+
+
+def test_synonyms(spark):
+    groups = spark.createDataFrame([(1, "Neural Net", "NN"), (1, "Neural Net", "neural network"), (2, "Deep Net", "neural-network"), (3, "Alone", "alone"), (4, "Java", "Bali"), (5, None, "x"), (6, "SVM", "support vector machine")], "group_id int, canonical string, member string")
+    entities = spark.createDataFrame([("neural net", "Method", 5), ("deep net", "Method", 9), ("java", "Tool", 2), ("bali", "Place", 1)], "key string, label string, n long")
+    got = dict(linkage.synonym_aliases(groups, entities).collect())
+    top = got["nn"]
+    assert got["support vector machine"] == "svm" and not {"java", "bali", "alone"} & set(got)
+    assert top == "neural net" or top == "deep net"
+    assert set(got.values()) == {top, "svm"}
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 530)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        if all(root[a] == root[b] for a, b in pairs):
+            break
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = dict(community.components(spark.createDataFrame(pairs, "u long, v long")).df.collect())
+    assert got == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    assert community.components(spark.createDataFrame([], "u long, v long")).df.count() == 0
