@@ -265,3 +265,17 @@ def _(t: Tables):
     n = t.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
     entities = t.part.join(n, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.when(F.col("p_size") <= 25, "small").otherwise("large").alias("label"), "n")
     return linkage.synonym_aliases(g.select("group_id", p(F.col("a")).alias("canonical"), p(F.col("b")).alias("member")), entities)
+
+
+@query("s3_csv_behind_preamble", "select cast(s_suppkey as varchar) as \"Key\", 'say \"' || s_name || '\"' || chr(10) || 'of, ' || s_nationkey as \"Name\", case when s_suppkey % 3 = 0 then '' else cast(s_nationkey as varchar) end as \"Nation\" from supplier")
+def _(t: Tables):
+    """Three files with a preamble each, one of them without a column, and names of two lines."""
+    folder = f"{shared_dir(t.spark)}/preamble-{uuid.uuid4().hex}"
+    name = F.concat(F.lit('"say ""'), "s_name", F.lit('""\n'), F.lit("of, "), F.col("s_nationkey").cast("string"), F.lit('"'))
+    for k in range(3):
+        of = t.supplier.where(F.col("s_suppkey") % 3 == k)
+        fields = ["s_suppkey", name] + (["s_nationkey"] if k else [])
+        top = t.spark.createDataFrame([(-2, 'Exported by "someone'), (-1, "Key,Name" + (",Nation" if k else ""))], "o long, value string")
+        lines = top.unionByName(of.select(F.col("s_suppkey").alias("o"), F.concat_ws(",", *[F.col(c).cast("string") if isinstance(c, str) else c for c in fields]).alias("value")))
+        lines.coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{folder}/{k}")
+    return readers.csv_behind_preamble(t.spark, f"{folder}/*/part-*", "Key")

@@ -1,10 +1,14 @@
 """Queries on retrieval, metrics and chunking."""
 
+import io
+import zipfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.operators import chunking, evaluation, retrieval
 from foliospark.queries import Tables, query
+from foliospark.sources import office
 
 
 def _queries(t: Tables):
@@ -185,6 +189,46 @@ def _(t: Tables):
     return chunking.chunk(laws, "n_nationkey", "text", chunking.resolve("laws")).select("file_id", "chunk_index", "content")
 
 
+def _word_file(title: str, heads: list[str], rows: list[str]) -> bytes:
+    """A Word file: a title, a heading of the second level for each head, and a table of the rows."""
+    out = io.BytesIO()
+    paragraph = lambda style, said: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{said}</w:t></w:r></w:p>'
+    cells = "".join(f"<w:tr><w:tc>{paragraph('', r)}</w:tc></w:tr>" for r in rows)
+    body = paragraph("Heading1", title) + "".join(paragraph("Heading2", x) + paragraph("", f"{x} delivers") for x in heads) + f"<w:tbl>{cells}</w:tbl>"
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _word_files(t: Tables):
+    """A Word file for each nation that has suppliers and customers: its suppliers as headings, its customers as a table."""
+    s = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.array_sort(F.collect_list("s_name")).alias("heads"))
+    c = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_list("c_name")).alias("rows"))
+    told = t.nation.select(F.col("n_nationkey").alias("k"), "n_name").join(s, "k").join(c, "k")
+    made = F.udf(_word_file, "binary")("n_name", "heads", "rows")
+    return told.select(F.concat("n_name", F.lit(".docx")).alias("path"), made.alias("content"))
+
+
+_FILES = """
+with s as (select s_nationkey as k, string_agg('## ' || s_name || chr(10) || chr(10) || s_name || ' delivers', chr(10) || chr(10) order by s_name) as heads from supplier group by 1),
+c as (select c_nationkey as k, string_agg('| ' || c_name || ' |' || case when r = 1 then chr(10) || '| --- |' else '' end, chr(10) order by c_name) as rows
+      from (select *, row_number() over (partition by c_nationkey order by c_name) as r from customer) group by 1)"""
+
+
+@query("s24_documents", f"{_FILES} select n_name || '.docx' as path, 'docx' as form, '# ' || n_name || chr(10) || chr(10) || heads || chr(10) || chr(10) || rows as markdown, cast(null as varchar) as error from nation join s on s.k = n_nationkey join c on c.k = n_nationkey")
+def _(t: Tables):
+    return office.markdown(_word_files(t))
+
+
+@query("c4_document_tree", f"""{_FILES}, h as (select s_nationkey as k, s_name, row_number() over (partition by s_nationkey order by s_name) as r, count(*) over (partition by s_nationkey) as n from supplier)
+select n_name || '.docx' as file_id, cast(r - 1 as int) as chunk_index, n_name || chr(10) || s_name || chr(10) || s_name || ' delivers' || case when r = n then chr(10) || rows else '' end as content
+from nation join h on h.k = n_nationkey join c on c.k = n_nationkey""")
+def _(t: Tables):
+    """The files' sections by their heading tree; the table belongs to the last one."""
+    files = office.markdown(_word_files(t))
+    return chunking.chunk(files, "path", "markdown", chunking.resolve("laws", {"chunk_token_num": 1_000_000}) | {"tree": "docx"}).select("file_id", "chunk_index", "content")
+
+
 @query("c4_law_chunks")
 def _(t: Tables):
     return chunking.chunk(t.documents, "doc_id", "text", chunking.resolve("laws", {"chunk_token_num": 180}))

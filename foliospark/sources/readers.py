@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions import text as tx
+from foliospark.tables import Table
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,16 +34,40 @@ def csv_or_empty(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def csv_behind_preamble(spark: SparkSession, path: str, first: str, lines: int = 30) -> DataFrame:
-    """A CSV whose header, a line that starts with ``first``, stands among its first lines behind other text."""
-    numbered = spark.read.text(path).limit(lines).collect()
-    header = next((r.value for r in numbered if r.value and r.value.removeprefix("\ufeff").strip('"').startswith(first)), None)
-    if header is None:
-        raise ValueError(f"no header line starts with {first!r} in the first {lines} lines")
-    names = [n.strip().strip('"') for n in header.removeprefix("\ufeff").split(",")]
-    # the file's first lines are numbered from 0 on; a line of data may repeat one of the preamble
-    head = [r.value for r in numbered].index(header)
-    body = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where((F.col("at") > head) & (F.trim("value") != ""))
-    return body.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("r.*").fillna("")
+    """CSV files in each of which the header, a line that starts with ``first``, stands among the first lines behind other text.
+
+    All columns are text, "" where they were empty; columns that a file hasn't got too. A field in quotes may hold line feeds, which
+    come back as one: whether a line goes on with a record is told by the number of quotes behind the header. Quotes are summed for each
+    split of a file, so that a file of any length is read by many tasks, and only lines of records of several lines are shuffled.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    base = Table(read.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))).df
+    tops = base.where("split = 0").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.col("n") <= lines)
+    is_head = F.ltrim(F.regexp_replace("value", '^\\s*"', "")).startswith(first)
+    heads = Table(tops.groupBy("file").agg(F.min(F.when(is_head, F.struct("at", "value"))).alias("h"))).df
+    lost = heads.where("h is null").count()
+    if lost or not heads.head(1):
+        raise ValueError(f"no header line starts with {first!r} in the first {lines} lines of {lost or 'any'} file(s)")
+    body = base.join(heads.select("file", F.col("h.at").alias("head"), F.col("h.value").alias("names")), "file").where("split > 0 or at > head")
+    body = body.withColumn("quotes", F.regexp_count("value", F.lit('"')))
+    in_split, by_split = Window.partitionBy("file", "split").orderBy("at"), Window.partitionBy("file").orderBy("split")
+    ahead = Window.unboundedPreceding, -1
+    sums = body.groupBy("file", "split").agg(F.sum("quotes").alias("sum")).select("file", "split", F.coalesce(F.sum("sum").over(by_split.rowsBetween(*ahead)), F.lit(0)).alias("before"))
+    told = body.join(sums, ["file", "split"]).withColumn("inside", (F.col("before") + F.coalesce(F.sum("quotes").over(in_split.rowsBetween(*ahead)), F.lit(0))) % 2 == 1)
+    told = Table(told.withColumn("open", F.col("inside") != (F.col("quotes") % 2 == 1))).df
+    # records of several lines: each goes by its first line, which may stand in an earlier split
+    starts = F.last(F.when(~F.col("inside"), F.struct("split", "at")), ignorenulls=True)
+    several = told.where("inside or open").withColumn("own", starts.over(in_split.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = several.groupBy("file", "split").agg(F.max("own").alias("own")).select("file", "split", F.last("own", ignorenulls=True).over(by_split.rowsBetween(*ahead)).alias("earlier"))
+    keyed = several.join(carried, ["file", "split"]).withColumn("record", F.coalesce("own", "earlier"))
+    joined = keyed.groupBy("file", "names", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    records = told.where("not inside and not open").select("names", "value").unionByName(joined.select("names", "value")).where(F.trim("value") != "")
+    parts = []
+    for (header,) in heads.select("h.value").distinct().orderBy("value").collect():
+        names = [n.strip() for n in next(csv.reader([header]))]
+        fields = ", ".join(f"`{n}` string" for n in names)
+        parts.append(records.where(F.col("names") == header).select(F.from_csv("value", fields, {"escape": '"', "multiLine": "true"}).alias("r")).select("r.*"))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).fillna("")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, required: str | None = None, strict: bool = False) -> DataFrame:

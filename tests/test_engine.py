@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import names, nulls, text, vectors
 from foliospark.operators import ann, chunking, community, graph, linkage, outline, relational, retrieval
 from foliospark.plans import sqlguard
-from foliospark.sources import html, readers, sinks
+from foliospark.sources import html, office, readers, sinks
 from foliospark.streaming import events
 
 
@@ -464,3 +464,82 @@ def test_components(spark):
     got = dict(community.components(spark.createDataFrame(pairs, "u long, v long")).df.collect())
     assert got == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
     assert community.components(spark.createDataFrame([], "u long, v long")).df.count() == 0
+
+
+def zipped(**parts):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name.replace("__", "/").replace("_xml", ".xml"), text)
+    return out.getvalue()
+
+
+WORD_FILE = dict(
+    word__styles_xml='<w:styles xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:style w:styleId="berschrift1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="Own"><w:name w:val="Own"/><w:pPr><w:outlineLvl w:val="1"/></w:pPr></w:style></w:styles>',
+    word__document_xml='<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
+    + "".join(f'<w:p><w:pPr>{f'<w:pStyle w:val="{style}"/>' if style else ""}{"<w:numPr/>" if n else ""}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>' for style, text, n in [("berschrift1", "Law &amp; order", 0), ("", "intro", 0), ("Own", "Part one", 0), ("", "item", 1), ("Heading3", "Deep", 0), ("", "", 0)])
+    + "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b|c</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>",
+)
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(zipped(**WORD_FILE))
+    book = {
+        "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="r1"/><sheet name="Empty" r:id="r2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>',
+        "xl/sharedStrings.xml": '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>name</t></si><si><r><t>val</t></r><r><t>ue</t></r></si></sst>',
+        "xl/worksheets/s1.xml": '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2" t="inlineStr"><is><t>x</t></is></c><c r="C2"><v>2.5</v></c></row></sheetData></worksheet>',
+    }
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        for name, text in book.items():
+            z.writestr(name, text)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.HTML").write_text("<html><head><title>no</title><style>x{}</style></head><body><h2>Head <i>line</i></h2><p>one<br>two</p><ul><li>a</li></ul><table><tr><th>k</th><td>v</td></tr></table></body></html>")
+    (tmp_path / "d.csv").write_text('n,t\n1,"a, b"\n2,c\n')
+    (tmp_path / "e.json").write_text('{"a": "é"}')
+    (tmp_path / "f.docx").write_bytes(b"broken")
+    (tmp_path / "g.xyz").write_bytes(b"x")
+    (tmp_path / "h.txt").write_text("\ufeff")
+    got = {r.path.rsplit("/", 1)[1]: r for r in office.documents(spark, f"file://{tmp_path}").collect()}
+    assert got["a.docx"].markdown == "# Law & order\n\nintro\n\n## Part one\n\n- item\n\n### Deep\n\n| a | b\\|c |\n| --- | --- |\n| 1 |  |"
+    assert got["b.xlsx"].markdown == "## One\n\n| name |  | value |\n| --- | --- | --- |\n| x |  | 2.5 |\n\n## Empty"
+    assert got["c.HTML"].markdown == "no\n\n## Head line\n\none\n\ntwo\n\n- a\n\n| k | v |\n| --- | --- |"
+    assert got["d.csv"].markdown == "| n | t |\n| --- | --- |\n| 1 | a, b |\n\n| n | t |\n| --- | --- |\n| 2 | c |"
+    assert got["e.json"].markdown == '```json\n{\n  "a": "é"\n}\n```'
+    assert got["f.docx"].markdown is None and "Zip" in got["f.docx"].error and "unsupported" in got["g.xyz"].error and got["h.txt"].markdown == ""
+    tree = outline.law_chunks(office.documents(spark, f"file://{tmp_path}/a.docx"), "path", "markdown", chunking.resolve("laws") | {"tree": "docx"})
+    assert [r.content for r in tree.orderBy("chunk_index").collect()] == ["Law & order\nintro\nPart one\n- item\nDeep\n| a | b\\|c |\n| --- | --- |\n| 1 |  |"]
+
+
+def test_csv_across_splits(spark, tmp_path):
+    """Records of several lines across splits of some 300 bytes, in files with preambles and headers of their own."""
+    import csv
+    import io
+
+    rng = random.Random(6)
+    want = []
+    for k, (names, preamble) in enumerate([(["Title", "Year", "Note"], 'Exported "by\nhand\n'), (["Title", "Note", "Extra"], ""), (["Title", "Year", "Note"], "\n\n")]):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL if k == 1 else csv.QUOTE_MINIMAL)
+        writer.writerow(names)
+        for i in range(120):
+            row = {n: "".join(rng.choice('ab ,"\n;é') for _ in range(rng.randrange(1, 400 if i % 40 == 0 else 20))).strip() or "x" for n in names}
+            writer.writerow([row[n] for n in names])
+            want.append({"Title": "", "Year": "", "Note": "", "Extra": ""} | row)
+        (tmp_path / f"f{k}.csv").write_text(preamble + out.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = [r.asDict() for r in readers.csv_behind_preamble(spark, f"file://{tmp_path}/*.csv", "Title").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    order = lambda xs: sorted(xs, key=lambda r: repr(sorted(r.items())))
+    assert order(got) == order(want)
+    (tmp_path / "none.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="1 file"):
+        readers.csv_behind_preamble(spark, f"file://{tmp_path}/*.csv", "Title")
