@@ -8,13 +8,16 @@ characters and tags belong to links (Sun et al., "DOM based content extraction v
 with the body's share of link characters. Bases below 2 count as 2: logarithms to a base near 1, as on pages without links,
 would favour the smallest nodes. Text and inline elements between blocks are a unit of their own with its own density.
 
-The subtree whose children have the largest sum of densities holds the article. The least density on the way from there up to
-and including the body is the threshold: beside that way, blocks that are as dense, headings and bare text are taken along;
-inside the subtree what is less dense and mostly links goes. An ``article`` element around the subtree is taken whole.
+The subtree whose children have the largest sum of densities is the article's core. Of it nothing is dropped but rows of bare links
+(not lists or paragraphs of them) before or behind all else. From there the way goes up to the body. The threshold is the least plain density (characters outside links per tag) on that way. At each step the
+blocks beside the way are taken along if they are prose, unlinked and as dense as the threshold, and so are headings and
+bare text; beside prose all that isn't mostly links is taken. An ``article`` element around the core is part of it as a whole, and beside
+it only other ones and the title are taken.
 
 Before, menus, page headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments are cut out by
-element and role, and by class and id names that as a whole say so (``side-effects`` isn't a side bar). Names other than
-those of comments don't count where they would take most of the page's text.
+element and role, and by class and id names that as a whole say so (``side-effects`` isn't a side bar), however much text they hold. A
+name doesn't count on what holds an ``article``, ``main`` or ``h1`` with text, nor on a paragraph or heading of prose where its words may
+mean something else (``related``), nor at all on a page that would have no text without what is named.
 
 Text comes out in blocks in page order: character references decoded, white space inside a block turned into one space,
 ends trimmed, blocks joined by a line feed. Nothing is dropped for its length. Time is linear in the page's length.
@@ -68,6 +71,9 @@ AROUND = frozenset(
     "area bar block body bottom box button buttons column container content form global group header holder inner item items left link links "
     "list main message outer page panel primary right row secondary section site slot text thread title top unit widget wrap wrapper".split()
 )
+#: Names that may stand on a paragraph for what it is about.
+DOUBTFUL = frozenset("related recommended recommendations notice notices alert side search login skip social share sharing promotion banner".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd td".split())
 PAGE_HEADER = frozenset(("header", "masthead", "site-header", "page-header"))
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -92,13 +98,14 @@ _CHAINED = frozenset(x for own, stop in SIBLINGS.values() for x in own | stop)
 class Node:
     """chains: for each name in SIBLINGS the outermost element that such an element would end. p: an open paragraph that a block ends."""
 
-    __slots__ = ("attrs", "chains", "chars", "density", "link_chars", "link_tags", "name", "p", "parent", "parts", "score", "tags")
+    __slots__ = ("attrs", "chains", "chars", "density", "holds", "link_chars", "link_tags", "name", "p", "parent", "parts", "score", "tags")
 
     def __init__(self, name: str, attrs: str, parent: Node | None):
         self.name, self.attrs, self.parent = name, attrs, parent
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
+        self.holds = False
         self.p: Node | None = self if name == "p" else parent.p if parent and name in INLINE else None
         self.chains: tuple = parent.chains if parent else (None,) * len(SIBLINGS)
         if name in _CHAINED:
@@ -226,38 +233,46 @@ def named_noise(node: Node, inside: bool) -> frozenset[str]:
     return frozenset(found)
 
 
+def means_text(node: Node, says: frozenset[str]) -> bool:
+    """Whether the name is no ground to drop the element: it holds the article, or it is a paragraph that has a name of the doubtful kind."""
+    if says & COMMENTS:
+        return False
+    if says <= DOUBTFUL and node.name in PROSE and node.chars and 2 * node.link_chars < node.chars:
+        return True
+    todo = [node]
+    while todo:
+        now = todo.pop()
+        if now.chars and now.name in ("article", "main", "h1"):
+            return True
+        todo += [p for p in now.parts if not isinstance(p, str) and p.holds]
+    return False
+
+
 def prune(root: Node) -> None:
-    """Takes noise out of the tree, from the top down: by kind, then by name where enough text is left."""
+    """Takes noise out of the tree, from the top down: by kind, then by name, unless no text were left then."""
     for names in (False, True):
-        todo, cut, comments = [(root, False)], [], []
+        todo, cut = [(root, False)], []
         while todo:
             node, inside = todo.pop()
             inside = inside or node.name in ARTICLE
             kept: list[Node | str] = []
-            without_comments: list[Node | str] = []
             for p in node.parts:
                 if isinstance(p, str):
-                    says = False
+                    kept.append(p)
                 elif names:
                     says = named_noise(p, inside)
-                else:
-                    says = is_noise(p, inside)
-                if not says:
+                    if not says or means_text(p, says):
+                        kept.append(p)
+                elif not is_noise(p, inside):
                     kept.append(p)
-                if not says or names and not says & COMMENTS:
-                    without_comments.append(p)
             if len(kept) < len(node.parts):
-                cut.append((node, without_comments))
+                cut.append((node, node.parts))
                 node.parts = kept
             todo += [(p, inside) for p in kept if not isinstance(p, str)]
-        if not names:
-            count(root)
-            whole = root.chars - root.link_chars
-        elif cut:
-            count(root)
-            if 4 * (root.chars - root.link_chars) < whole and not any(n.name in ARTICLE and n.chars for n in nodes_of(root)):
-                for node, parts in cut:
-                    node.parts = parts
+        count(root)
+        if names and not root.chars:
+            for node, parts in cut:
+                node.parts = parts
 
 
 def nodes_of(root: Node) -> list[Node]:
@@ -271,9 +286,10 @@ def nodes_of(root: Node) -> list[Node]:
 
 
 def count(root: Node) -> None:
-    """Characters and tags of all subtrees, and those that belong to links."""
+    """Characters and tags of all subtrees, those that belong to links, and whether they hold an element that names an article."""
     for node in reversed(nodes_of(root)):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.holds = node.name in ("article", "main", "h1")
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += sum(map(len, part.split()))
@@ -282,6 +298,7 @@ def count(root: Node) -> None:
                 node.tags += part.tags + 1
                 node.link_chars += part.link_chars
                 node.link_tags += part.link_tags
+                node.holds = node.holds or part.holds
         if node.name == "a":
             node.link_chars = node.chars
             node.link_tags += 1
@@ -296,6 +313,10 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float
     return chars / tags * max(0.0, math.log(ratio)) / math.log(max(2.0, base))
 
 
+def plain_density(node: Node) -> float:
+    return (node.chars - node.link_chars) / max(1, node.tags)
+
+
 class Unit:
     """A block below a node, or a run of text and inline elements between blocks."""
 
@@ -357,21 +378,29 @@ def choose(root: Node) -> Node:
         path.append(node)
         node = node.parent
     articles = [n for n in path if n.name == "article"]
-    if articles:
-        return articles[-1]
+    if articles:  # the core is the article around it
+        path = path[path.index(articles[-1]) :]
     end = next(k for k, n in enumerate(path) if n.name in ("", "html", "body", "main"))
     way = path[: end + 1]
-    threshold = min(n.density for n in way)
-    for k, node in enumerate(way):
+    threshold = min(plain_density(n) for n in way)
+    if not articles:
+        held = units(best, share)
+        bare = [u.node is None and u.chars == u.link_chars > 0 for u in held]
+        text = [k for k, u in enumerate(held) if u.chars and not bare[k]]
+        if text:  # rows of links without a block of their own lead elsewhere where they stand before or behind all else
+            best.parts = [p for k, u in enumerate(held) if not bare[k] or text[0] < k < text[-1] for p in u.parts]
+    for child, node in zip(way, way[1:]):
+        beside = units(node, share)
+        prose = [u for u in beside if u.node is not child and not u.linked and u.node is not None and u.chars and plain_density(u.node) >= threshold]
         kept: list[Node | str] = []
-        for u in units(node, share):
-            beside = k and u.node is not None and u.node is not way[k - 1]
-            if k and u.node is not None and u.node is way[k - 1] or not u.linked and (not beside or u.density >= threshold or u.node.name in HEADINGS) or not beside and u.density >= threshold:
-                kept += u.parts
-            elif not u.chars:
+        for u in beside:
+            if articles:  # what is beside a marked article isn't part of it, but for other marked ones and the title
+                taken = u in prose and u.node.holds or u.node is not None and u.node.name == "h1"
+            else:
+                taken = not u.linked and (prose or u.node is None or u.node.name in HEADINGS)
+            if u.node is child or not u.chars or taken:
                 kept += u.parts
-        if k or any(not isinstance(p, str) or p.strip() for p in kept):
-            node.parts = kept
+        node.parts = kept
     return way[-1]
 
 

@@ -547,6 +547,54 @@ def test_an_article_keeps_its_links_and_short_parts():
     assert html_main.main_text(page) == f"T\n{FULL}\n{FULL}\nThe full report\nEnd."
 
 
+def test_no_block_of_the_article_is_lost():
+    """Pages without an article element: sections, links and short parts of the article, and what is beside it."""
+    two = f"<body><div class='main'><section><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></section><section><h2>Head</h2><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></section></div></body>"
+    assert html_main.main_text(two) == "\n".join([FULL] * 3 + ["Head"] + [FULL] * 2)
+    three = f"<body><div><section><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></section><section><p>short one</p></section><section><p>{PARAGRAPH}</p></section></div></body>"
+    assert html_main.main_text(three) == "\n".join([FULL] * 3 + ["short one", FULL])
+    links = f"<body><div><h1>T</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul><p>See <a href=z>this very long link text here</a></p></div></body>"
+    assert html_main.main_text(links) == f"T\n{FULL}\n{FULL}\none\ntwo\nSee this very long link text here"
+    beside = f"<body><div id='x'><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul></div><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div>small print</div></body>"
+    assert html_main.main_text(beside) == f"{FULL}\n{FULL}"
+    cards = f"<body><h1>T</h1><article>{f'<p>{PARAGRAPH}</p>' * 6}</article><div><p>{PARAGRAPH} about us</p></div><article><p>{PARAGRAPH}</p></article></body>"
+    assert html_main.main_text(cards) == "\n".join(["T"] + [FULL] * 7)
+
+
+def test_names_decide_whatever_the_size():
+    story = f"<div><h1>Story</h1><p>{PARAGRAPH}</p></div>"
+    assert html_main.main_text(f"<body><div class='cookie-notice'><p>{PARAGRAPH * 9}</p></div>{story}</body>") == f"Story\n{FULL}"
+    assert html_main.main_text(f"<body><div class='cookie-notice'><p>{PARAGRAPH}</p></div>{story}</body>") == f"Story\n{FULL}"
+    assert html_main.main_text(f"<article><p>{PARAGRAPH}</p><p class='related'>{PARAGRAPH}</p><div class='related'>{PARAGRAPH}</div></article>") == f"{FULL}\n{FULL}"
+    assert html_main.main_text(f"<article><p>{PARAGRAPH}</p><p class='advert'>{PARAGRAPH}</p></article>") == FULL
+    assert html_main.main_text(f"<body><div class='sidebar content'>{story}</div></body>") == f"Story\n{FULL}"
+    assert html_main.main_text(f"<body><div class='notice'><p>{PARAGRAPH}</p></div></body>") == FULL
+
+
+def test_the_core_has_the_largest_density_sum():
+    """Of pages of random nested sections the core by brute force is whole in the text, and menus of links are not."""
+    rng = random.Random(12)
+
+    def section(depth):
+        if depth and rng.random() < 0.6:
+            return "<div>" + "".join(section(depth - 1) for _ in range(rng.randrange(1, 4))) + "</div>"
+        if rng.random() < 0.25:
+            return "<ul>" + "".join(f"<li><a href=x>menu{rng.randrange(9)}</a></li>" for _ in range(rng.randrange(2, 6))) + "</ul>"
+        return "<section>" + "".join(f"<p>{' '.join('w' + str(rng.randrange(10**6)) for _ in range(rng.randrange(5, 60)))}</p>" for _ in range(rng.randrange(1, 5))) + "</section>"
+
+    for _ in range(60):
+        page = f"<body>{''.join(section(3) for _ in range(rng.randrange(1, 4)))}</body>"
+        root = html_main.parse(page)
+        html_main.prune(root)
+        html_main.weigh(root)
+        core = max(html_main.nodes_of(root), key=lambda n: n.score)
+        if not core.score:
+            continue
+        want, got = html_main.blocks(core), html_main.main_text(page).split("\n")
+        assert [x for x in got if x in set(want)] == want
+        assert len(set(got) - set(want)) == 0 or all(x.startswith("w") for x in set(got) - set(want))
+
+
 def test_densities_by_brute_force():
     r = random.Random(4)
 
