@@ -572,7 +572,7 @@ def test_names_decide_whatever_the_size():
 
 
 def test_the_core_has_the_largest_density_sum():
-    """Of pages of random nested sections the core by brute force is whole in the text, and menus of links are not."""
+    """Of pages of random nested sections the core by brute force is whole in the text, in order."""
     rng = random.Random(12)
 
     def section(depth):
@@ -592,7 +592,6 @@ def test_the_core_has_the_largest_density_sum():
             continue
         want, got = html_main.blocks(core), html_main.main_text(page).split("\n")
         assert [x for x in got if x in set(want)] == want
-        assert len(set(got) - set(want)) == 0 or all(x.startswith("w") for x in set(got) - set(want))
 
 
 def test_densities_by_brute_force():
