@@ -1,11 +1,14 @@
 """Queries on text, names, dates, arrays, JSON and vectors."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from foliospark.functions import names, nulls, text, time, vectors
 from foliospark.operators.relational import sample_by_hash
 from foliospark.queries import Tables, query
-from foliospark.sources import html, readers
+from foliospark.sources import dom, html, readers
+from foliospark.tables import Table
 
 
 @query("n1_clean_id", "select o_orderkey, case when o_orderkey % 5 = 0 then '' when o_orderkey % 5 = 1 then cast(o_orderkey as varchar) when o_orderkey % 5 = 2 then 'v2.0' else cast(o_orderkey as varchar) end as v from orders")
@@ -305,3 +308,63 @@ def _(t: Tables):
 @query("v13_neighbour_sample", "select doc_id from (select doc_id from documents where lang = 'de' order by md5('42:' || doc_id), doc_id limit 5)")
 def _(t: Tables):
     return sample_by_hash(t.documents.where("lang = 'de'"), "doc_id", 5).select("doc_id")
+
+
+def _staff_pages(t: Tables):
+    """A page for each nation with its suppliers in one of the seven layouts, by the nation's number."""
+    k = F.format_string("%012d", F.col("s_suppkey"))
+    name = F.concat(F.lit("Dr. "), "s_name")
+    scholar = F.concat(F.lit("<a href='https://scholar.google.com/citations?hl=en&user=u"), F.col("s_suppkey").cast("string"), F.lit("'>S</a>"))
+    cv = F.concat(F.lit("<a href='https://cv.unesa.ac.id/detail/"), k, F.lit("'>CV</a>"))
+    cut = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kinds = [
+        cut("<tr><td>1</td><td>", name, "</td><td>NIP ", k, "</td><td>", scholar, "</td></tr>"), cut("<tr><td>1<td>", name, "<td>-<td>", cv, scholar),
+        cut("<table class='MsoTableGrid'><tr><td>", name, "</td></tr><tr><td>CV</td><td>", cv, "</td></tr><tr><td>Google Scholar</td><td>", scholar, "</td></tr></table>"),
+        cut("<table><tr><td><h4>Profil</h4><h4>", name, "</h4>", cv, scholar, "</td></tr></table>"), cut("<div class='x'><div class='big nama-dosen'>", name, "</div>", cv, scholar, "</div>"),
+        cut("<div><h3>", name, "</h3><p>NIP. ", k, "</p>", scholar, "</div>"), cut("<div class='team-card'><h4>", name, "</h4><span><i>", scholar, "</i></span>", cv, "</div>"),
+    ]
+    layout = F.col("s_nationkey") % len(kinds)
+    block = reduce(lambda a, b: a.when(layout == b[0], b[1]), enumerate(kinds), F.when(F.lit(False), ""))
+    rows = t.supplier.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", block.alias("b")))), lambda x: x["b"]), "").alias("body"))
+    wrap = F.when(layout < 2, F.concat(F.lit("<table><tr><td>No</td><td>Nama</td><td>NIP</td></tr>"), "body", F.lit("</table>"))).otherwise(F.col("body"))
+    return rows.select(F.col("s_nationkey").alias("page_id"), F.concat(F.lit("<html><body><h1>Staff</h1>"), wrap, F.lit("</body></html>")).alias("html"))
+
+
+@query("s16_layouts", "select s_nationkey as page_id, 'Dr. ' || s_name as name, lpad(cast(s_suppkey as varchar), 12, '0') as nip, 'u' || s_suppkey as scholar_id from supplier")
+def _(t: Tables):
+    parsed = Table(dom.trees(_staff_pages(t))).df
+    found = [dom.people(parsed.where(F.col("page_id") % len(dom.LAYOUTS) == k), layout) for k, layout in enumerate(dom.LAYOUTS)]
+    return reduce(lambda a, b: a.unionByName(b), found).select("page_id", "name", "nip", "scholar_id")
+
+
+#: What stands before each page's own html, by page_id modulo 8, with the keywords "alpha N" and "beta".
+_BEFORE = [
+    """<script id="__NEXT_DATA__">{"props":{"pageProps":{"data":{"item":{"itemInfo":{"subjects":"Alpha %s; Beta","ab":"%s"}}}}}}</script>""",
+    """<dl><dt>Subjects:</dt><dd><a href=x>Alpha %s</a> <a href=y>Beta</a></dd></dl><meta name="citation_abstract" content="%s">""",
+    """<script>xplGlobal.document.metadata={"keywords":[{"type":"IEEE","kwd":["no"]},{"type":"Author Keywords","kwd":["Alpha %s","Beta"]}]};</script><div class="x abstract-box">Abstract: %s</div>""",
+    """<ul class="c-article-subject-list"><li>Alpha %s</li><li>Beta</li></ul><h2>Abstract</h2><p>%s</p>""",
+    """<h3>Keywords</h3><ul><li>Alpha %s</li><li>Beta</li></ul><section id="abstractSection">%s</section>""",
+    """<div class="kwd-group"><span class="kwd-text">Alpha %s</span><span class="kwd-text">Beta</span></div><meta property="og:description" content="%s">""",
+    """<script type="application/ld+json">{"keywords":["Alpha %s","Beta"]}</script><strong>Abstrak:</strong><div>%s</div>""",
+    """<meta name="keywords" content="Alpha %s; Beta"><meta name="description" content="%s">""",
+]
+
+
+@query("s18_page_fields", "select page_id, 'alpha ' || page_id || ', beta' as keywords, 'What page ' || page_id || ' is about, told in more than fifty characters.' as abstract from pages")
+def _(t: Tables):
+    k = F.col("page_id").cast("string")
+    told = F.concat(F.lit("What page "), k, F.lit(" is about, told in more than fifty characters."))
+    before = reduce(lambda a, b: a.when(F.col("page_id") % len(_BEFORE) == b[0], F.format_string(b[1], k, told)), enumerate(_BEFORE), F.when(F.lit(False), ""))
+    return dom.trees(t.pages.select("page_id", F.concat(before, "html").alias("html"))).select("page_id", dom.keywords().alias("keywords"), dom.abstract().alias("abstract"))
+
+
+@query("s20_best_pdf", """
+with l as (select page_id, row_number() over () as at, u, t from pages, (values (1, '/a.pdf', 'PDF'), (2, '/b', 'Download full-text PDF'), (3, '/c.pdf', 'Citation pdf'), (4, '/interactive.pdf', 'Download pdf'), (5, '/d', 'Full-text')) v(k, u, t) where page_id % k = 0),
+s as (select *, case when lower(t) like '%download full-text pdf%' then 10 else 0 end + case when lower(t) like '%download%' then 3 else 0 end + case when lower(t) like '%pdf%' then 3 else 0 end
+  + case when lower(u) like '%pdf%' then 5 else 0 end + case when lower(t) like '%full-text%' then 2 else 0 end - case when u like '%interactive%' then 10 else 0 end - case when lower(t) like '%citation%' then 5 else 0 end as score from l)
+select page_id, cast(max(score) as int) as score, arg_max(u, score) as url from s where score > 5 group by 1""")
+def _(t: Tables):
+    k = F.col("page_id")
+    links = [(1, "/a.pdf", "PDF"), (2, "/b", "Download <b>full-text</b> PDF"), (3, "/c.pdf", "Citation pdf"), (4, "/interactive.pdf", "Download pdf"), (5, "/d", "Full-text")]
+    behind = F.concat("html", *[F.when(k % n == 0, f"<a class=x href='{u}'>{said}</a>").otherwise("") for n, u, said in links])
+    return dom.trees(t.pages.select("page_id", behind.alias("html"))).select("page_id", dom.pdf_link().alias("best")).where("best is not null").select("page_id", "best.score", "best.url")
