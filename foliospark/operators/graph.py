@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text
 from foliospark.operators.relational import cut, latest, top_per_group
+from foliospark.tables import Table
 
 
 def coauthors(writes: DataFrame, paper: str, author: str) -> DataFrame:
@@ -217,6 +218,44 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.withColumnRenamed("label", "community")
 
 
+def distances(edges: DataFrame, seeds: DataFrame, most: int = 4) -> Table:
+    """(seed, node, distance, via): every node that a seed reaches in ``most`` steps of any direction, by the fewest, and the least
+    of its neighbours that is one step nearer to the seed.
+
+    All seeds go on at once, a step a round; a round joins the nodes that the last one reached with their edges and drops what was reached before.
+    """
+    und = Table(undirected(edges.select("src", "dst").where("src is not null and dst is not null")).distinct()).df
+    first = seeds.select("node").where("node is not null").distinct()
+    reached = Table(first.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"), F.lit(None).cast(first.schema["node"].dataType).alias("via")), {"n": F.count(F.lit(1))})
+    found = last = reached.df
+    more, step = reached.metrics["n"], 0
+    while more and step < most:
+        step += 1
+        near = last.select("seed", F.col("node").alias("src")).join(und, "src").groupBy("seed", F.col("dst").alias("node")).agg(F.min("src").alias("via"))
+        fresh = Table(near.join(found.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(step).alias("distance"), "via"), {"n": F.count(F.lit(1))})
+        last, more = fresh.df, fresh.metrics["n"]
+        found = found.unionByName(last)
+    reached.df = found
+    return reached
+
+
+def clue_subgraph(edges: DataFrame, seeds: DataFrame, most: int = 4) -> DataFrame:
+    """(a, b, step, src, dst): a shortest way between each two seeds a < b that are ``most`` steps apart at most, edge by edge from b back to a.
+
+    Of ways of the same length the one whose nodes, from b on, are the least. So the graph holds what links the seeds and nothing else.
+    """
+    known = distances(edges, seeds, most).df
+    ends = seeds.select(F.col("node").alias("b")).distinct()
+    pairs = known.join(ends, F.col("node") == F.col("b")).where("seed < b")
+    now = Table(pairs.select(F.col("seed").alias("a"), "b", F.lit(1).alias("step"), F.col("node").alias("src"), F.col("via").alias("dst"), F.col("distance").alias("left")))
+    back = known.select(F.col("seed").alias("a"), F.col("node").alias("dst"), F.col("via").alias("to"))
+    ways = now.df
+    for step in range(2, most + 1):
+        now = Table(now.df.where("left > 1").join(back, ["a", "dst"]).select("a", "b", F.lit(step).alias("step"), F.col("dst").alias("src"), F.col("to").alias("dst"), (F.col("left") - 1).alias("left")))
+        ways = ways.unionByName(now.df)
+    return ways.drop("left")
+
+
 def lookback_pairs(tokens: DataFrame, back: int = 3) -> DataFrame:
     """(src, dst, n): words of a sentence that stand at most ``back`` places apart. tokens: sent, pos, node."""
     w = Window.partitionBy("sent").orderBy("pos")

@@ -272,3 +272,30 @@ def _(t: Tables):
 @query("h5_node_index")
 def _(t: Tables):
     return ann.node_search(_upload_nodes(t), _node_queries(t), threshold=0.2).withColumn("score", F.round("score", 6))
+
+
+#: Parts that share a supplier and an order of high quantity are neighbours; every seventh of the first ones is a seed.
+_CLUES = """
+with recursive l as (select l_suppkey * 2 as s, l_partkey * 2 + 1 as p from lineitem where l_quantity > 45),
+u as (select s as a, p as b from l union select p, s from l),
+r as (select distinct a as seed, a as node, 0 as d from u where a % 2 = 1 and a < 100 and a % 7 = 0 union select seed, b, d + 1 from r join u on a = node where d < 4),
+dist as (select seed, node, min(d) as distance from r group by 1, 2),
+via as (select x.seed, x.node, x.distance, min(u.b) as via from dist x left join u on u.a = x.node and exists (select 1 from dist y where y.seed = x.seed and y.node = u.b and y.distance = x.distance - 1) group by 1, 2, 3)"""
+
+
+def _clues(t: Tables):
+    e = t.lineitem.where("l_quantity > 45").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    return e, e.select(F.col("dst").alias("node")).where("node < 100 and node % 7 = 0")
+
+
+@query("v15_clue_distances", f"{_CLUES} select seed, node, distance, via from via")
+def _(t: Tables):
+    return graph.distances(*_clues(t)).df
+
+
+@query("v15_clue_ways", f"""{_CLUES}, w as (
+  select seed as a, node as b, 1 as step, node as src, via as dst, distance as rest from via where node in (select seed from via) and seed < node
+  union all select w.a, w.b, step + 1, w.dst, v.via, rest - 1 from w join via v on v.seed = w.a and v.node = w.dst where rest > 1)
+select a, b, step, src, dst from w""")
+def _(t: Tables):
+    return graph.clue_subgraph(*_clues(t))
