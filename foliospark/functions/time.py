@@ -33,3 +33,23 @@ def days_before(ts: Column, now: Column) -> Column:
 def millis(ts: Column) -> Column:
     """Milliseconds since 1970, whatever the session's time zone for a time without zone."""
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
+#: Hours that times without a zone are ahead of UTC.
+LOCAL_HOURS = 8
+
+
+def to_utc(c: Column, local_hours: int = LOCAL_HOURS) -> Column:
+    """UTC, as a time without zone, of ISO 8601 texts and of numbers of seconds since 1970; null for anything else.
+
+    A text may end with Z or an offset; one without is local time. A date alone is its midnight.
+    """
+    raw = F.trim(c.cast("string"))
+    iso = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?(Z|[+-]\d{2}:?\d{2})?$"
+    day, clock, zone = (F.regexp_extract(raw, iso, k) for k in (1, 2, 3))
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    minutes = F.when(zone == "", local_hours * 60).when(zone == "Z", 0).otherwise(sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")))
+    local = F.concat_ws(" ", day, F.when(clock != "", clock).otherwise("00:00")).try_cast("timestamp_ntz")
+    seconds = F.when(raw.rlike(r"^-?\d+(\.\d+)?$"), raw.try_cast("decimal(20,6)"))
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.coalesce(local - F.make_dt_interval(mins=minutes), epoch + F.make_dt_interval(secs=seconds))

@@ -22,18 +22,23 @@ def similar_pairs(df: DataFrame, id_col: str, set_col: str, threshold: float) ->
 
     Prefix filter: sets' items are ordered from rare to frequent over the whole table; a pair as similar as that shares an
     item among the first n - ceil(t * n) + 1 of both. Only those are joined, so frequent items hardly take part, and no
-    pair is lost. Candidates are verified on the whole sets.
+    pair is lost. Places in both sets bound what can still be shared; candidates are verified on the whole sets.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.array_distinct(set_col).alias("s")).where(F.size("s") > 0)
-    items = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    sets = Table(df.select(F.col(id_col).alias("id"), F.array_distinct(set_col).alias("s")).where(F.size("s") > 0)).df
+    items = sets.select("id", F.explode("s").alias("t"))
     freq = items.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    ordered = items.join(freq, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"), F.first("n").alias("n"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select("id", "n", F.col("x.t").alias("t"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    long_enough = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    cand = a.join(b, "t").where((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
-    full = cand.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+    sorted_items = F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"])
+    ordered = Table(items.join(freq, "t").groupBy("id").agg(sorted_items.alias("s"))).df
+    n = F.size("s")
+    keep = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
+    prefix = ordered.select("id", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), keep)).alias("at", "t"))
+    a, b = (prefix.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at")]) for x in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
+    long_enough = (na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9)
+    # what two sets can share from a shared item's places on; the first item they share passes
+    enough = F.least(na - F.col("at_a"), nb - F.col("at_b")) >= threshold / (1 + threshold) * (na + nb) - 1e-9
+    cand = a.join(b, "t").where((F.col("id_a") < F.col("id_b")) & long_enough & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    full = cand.join(ordered.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(ordered.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return full.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("score")).where(F.col("score") >= threshold)
 
@@ -45,17 +50,23 @@ def greedy_keep(df: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
     partners went stays. The least row of the open pairs is settled in each round, so the rounds end, and the result is that
     of the sequential pass. Pairs count with a < b.
     """
-    spark = df.sparkSession
-    open_ = cut(pairs.select("a", "b").where("a < b").distinct())
-    gone = spark.createDataFrame([], "id long")
-    while not open_.isEmpty():
-        # partners that have no open earlier partner of their own stay
-        kept = cut(open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-        lost = cut(open_.join(kept, open_.a == kept.id).select(F.col("b").alias("id")).distinct())
-        gone = cut(gone.unionByName(lost))
-        # what went takes its pairs along, on both sides
-        open_ = cut(open_.join(lost, open_.b == lost.id, "left_anti").join(lost, open_.a == lost.id, "left_anti").join(kept, open_.a == kept.id, "left_anti"))
-    return df.join(gone, F.col(id_col) == F.col("id"), "left_anti")
+    some = {"n": F.count(F.lit(1))}
+    open_ = Table(pairs.select("a", "b").where("a < b").distinct(), some)
+    gone = []
+    while open_.metrics["n"]:
+        ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(False).alias("later")), F.struct(F.col("b").alias("id"), F.lit(True).alias("later"))))
+        # partners that have no open earlier partner of their own stay, and theirs go
+        kept = open_.df.select(ends.alias("e")).groupBy("e.id").agg(F.max("e.later").alias("later")).where("not later").select("id")
+        settled = Table(open_.df.join(kept, F.col("a") == F.col("id")).select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(False).alias("lost")), F.struct(F.col("b").alias("id"), F.lit(True).alias("lost")))).alias("e")).select("e.*").distinct())
+        done = settled.df.select("id")
+        left = Table(open_.df.join(done, F.col("a") == F.col("id"), "left_anti").join(done, F.col("b") == F.col("id"), "left_anti"), some)
+        gone.append(settled.df.where("lost").select("id"))
+        open_.drop()
+        open_ = left
+    if not gone:
+        return df
+    lost = reduce(DataFrame.unionByName, gone).select(F.col("id").alias("_lost"))
+    return df.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
 
 
 def dedup_papers(df: DataFrame, order: str, title: str = "title", existing: DataFrame | None = None, threshold: float = 0.8, least: int = 10, compat: bool = False) -> DataFrame:

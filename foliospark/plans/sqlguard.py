@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import threading
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # First words that may run, and patterns that may not occur.
 ALLOWED = ("SELECT", "SHOW", "DESCRIBE", "EXPLAIN")
@@ -23,6 +25,25 @@ def is_safe(sql: str | None) -> bool:
     return bool(first) and first[0].upper() in ALLOWED and not any(re.search(p, bare, re.I) for p in FORBIDDEN)
 
 
+def safe(sql: Column) -> Column:
+    """``is_safe`` for a column of statements, as from a log."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(sql, F.lit("")), r"(?m)--.*$", ""), r"/\*.*?\*/", "")
+    bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
+    first = F.upper(F.regexp_extract(bare, r"^(\w+)", 1))
+    bad = reduce(lambda a, b: a | b, [bare.rlike(f"(?i){p}") for p in FORBIDDEN])
+    return first.isin(*ALLOWED) & ~bad
+
+
+def describe(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tab, at, column, type, rows, filled): the columns of tables, how many rows these have and in how many a column is filled; one pass over each."""
+    told = []
+    for name, df in sorted(tables.items()):
+        counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(df.columns)])
+        rows = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(c).alias("column"), F.lit(kind).alias("type"), F.col("rows"), F.col(f"c{k}").alias("filled")) for k, (c, kind) in enumerate(df.dtypes)])
+        told.append(counted.select(F.lit(name).alias("tab"), F.inline(rows)))
+    return reduce(DataFrame.unionByName, told)
+
+
 def is_table_name(name: str | None) -> bool:
     return bool(re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name or ""))
 

@@ -93,10 +93,11 @@ def _(t: Tables):
 
 
 @query("e9_alias_closure", """
-with recursive a as (select n_nationkey as src, n_nationkey + 7 as dst from nation where n_nationkey + 7 <= 24), r(src, dst) as (select src, dst from a union all select r.src, a.dst from r join a on a.src = r.dst)
-select cast(src as varchar) as src, cast(max(dst) as varchar) as dst from r group by 1""")
+with recursive a as (select c_custkey as src, c_custkey // 2 as dst from customer where c_custkey > 1), r(src, dst) as (select src, dst from a union all select r.src, a.dst from r join a on a.src = r.dst)
+select cast(src as varchar) as src, cast(min(dst) as varchar) as dst from r group by 1""")
 def _(t: Tables):
-    a = t.nation.where("n_nationkey + 7 <= 24").select(F.col("n_nationkey").cast("string").alias("src"), (F.col("n_nationkey") + 7).cast("string").alias("dst"))
+    """Every customer is an alias of the one with half its number."""
+    a = t.customer.where("c_custkey > 1").select(F.col("c_custkey").cast("string").alias("src"), F.expr("c_custkey div 2").cast("string").alias("dst"))
     return linkage.resolve_aliases(a)
 
 
@@ -145,6 +146,22 @@ def _(t: Tables):
     return relational.upsert(s, new, ["s_suppkey"], "seq")
 
 
+@query("k4_upsert_by_doi", """
+select '10.1/' || p_partkey as doi, case when p_partkey % 3 = 0 then 'new ' else '' end || p_name as title, case when p_partkey % 3 = 0 then p_size else null end as year from part
+union all select '10.2/' || s_suppkey, s_name, 1 from supplier""")
+def _(t: Tables):
+    """The older load: papers keyed on their DOI in a table of files; later rows of a load win, those without a DOI go."""
+    path = f"{shared_dir(t.spark)}/papers-{uuid.uuid4().hex}"
+    rows = lambda df, doi, title, year, seq: df.select(doi.alias("doi"), title.alias("title"), year.cast("int").alias("year"), F.lit(seq).alias("seq"))
+    p, doi = t.part, F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string"))
+    sinks.upsert_table(t.spark, path, rows(p, doi, F.col("p_name"), F.lit(None), 1), ["doi"], "seq")
+    again = rows(p.where("p_partkey % 3 = 0"), doi, F.lit("overridden"), F.col("p_size"), 1).unionByName(rows(p.where("p_partkey % 3 = 0"), doi, F.concat(F.lit("new "), "p_name"), F.col("p_size"), 2))
+    fresh = rows(t.supplier, F.concat(F.lit("10.2/"), F.col("s_suppkey").cast("string")), F.col("s_name"), F.lit(1), 1)
+    lost = rows(t.supplier, F.lit(None).cast("string"), F.col("s_name"), F.lit(1), 1)
+    sinks.upsert_table(t.spark, path, again.unionByName(fresh).unionByName(lost), ["doi"], "seq")
+    return t.spark.read.parquet(path)
+
+
 @query("k2_paper_rows", "select md5('title:' || regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || '_year:' || (1990 + p_size)) as paper_id, p_name as title, 1990 + p_size as year from part")
 def _(t: Tables):
     p = t.part.select(F.col("p_name").alias("Title"), F.concat((F.col("p_size") + 1990).cast("string"), F.lit(".0")).alias("Year"))

@@ -305,9 +305,9 @@ def _(t: Tables):
     return t.pages.select("page_id", *html.profile_ids(urls)[:2])
 
 
-@query("v13_neighbour_sample", "select doc_id from (select doc_id from documents where lang = 'de' order by md5('42:' || doc_id), doc_id limit 5)")
+@query("v13_neighbour_sample", "select doc_id from (select doc_id from documents order by md5('42:' || doc_id), doc_id limit 50)")
 def _(t: Tables):
-    return sample_by_hash(t.documents.where("lang = 'de'"), "doc_id", 5).select("doc_id")
+    return sample_by_hash(t.documents, "doc_id", 50).select("doc_id")
 
 
 def _staff_pages(t: Tables):
@@ -368,3 +368,13 @@ def _(t: Tables):
     links = [(1, "/a.pdf", "PDF"), (2, "/b", "Download <b>full-text</b> PDF"), (3, "/c.pdf", "Citation pdf"), (4, "/interactive.pdf", "Download pdf"), (5, "/d", "Full-text")]
     behind = F.concat("html", *[F.when(k % n == 0, f"<a class=x href='{u}'>{said}</a>").otherwise("") for n, u, said in links])
     return dom.trees(t.pages.select("page_id", behind.alias("html"))).select("page_id", dom.pdf_link().alias("best")).where("best is not null").select("page_id", "best.score", "best.url")
+
+
+@query("d4_to_utc", """
+select event_id, case event_id % 5 when 0 then ts - interval 8 hour when 1 then ts when 2 then ts - interval 7 hour when 3 then date_trunc('second', ts) else null end as utc from events""")
+def _(t: Tables):
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    k = F.col("event_id") % 5
+    seconds = F.floor(time.millis(F.col("ts")) / 1000).cast("string")
+    said = F.when(k == 0, iso).when(k == 1, F.concat(iso, F.lit("Z"))).when(k == 2, F.concat(iso, F.lit("+07:00"))).when(k == 3, seconds).otherwise(F.concat(F.lit("on "), iso))
+    return t.events.select("event_id", time.to_utc(said).alias("utc"))

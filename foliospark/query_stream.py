@@ -1,6 +1,7 @@
 """Queries on event logs; streams run to the end of what there is, and their results are read back."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -114,11 +115,16 @@ def _(t: Tables):
     return events.without_cancelled(e, t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("run_id"))).select("event_id")
 
 
-@query("x9_state_machine", "select o_orderkey as run_id, case when o_orderstatus = 'O' then 'F' else o_orderstatus end as status from orders")
+@query("x9_state_machine", """
+select o_orderkey as run_id, case when (o_orderstatus, wanted) in (('O', 'P'), ('O', 'F'), ('P', 'F')) then wanted else o_orderstatus end as status
+from (select *, case o_orderkey % 3 when 0 then 'F' when 1 then 'P' else 'O' end as wanted from orders)""")
 def _(t: Tables):
+    """Orders are open, then pending, then finished, and never go back."""
     from foliospark.sources.sinks import next_status
 
-    return next_status(t.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.lit("F").alias("wanted")), {"O": ("F",)}).select("run_id", "status")
+    wanted = F.when(F.col("o_orderkey") % 3 == 0, "F").when(F.col("o_orderkey") % 3 == 1, "P").otherwise("O")
+    asked = t.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), wanted.alias("wanted"))
+    return next_status(asked, {"O": ("P", "F"), "P": ("F",), "F": ()}).select("run_id", "status")
 
 
 @query("x11_cutoff", "select o_orderkey from orders where year(o_orderdate) > 1996")
@@ -126,10 +132,18 @@ def _(t: Tables):
     return t.orders.where(~(F.year("o_orderdate") <= 1996)).select("o_orderkey")
 
 
-@query("g1_sql_guard", "select * from (values ('SELECT 1', true), ('DROP TABLE x', false), ('select a union select b', false), ('-- x' || chr(10) || 'SHOW TABLES', true), ('with a as (select 1) select * from a', false)) v(stmt, safe)")
+#: Statements of a log, by o_orderkey modulo their number, and whether they may run; %s is the key.
+_STATEMENTS = [
+    ("SELECT %s", True), ("DROP TABLE t%s", False), ("select a from t union  select %s", False), ("-- comment %s\nSHOW TABLES", True), ("with a as (select %s) select * from a", False),
+    ("/* delete %s */ explain select 1", True), ("select * from t where k = %s or 1 = 1", False), ("select %s; drop table t", False), ("select sleep (%s)", False), (" describe t%s", True), ("-- only %s", False),
+]
+
+
+@query("g1_sql_guard", f"select o_orderkey, o_orderkey % {len(_STATEMENTS)} in ({', '.join(str(k) for k, (_, ok) in enumerate(_STATEMENTS) if ok)}) as safe from orders")
 def _(t: Tables):
-    cases = ["SELECT 1", "DROP TABLE x", "select a union select b", "-- x\nSHOW TABLES", "with a as (select 1) select * from a"]
-    return t.spark.createDataFrame([(c, sqlguard.is_safe(c)) for c in cases], "stmt string, safe boolean")
+    k = F.col("o_orderkey")
+    said = reduce(lambda a, b: a.when(k % len(_STATEMENTS) == b[0], F.format_string(b[1][0], k.cast("string"))), enumerate(_STATEMENTS), F.when(F.lit(False), ""))
+    return t.orders.select("o_orderkey", sqlguard.safe(said).alias("safe"))
 
 
 @query("g2_guarded_query", "select n_regionkey, count(*) as n from nation group by 1")
@@ -138,6 +152,9 @@ def _(t: Tables):
     return sqlguard.run(t.spark, "SELECT n_regionkey, count(*) AS n FROM guarded_nation GROUP BY n_regionkey")
 
 
-@query("s25_describe", "select 'nation' as tab, 3 as columns")
+_DESCRIBED = {"nation": ("n_nationkey", "n_name", "n_regionkey"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), "labels": ("doc_id", "quality", "toxic")}
+
+
+@query("s25_describe", " union all ".join(f"select '{tab}' as tab, {k} as at, '{c}' as column, (select count(*) from {tab}) as rows, (select count({c}) from {tab}) as filled" for tab, cs in _DESCRIBED.items() for k, c in enumerate(cs)).replace(" as at,", ' as "at",').replace(" as column,", ' as "column",').replace(" as rows,", ' as "rows",'))
 def _(t: Tables):
-    return t.spark.createDataFrame([("nation", len(t.nation.columns))], "tab string, columns int")
+    return sqlguard.describe({name: getattr(t, name) for name in _DESCRIBED}).drop("type")

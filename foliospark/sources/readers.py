@@ -130,18 +130,35 @@ def openalex_records(landed: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def lookup_by_doi_then_title(papers: DataFrame, landed: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """papers (paper_id, doi, title) with the landed row of their DOI, else that of the most similar title with the same first word."""
-    from foliospark.functions.names import ratio
+    """papers (paper_id, doi, title) with the landed row of their DOI, else that of the most similar title, whatever word it begins with."""
+    from foliospark.operators.linkage import similar_names
 
     key = lambda c: F.lower(F.trim(c))
+    name = lambda c: tx.squashed(F.col(c)).alias("name")
     l_ = landed.select(key(F.col("doi")).alias("ldoi"), F.col("title").alias("ltitle"), F.struct(*landed.columns).alias("hit"))
     by_doi = papers.where("trim(doi) <> ''").join(l_, key(F.col("doi")) == F.col("ldoi")).groupBy("paper_id").agg(F.min("hit").alias("hit"))
-    rest = papers.join(by_doi, "paper_id", "left_anti").withColumn("w", F.substring_index(tx.plain(F.col("title")), " ", 1))
-    near = rest.join(l_.withColumn("w", F.substring_index(tx.plain(F.col("ltitle")), " ", 1)), "w").withColumn("s", ratio(tx.squashed(F.col("title")), tx.squashed(F.col("ltitle"))))
-    by_title = near.where(F.col("s") >= threshold).groupBy("paper_id").agg(F.min_by("hit", F.struct(-F.col("s"), "ltitle")).alias("hit"))
+    rest = Table(papers.join(by_doi, "paper_id", "left_anti").select("paper_id", name("title"))).df
+    near = similar_names(rest.select("name"), landed.select(name("title")), threshold)
+    told = rest.join(near, rest["name"] == near.lname).join(l_.withColumn("rname", tx.squashed(F.col("ltitle"))), "rname")
+    by_title = told.groupBy("paper_id").agg(F.min_by("hit", F.struct(-F.col("score"), "ltitle")).alias("hit"))
     return papers.join(by_doi.unionByName(by_title), "paper_id", "left")
 
 
+def best_of_hits(papers: DataFrame, hits: DataFrame, most: int = 3, least: float = 0.75) -> DataFrame:
+    """papers (paper_id, title, ...) with the landed answer that fits best, as ``hit``, and its ``score``; null where none does.
+
+    hits: paper_id, rank from 1, title and other columns, as a title search gave them. Of the first ``most`` the most similar title counts, of
+    equals the first, if its ratio reaches ``least``; titles are compared without case, marks and blanks.
+    """
+    from foliospark.functions.names import ratio
+
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    asked = papers.select("paper_id", plain(F.col("title")).alias("_asked")).where("_asked <> ''")
+    scored = hits.where(F.col("rank") <= most).join(asked, "paper_id").withColumn("_s", ratio(plain(F.col("title")), F.col("_asked")))
+    best = scored.where(F.col("_s") >= least).groupBy("paper_id").agg(F.min_by(F.struct(F.struct(*hits.columns).alias("hit"), F.col("_s").alias("score")), F.struct(-F.col("_s"), F.col("rank"))).alias("b"))
+    return papers.join(best.select("paper_id", "b.*"), "paper_id", "left")
+
+
 def unread(targets: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumed run has still to do."""
     return targets.join(done.select(key).distinct(), key, "left_anti")

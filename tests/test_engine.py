@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import names, nulls, text, vectors
+from foliospark.functions import names, nulls, text, time, vectors
 from foliospark.operators import ann, chunking, community, graph, linkage, outline, relational, retrieval
 from foliospark.plans import sqlguard
-from foliospark.sources import html, office, readers, sinks
+from foliospark.sources import dom, html, office, readers, sinks
 from foliospark.streaming import events
 
 
@@ -543,3 +543,52 @@ def test_csv_across_splits(spark, tmp_path):
     (tmp_path / "none.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="1 file"):
         readers.csv_behind_preamble(spark, f"file://{tmp_path}/*.csv", "Title")
+
+
+def test_lookups(spark):
+    papers = spark.createDataFrame([(1, "10.1/a", "x"), (2, "", "The deep nets of text"), (3, None, "unknown title")], "paper_id long, doi string, title string")
+    landed = spark.createDataFrame([("10.1/A", "by doi"), ("", "Deep nets of text"), ("", "a deep nets of texts")], "doi string, title string")
+    got = {r.paper_id: r.hit and r.hit.title for r in readers.lookup_by_doi_then_title(papers, landed).collect()}
+    assert got == {1: "by doi", 2: "Deep nets of text", 3: None}
+    hits = spark.createDataFrame([(2, 1, "The deep nets"), (2, 2, "THE DEEP NETS, of text!"), (2, 3, "The deep nets of text"), (3, 4, "unknown title")], "paper_id long, rank int, title string")
+    got = {r.paper_id: (r.hit and r.hit.rank, r.score) for r in readers.best_of_hits(papers, hits).collect()}
+    assert got == {1: (None, None), 2: (2, 1.0), 3: (None, None)}
+
+
+@pytest.mark.parametrize(("raw", "utc"), [("2024-01-05T10:00:00", "2024-01-05 02:00:00"), ("2024-01-05 10:00:00.5+01:00", "2024-01-05 09:00:00.500000"), ("2024-01-05T10:00Z", "2024-01-05 10:00:00"), ("2024-01-05", "2024-01-04 16:00:00"), ("0", "1970-01-01 00:00:00"), ("1704448800.25", "2024-01-05 10:00:00.250000"), ("2024-13-45", None), ("soon", None), (None, None)])
+def test_to_utc(spark, raw, utc):
+    got = one(spark, time.to_utc, raw)
+    assert (None if got is None else str(got)) == utc
+
+
+def test_distances(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (4, 5), (6, 7), (1, 3)], "src long, dst long")
+    seeds = spark.createDataFrame([(1,), (5,), (6,), (1,), (None,)], "node long")
+    got = {(r.seed, r.node): (r.distance, r.via) for r in graph.distances(edges, seeds, 3).df.collect()}
+    assert got == {(1, 1): (0, None), (1, 2): (1, 1), (1, 3): (1, 1), (1, 4): (2, 3), (1, 5): (3, 4), (5, 5): (0, None), (5, 4): (1, 5), (5, 3): (2, 4), (5, 2): (3, 3), (5, 1): (3, 3), (6, 6): (0, None), (6, 7): (1, 6)}
+    assert sorted(map(tuple, graph.clue_subgraph(edges, seeds, 3).collect())) == [(1, 5, 1, 5, 4), (1, 5, 2, 4, 3), (1, 5, 3, 3, 1)]
+
+
+def test_greedy_keep_is_the_sequential_pass(spark):
+    rng = random.Random(2)
+    pairs = sorted({tuple(sorted((rng.randrange(80), rng.randrange(80)))) for _ in range(160)})
+    kept = []
+    for k in range(80):
+        if not any((a, k) in pairs for a in kept):
+            kept.append(k)
+    df = spark.range(80)
+    assert sorted(r.id for r in linkage.greedy_keep(df, "id", spark.createDataFrame(pairs, "a long, b long")).collect()) == kept
+
+
+def test_trees(spark):
+    page = '<div id=a><p>One <b>two</b><p>three</div><script id="s">x < y</script><ul><li>a<li>b</ul><br>end'
+    row = dom.trees(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).where("page_id = 1")
+    els = row.first().els
+    assert row.first().text == "One two three a b end" and [(e.tag, e.last, e.parent) for e in els] == [("div", 3, -1), ("p", 2, 0), ("b", 2, 1), ("p", 3, 0), ("script", 4, -1), ("ul", 7, -1), ("li", 6, 5), ("li", 7, 5), ("br", 8, -1)]
+    assert row.select(F.transform("els", dom.said).alias("t")).first().t == ["One two three", "One two", "two", "three", "", "a b", "a", "b", ""]
+    assert els[4].raw == "x < y"
+
+
+@pytest.mark.parametrize(("page", "found"), [("<p>Keywords: Deep Nets; text mining. Introduction</p>", "deep nets, text mining"), ("<p>The keywords in this study were chosen by all of the students here.</p>", ""), ("<div class='keywords-section'>Keywords <span class=keyword>A b</span><span class=keyword>C d</span></div>", "a b, c d"), (None, "")])
+def test_page_keywords(spark, page, found):
+    assert dom.trees(spark.createDataFrame([(1, page)], "page_id long, html string")).select(dom.keywords().alias("k")).first().k == found
