@@ -234,17 +234,20 @@ def _(t: Tables):
     return sinks.soft_delete(t.customer.withColumn("is_deleted", F.lit(0)), F.col("c_acctbal") < 0).select("c_custkey", "is_deleted")
 
 
+#: Customers as the staff of their nations: two by two they are one person, whose name is a letter longer where the id is odd.
+_STAFF = "select cast(c_nationkey as varchar) as unit, c_custkey as pos, substr(md5(cast(c_custkey // 2 as varchar)), 1, 20) || case when c_custkey % 2 = 1 then 'x' else '' end as name from customer"
+
+
 def _staff(t: Tables):
-    """Customers as the staff of their nations: the name's digits in words, a letter off where the id is odd, and shared ids."""
-    digit = F.create_map(*[F.lit(x) for pair in zip("0123456789", ("nol", "satu", "dua", "tiga", "empat", "lima", "enam", "tujuh", "delapan", "sembilan")) for x in pair])
-    words = F.array_join(F.transform(F.split(F.col("c_custkey").cast("string"), ""), lambda d: F.coalesce(digit[d], F.lit(""))), " ")
-    name = F.when(F.col("c_custkey") % 2 == 1, F.concat(words, F.lit("x"))).otherwise(words)
-    return t.customer.select(F.col("c_nationkey").cast("string").alias("unit"), F.col("c_custkey").alias("pos"), name.alias("name"), F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("s"), (F.col("c_custkey") % 90).cast("string"))).otherwise("").alias("scholar_id"), F.lit("").alias("number"))
+    name = F.substring(F.md5(F.expr("c_custkey div 2").cast("string")), 1, 20)
+    name = F.when(F.col("c_custkey") % 2 == 1, F.concat(name, F.lit("x"))).otherwise(name)
+    return t.customer.select(F.col("c_nationkey").cast("string").alias("unit"), F.col("c_custkey").alias("pos"), name.alias("name"), F.lit("").alias("scholar_id"), F.lit("").alias("number"))
 
 
-@query("e5_merge_people")
+@query("e5_merge_people", f"select unit, min(pos) as pos, arg_max(name, length(name)) as name from ({_STAFF}) group by unit, substr(name, 1, 20)")
 def _(t: Tables):
-    return linkage.merge_people(_staff(t))
+    """Two of a person in one nation become one, under the longer name and in the place of the first."""
+    return linkage.merge_people(_staff(t)).select("unit", "pos", "name")
 
 
 @query("e5_merge_by_number", """
@@ -255,11 +258,15 @@ def _(t: Tables):
     return linkage.merge_people(p).drop("name")
 
 
-@query("j5_fuzzy_names")
+@query("j5_fuzzy_names", f"""
+with s as ({_STAFF}) select r.pos as rpos, case when r.pos % 3 = 0 then r.pos else l.pos end as lpos, case when r.pos % 3 = 0 then 1.0 else round(40.0 / 41, 6) end as score, case when r.pos % 3 = 0 then 'name' else 'fuzzy' end as tier
+from s r left join s l on l.pos = r.pos - 1 where r.pos % 2 = 1""")
 def _(t: Tables):
-    """All staff against itself with the last letter of each name lost: by name, by beginning, by similarity."""
-    staff = _staff(t).withColumn("number", F.lit(""))
-    return linkage.link_people(staff, staff.withColumn("name", F.expr("left(name, length(name) - 1)")))
+    """Every other person against the rest, whose names lack a letter; of every third one the whole name is known."""
+    staff = _staff(t)
+    left = staff.where("pos % 2 = 0 or pos % 3 = 0")
+    found = linkage.link_people(left, staff.where("pos % 2 = 1"))
+    return found.select("rpos", "lpos", F.round("score", 6).alias("score"), "tier")
 
 
 _GROUPS = """
