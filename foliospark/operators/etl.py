@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import names, nulls, text
+from foliospark.operators import ann
 from foliospark.operators.linkage import match_authors
+from foliospark.operators.relational import top_per_group
+from foliospark.tables import Table
 
 
 def join_in_order(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
@@ -104,12 +109,23 @@ def curated_graph(entities: DataFrame, aliases: DataFrame) -> tuple[DataFrame, D
     return nodes, e.select(F.col("paper_id").alias("src"), node.alias("dst"), F.concat(F.lit("HAS_"), F.upper("label")).alias("rel")).distinct()
 
 
-def similar_entities(sequences: DataFrame, col: str, word: str, k: int = 3, size: int = 32, seed: int = 42) -> DataFrame:
-    """(word, similarity): the nearest by skip-gram vectors trained on the entities' sequences."""
-    from pyspark.ml.feature import Word2Vec
+def entity_vectors(sequences: DataFrame, col: str, size: int = 32, seed: int = 42, partitions: int = 4, least: int = 2) -> DataFrame:
+    """(word, embedding) by skip-gram over sequences of entities, those of fewer than ``least`` mentions left out.
 
-    model = Word2Vec(vectorSize=size, minCount=2, seed=seed, inputCol=col, outputCol="_v", numPartitions=1, maxIter=2).fit(sequences)
-    return model.findSynonyms(word, k)
+    Every partition learns by itself in a round and their vectors are put together after it, so there are as many rounds as partitions.
+    """
+    model = Word2Vec(vectorSize=size, minCount=least, seed=seed, inputCol=col, outputCol="_v", numPartitions=partitions, maxIter=partitions).fit(sequences)
+    return model.getVectors().select("word", vector_to_array("vector").alias("embedding"))
+
+
+def similar_entities(sequences: DataFrame, col: str, k: int = 3, size: int = 32, seed: int = 42, partitions: int = 4) -> DataFrame:
+    """(word, other, similarity): the k nearest other entities of every entity that is mentioned twice or more, by skip-gram vectors
+    and an inverted file of them (see ``ann``)."""
+    v = Table(entity_vectors(sequences, col, size, seed, partitions)).df
+    index = ann.build(v.select(F.col("word").alias("chunk_id"), "embedding"))
+    asked = v.select(F.col("word").alias("qid"), F.col("embedding").alias("q"))
+    others = ann.search(index, asked, k + 1, ann.probes_for(index, asked, k + 1)).where("qid <> chunk_id")
+    return top_per_group(others, ["qid"], [F.desc("score"), F.col("chunk_id")], k).select(F.col("qid").alias("word"), F.col("chunk_id").alias("other"), F.col("score").alias("similarity"))
 
 
 def simple_graph(papers: DataFrame) -> tuple[DataFrame, DataFrame]:

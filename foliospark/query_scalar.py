@@ -315,7 +315,7 @@ def _staff_pages(t: Tables):
     k = F.format_string("%012d", F.col("s_suppkey"))
     name = F.concat(F.lit("Dr. "), "s_name")
     scholar = F.concat(F.lit("<a href='https://scholar.google.com/citations?hl=en&user=u"), F.col("s_suppkey").cast("string"), F.lit("'>S</a>"))
-    cv = F.concat(F.lit("<a href='https://cv.unesa.ac.id/detail/"), k, F.lit("'>CV</a>"))
+    cv = F.concat(F.lit("<a href='https://cv.example.ac.id/detail/"), k, F.lit("'>CV</a>"))
     cut = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     kinds = [
         cut("<tr><td>1</td><td>", name, "</td><td>NIP ", k, "</td><td>", scholar, "</td></tr>"), cut("<tr><td>1<td>", name, "<td>-<td>", cv, scholar),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import names, nulls, text, time, vectors
-from foliospark.operators import ann, chunking, community, graph, linkage, outline, relational, retrieval
+from foliospark.operators import ann, chunking, community, etl, graph, linkage, outline, relational, retrieval
 from foliospark.plans import sqlguard
 from foliospark.sources import dom, html, office, readers, sinks
 from foliospark.streaming import events
@@ -589,3 +589,12 @@ def test_trees(spark):
 @pytest.mark.parametrize(("page", "found"), [("<p>Keywords: Deep Nets; text mining. Introduction</p>", "deep nets, text mining"), ("<p>The keywords in this study were chosen by all of the students here.</p>", ""), ("<div class='keywords-section'>Keywords <span class=keyword>A b</span><span class=keyword>C d</span></div>", "a b, c d"), (None, "")])
 def test_page_keywords(spark, page, found):
     assert dom.trees(spark.createDataFrame([(1, page)], "page_id long, html string")).select(dom.keywords().alias("k")).first().k == found
+
+
+def test_similar_entities(spark):
+    rng = random.Random(3)
+    topics = [[f"a{k}" for k in range(6)], [f"b{k}" for k in range(6)]]
+    rows = [(rng.sample(rng.choice(topics), 4),) for _ in range(600)] + [(["once", "a1"],)]
+    got = etl.similar_entities(spark.createDataFrame(rows, "w array<string>"), "w").collect()
+    assert {r.word for r in got} == set(topics[0] + topics[1]) and all(sum(x.word == r.word for x in got) == 3 and r.other != r.word for r in got)
+    assert sum(r.word[0] == r.other[0] for r in got) >= 0.9 * len(got)
