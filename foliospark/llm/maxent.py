@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -127,40 +128,58 @@ class Vocabulary:
             self.classes[:CLASSES] = np.where(whole[:, 0] > 0, np.log(whole[:, 0]) - math.log(whole.sum()), -1e9)
         self.tail_log = np.log10(mass[HEADS:])
 
+    @cached_property
+    def frequent(self) -> tuple[dict[bytes, int], list[np.ndarray]]:
+        """Place of each word whose count is at hand, and arrays of what is known of them; made once in a process."""
+        words = list(self.near)
+        hashes, classes, members, head, has, logs = known_of(words)
+        for k, w in enumerate(words):
+            if w in self.place:
+                classes[k], members[k] = self.place[w]
+                head[k] = True
+        has[:] = True
+        logs[:] = [math.log10(c + 1) for c in self.near.values()]
+        return {w: k for k, w in enumerate(words)}, [hashes, classes, members, head, has, logs]
+
+
+def known_of(words: list[bytes]) -> list[np.ndarray]:
+    """The arrays of ``Words`` for words whose counts aren't at hand."""
+    n, ends = len(words), {w[-2:] for w in words}
+    ends = {e: HEADS + xxhash.xxh32_intdigest(e) % TAILS for e in ends}
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    members = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, n) % WIDTH
+    return [hashes, np.fromiter([ends[w[-2:]] for w in words], np.int64, n), members, np.zeros(n, bool), np.zeros(n, bool), np.zeros(n)]
+
 
 class Words(dict):
-    """Per task: word -> place in arrays of what is known of it; for a bounded number of words.
+    """Per task: word -> place in arrays of what is known of it; the frequent words, and a bounded number of others.
 
     Arrays: hash, class, member, whether of the head, whether the count is at hand, and log10(count + 1) if it is.
     """
 
-    KINDS = (np.uint64, np.int64, np.int64, bool, bool, np.float64)
-
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        index, self.known = vocabulary.frequent
+        super().__init__(index)
         self.v = vocabulary
-        self.all: list[bytes] = []
-        self.new: list[tuple] = []
-        self.known = [np.zeros(0, k) for k in self.KINDS]
+        self.all = list(index)
 
     def __missing__(self, word: bytes) -> int:
-        got, c = self.v.place.get(word), self.v.near.get(word)
-        self.new.append((xxhash.xxh64_intdigest(word), *(got or tail_place(word)), got is not None, c is not None, math.log10((c or 0) + 1)))
         self.all.append(word)
         at = self[word] = len(self)
         return at
 
     def arrays(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         """Of each token: the word's place here, its arrays, and the place of its text's first token."""
-        if len(self) > 150_000:
+        index, own = self.v.frequent
+        if len(self) > len(index) + 150_000:
             self.clear()
-            self.all.clear()
-            self.known = [x[:0] for x in self.known]
+            self.update(index)
+            del self.all[len(index) :]
+            self.known = own
         sizes = [len(t) for t in texts]
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
-        if self.new:
-            self.known = [np.concatenate((x, np.array(y, x.dtype))) for x, y in zip(self.known, zip(*self.new))]
-            self.new = []
+        if len(self.all) > len(self.known[0]):
+            self.known = [np.concatenate(x) for x in zip(self.known, known_of(self.all[len(self.known[0]) :]))]
         return at, *[x[at] for x in self.known], np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
 
 

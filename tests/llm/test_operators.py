@@ -211,6 +211,26 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+
+def test_maxent_looks_frequent_words_up_once(monkeypatch):
+    """Words whose counts are at hand stay known however many others come, and all words have the arrays of a word by itself."""
+    near = {b"a": 50, b"b": 30, maxent.END: 20, b"rare": 1}
+    n = np.ones((maxent.TAILS, maxent.WIDTH))
+    voc = maxent.Vocabulary(near, [b"a", b"b", maxent.END], 101, 4, n, n)
+    looked, plain = [], maxent.known_of
+    monkeypatch.setattr(maxent, "known_of", lambda words: looked.extend(words) or plain(words))
+    words = maxent.Words(voc)
+    words.arrays([[b"w%d" % k for k in range(150_001)]])
+    for text in ([b"a", b"rare", b"new", maxent.END], [b"new", b"b", b"a"]):
+        at, ids, classes, members, head, has, logs, _ = words.arrays([text])
+        for k, w in enumerate(text):
+            assert words.all[at[k]] == w and ids[k] == xxhash.xxh64_intdigest(w) and (head[k], has[k]) == (w in voc.place, w in near)
+            assert (classes[k], members[k]) == voc.place.get(w, maxent.tail_place(w)) and math.isclose(logs[k], math.log10(near.get(w, 0) + 1))
+    assert len(words) < 10 and all(looked.count(w) == 1 for w in near)
+    maxent.Words(voc).arrays([[b"a", b"b"]])
+    assert all(looked.count(w) == 1 for w in near)
+
+
 def small_model(seed=1):
     near = {b"a": 50, b"b": 30, maxent.END: 20, b"rare": 1}
     n, v = np.zeros((maxent.TAILS, maxent.WIDTH)), np.zeros((maxent.TAILS, maxent.WIDTH))
