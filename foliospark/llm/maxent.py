@@ -217,17 +217,24 @@ class Weights:
 def observe(counts: list[np.ndarray], rows: tuple[np.ndarray, np.ndarray], outcomes: tuple[np.ndarray, np.ndarray]) -> None:
     """Adds to counts, flat for both tables, how often each outcome came after each row."""
     for own, r, o in zip(counts, rows, outcomes):
-        own += np.bincount((r * WIDTH + o).ravel(), minlength=len(own))
+        one = own.dtype.type(1)  # of another type it would be cast token by token
+        for k in r:
+            np.add.at(own, k * WIDTH + o, one)
+
+
+#: Sums over a row of masses, and running sums of eight numbers, as products of matrices.
+_ONES, _UP_TO = np.ones(WIDTH, np.float32), np.triu(np.ones((8, 8), np.float32))
+assert WIDTH == 64
 
 
 def draw(mass: np.ndarray, u: np.ndarray) -> np.ndarray:
     """An outcome for each row of masses, by numbers u in [0, 1): first an eighth of the row, then a place in it."""
     line, eighths = np.arange(len(mass)), mass.reshape(len(mass), 8, WIDTH // 8)
-    up = np.cumsum((mass.reshape(-1, WIDTH // 8) @ np.ones(WIDTH // 8, np.float32)).reshape(-1, 8), 1)
+    up = (mass.reshape(-1, 8) @ _ONES[:8]).reshape(-1, 8) @ _UP_TO
     at = (u * up[:, -1]).astype(np.float32)
     k = np.minimum((up <= at[:, None]).sum(1), 7)
     at -= np.where(k, up[line, k - 1], 0)
-    return k * (WIDTH // 8) + np.minimum((np.cumsum(eighths[line, k], 1) <= at[:, None]).sum(1), WIDTH // 8 - 1)
+    return k * (WIDTH // 8) + np.minimum((eighths[line, k] @ _UP_TO <= at[:, None]).sum(1), WIDTH // 8 - 1)
 
 
 def chances(f: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -407,7 +414,7 @@ def token_logs(group: list[list[bytes]], words: Words, w: Weights, v: Vocabulary
         line = np.arange(b - a)
         for t, o in ((0, classes), (1, members)):
             mass = w.masses(t, rows[t][:, a:b], classes[a:b], v)
-            out[a:b] += np.log10(mass[line, o[a:b]]) - np.log10(mass.sum(1))
+            out[a:b] += np.log10(mass[line, o[a:b]]) - np.log10(mass @ _ONES)
     tail = ~head
     out[tail] += logs[tail] - v.tail_log[classes[tail] - HEADS, members[tail]]
     return at, has, logs, out

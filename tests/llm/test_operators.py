@@ -231,6 +231,21 @@ def test_maxent_looks_frequent_words_up_once(monkeypatch):
     assert all(looked.count(w) == 1 for w in near)
 
 
+def test_maxent_counts_touch_what_came():
+    """Counting a few tokens makes no table of all rows, and gives their counts whatever the type of the table."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    rows, outcomes = r.integers(0, 500, (maxent.FEATURES, 3000)), r.integers(0, maxent.WIDTH, 3000)
+    for kind in (np.int32, np.float64):
+        own = np.zeros(maxent.MEMBER_ROWS * maxent.WIDTH, kind)
+        tracemalloc.start()
+        maxent.observe([own], (rows,), (outcomes,))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (own == np.bincount((rows * maxent.WIDTH + outcomes).ravel(), minlength=len(own))).all() and most < 1 << 20
+
+
 def small_model(seed=1):
     near = {b"a": 50, b"b": 30, maxent.END: 20, b"rare": 1}
     n, v = np.zeros((maxent.TAILS, maxent.WIDTH)), np.zeros((maxent.TAILS, maxent.WIDTH))
