@@ -29,13 +29,15 @@ word is unknown; repeated rows count and are scored each; other columns aren't r
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +60,8 @@ EPOCHS, ROUNDS = 1, 2
 MERGED = 8
 #: Bound of a weight.
 MOST = 6.0
-#: Tokens whose logits are held at once (they fit a core's cache), and tokens of a group of texts.
-CHUNK, GROUP = 1 << 11, 1 << 16
+#: Tokens whose masses are held at once (they fit a core's cache), bytes of a group of texts, and of words counted at once.
+CHUNK, GROUP, COUNTED = 1 << 11, 1 << 19, 1 << 25
 HEADS = HEAD // MEMBERS
 CLASSES = HEADS + TAILS
 OWN_ROWS = MEMBER_ROWS // CLASSES
@@ -74,6 +76,50 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, as ``tokens_of`` has them but without ends, and each text's number of them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+    none = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)  # before a text's first blank and after its last
+    if len(none):
+        sizes = sizes - np.bincount(np.searchsorted(np.cumsum(sizes), none, "right"), minlength=len(sizes))
+        words = words.filter(pc.not_equal(words, ""))
+    return words, sizes
+
+
+class Texts(NamedTuple):
+    """Tokens of some texts: distinct words, each token's place among them, and the number of each text's tokens."""
+
+    words: list[bytes]
+    codes: np.ndarray
+    sizes: np.ndarray
+
+    @staticmethod
+    def of(texts: pa.Array) -> Texts:
+        words, sizes = split_texts(texts)
+        coded, sizes = words.dictionary_encode(), sizes + 1
+        ends = np.zeros(sizes.sum(), bool)
+        ends[np.cumsum(sizes) - 1] = True
+        codes = np.full(len(ends), len(coded.dictionary), np.int64)
+        codes[~ends] = coded.indices.to_numpy()
+        return Texts([*coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), END], codes, sizes)
+
+    @staticmethod
+    def listed(texts: list[list[bytes]]) -> Texts:
+        words = list(chain.from_iterable(texts))
+        return Texts(words, np.arange(len(words)), np.array([len(t) for t in texts], np.int64))
+
+
+def grouped(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes, or of one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(upto):
+        b = max(a + 1, int(np.searchsorted(upto, size + (upto[a - 1] if a else 0), "right")))
+        yield a, b
+        a = b
+
+
 def tail_place(word: bytes) -> tuple[int, int]:
     """Class and member of a word that isn't of the head."""
     return HEADS + xxhash.xxh32_intdigest(word[-2:]) % TAILS, xxhash.xxh32_intdigest(word) % WIDTH
@@ -93,14 +139,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def features(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hashes of each token's history: ids are the words' hashes, first the place of the token's text's first token."""
     n = len(ids)
-    at = np.arange(n)
-    back = []
-    for k in (1, 2, 3):
-        prev = np.zeros(n, np.uint64)
-        inside = at - k >= first
-        prev[inside] = ids[at[inside] - k]
-        back.append(prev)
-    p1, p2, p3 = back
+    place = np.arange(n) - first
+    p1, p2, p3 = (np.zeros(n, np.uint64) for _ in range(3))
+    for k, prev in ((1, p1), (2, p2), (3, p3)):
+        np.multiply(ids[:-k], place[k:] >= k, out=prev[k:])
     with np.errstate(over="ignore"):
         two = _mixed(p1 * _SALTS[0] + p2 * _SALTS[1])
         return np.stack([
@@ -168,19 +210,24 @@ class Words(dict):
         at = self[word] = len(self)
         return at
 
-    def arrays(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-        """Of each token: the word's place here, its arrays, and the place of its text's first token."""
+    def arrays(self, texts: Texts | list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Of each token: the word's place here, its arrays, and the place of its text's first token.
+
+        Words are looked up once for all their tokens in texts.
+        """
+        if isinstance(texts, list):
+            texts = Texts.listed(texts)
         index, own = self.v.frequent
         if len(self) > len(index) + 150_000:
             self.clear()
             self.update(index)
             del self.all[len(index) :]
             self.known = own
-        sizes = [len(t) for t in texts]
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        at = np.fromiter(map(self.__getitem__, texts.words), np.int64, len(texts.words))
         if len(self.all) > len(self.known[0]):
             self.known = [np.concatenate(x) for x in zip(self.known, known_of(self.all[len(self.known[0]) :]))]
-        return at, *[x[at] for x in self.known], np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        first = np.repeat(np.cumsum(texts.sizes) - texts.sizes, texts.sizes)
+        return at[texts.codes], *[x[at][texts.codes] for x in self.known], first
 
 
 def _feature_rows(f: np.ndarray, rows: int) -> np.ndarray:
@@ -214,6 +261,31 @@ class Weights:
         return np.exp(out, out=out)
 
 
+class Factors:
+    """exp of weights, and of the unigram terms in the rows of the first feature, which every token has: masses are products
+    of rows, so that no token takes an exp. Made once from the weights.
+    """
+
+    def __init__(self, w: Weights, v: Vocabulary):
+        self.tables = [np.exp(x) for x in w.tables]
+        self.tables[0][: ROWS // 16 * SHARES[0]] *= np.exp(v.classes)
+        own = self.tables[1].reshape(CLASSES, OWN_ROWS, WIDTH)
+        own[:, : OWN_ROWS // 16 * SHARES[0]] *= np.exp(v.members)[:, None]
+
+    @cached_property
+    def _spare(self) -> np.ndarray:
+        return np.empty((2, CHUNK, WIDTH), np.float32)
+
+    def masses(self, table: int, rows: np.ndarray, classes: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """As ``Weights.masses``, for at most CHUNK tokens; the next call writes over them."""
+        out, more = self._spare[:, : len(classes)]
+        np.take(self.tables[table], rows[0], 0, out, "clip")  # rows are all there; the other modes copy once more
+        for r in rows[1:]:
+            np.take(self.tables[table], r, 0, more, "clip")
+            out *= more
+        return out
+
+
 def observe(counts: list[np.ndarray], rows: tuple[np.ndarray, np.ndarray], outcomes: tuple[np.ndarray, np.ndarray]) -> None:
     """Adds to counts, flat for both tables, how often each outcome came after each row."""
     for own, r, o in zip(counts, rows, outcomes):
@@ -244,13 +316,10 @@ def chances(f: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(32)) / 2.0**32, (h & np.uint64(0xFFFFFFFF)) / 2.0**32
 
 
-def expect(counts: list[np.ndarray], w: Weights, v: Vocabulary, f: np.ndarray, rows: tuple[np.ndarray, np.ndarray], classes: np.ndarray, place: np.ndarray) -> None:
-    """Adds to counts one drawn outcome for each token: of its class, and of its member given the class."""
-    u, drawn = chances(f, place), tuple(np.empty(len(classes), np.int64) for _ in range(2))
-    for a, b in _slices(len(classes)):
-        for t in range(2):
-            drawn[t][a:b] = draw(w.masses(t, rows[t][:, a:b], classes[a:b], v), u[t][a:b])
-    observe(counts, rows, drawn)
+def expect(counts: list[np.ndarray], w: Factors, v: Vocabulary, f: np.ndarray, rows: tuple[np.ndarray, np.ndarray], classes: np.ndarray, place: np.ndarray) -> None:
+    """Adds to counts one drawn outcome for each of at most CHUNK tokens: of its class, and of its member given the class."""
+    u = chances(f, place)
+    observe(counts, rows, tuple(draw(w.masses(t, rows[t], classes, v), u[t]) for t in range(2)))
 
 
 def step_of(came: np.ndarray, expected: np.ndarray | None, unigram: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -275,17 +344,26 @@ def _slices(total: int) -> Iterator[tuple[int, int]]:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all tokens of the training rows; summed in each batch before the shuffle."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(words: list[pa.Array], ends: int) -> pa.RecordBatch:
+            n = pc.value_counts(pa.chunked_array(words, pa.binary())).flatten()
+            word, n = pa.concat_arrays([n[0], pa.array([END], pa.binary())]), pa.concat_arrays([n[1], pa.array([ends], pa.int64())])
+            return pa.RecordBatch.from_arrays([word, n], ["word", "n"])
+
+        held, size, ends = [], 0, 0
         for part in batches:
-            for text in part.text:
-                total.update(tokens_of(text))
-            if len(total) > 200_000:
-                yield pd.DataFrame({"word": list(total), "n": list(total.values())})
-                total = Counter()
-        yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+            texts = part.column(0)
+            for a, b in grouped(texts, 4 * GROUP):
+                words, sizes = split_texts(texts[a:b])
+                held.append(words.cast(pa.binary()))
+                size, ends = size + words.nbytes, ends + len(sizes)
+                if size > COUNTED:
+                    yield summed(held, ends)
+                    held, size, ends = [], 0, 0
+        if ends:
+            yield summed(held, ends)
 
-    return docs.where(training(F.col("doc_id"))).select("text").mapInPandas(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.where(training(F.col("doc_id"))).select("text").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -327,51 +405,40 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 _BLOCK = 256
 
 
-def grouped(texts: Iterator[str | None], size: int) -> Iterator[list[list[bytes]]]:
-    group: list[list[bytes]] = []
-    n = 0
-    for text in texts:
-        group.append(tokens_of(text))
-        n += len(group[-1])
-        if n >= size:
-            yield group
-            group, n = [], 0
-    if group:
-        yield group
-
-
-def counts_of(groups: Iterator[list[list[bytes]]], v: Vocabulary, w: Weights | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def counts_of(groups: Iterator[Texts], v: Vocabulary, w: Factors | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """What came, and what the model's draws give (nothing for w = None), flat for both tables."""
     words = Words(v)
     came, drawn = ([np.zeros(r * WIDTH, np.int32) for r in (ROWS, MEMBER_ROWS)] for _ in range(2))
     for group in groups:
         _, ids, classes, members, _, _, _, first = words.arrays(group)
-        f = features(ids, first)
-        rows = Weights.rows(f, classes)
-        observe(came, rows, (classes, members))
-        if w is not None:
-            expect(drawn, w, v, f, rows, classes, np.arange(len(ids)) - first)
+        f, place = features(ids, first), np.arange(len(ids)) - first
+        for a, b in _slices(len(ids)):
+            rows = Weights.rows(f[:, a:b], classes[a:b])
+            observe(came, rows, (classes[a:b], members[a:b]))
+            if w is not None:
+                expect(drawn, w, v, f[:, a:b], rows, classes[a:b], place[a:b])
     return came, drawn
 
 
 def round_of(spark: SparkSession, docs: DataFrame, v: Vocabulary, w: Weights, k: int, rounds: int) -> None:
     """One update of w by the share of the training rows whose turn it is; counts are summed where the blocks of rows meet."""
-    shared = spark.sparkContext.broadcast((v, w if k else None))
+    shared = spark.sparkContext.broadcast((v, Factors(w, v) if k else None))
     turn = F.pmod(F.xxhash64("text", F.lit(k // rounds)), F.lit(rounds)) == k % rounds
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        came, drawn = counts_of(grouped((t for part in batches for t in part.text), 2 * GROUP), *shared.value)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (part.column(0) for part in batches)
+        came, drawn = counts_of((Texts.of(t[a:b]) for t in texts for a, b in grouped(t, 2 * GROUP)), *shared.value)
         for t, both in enumerate(zip(came, drawn)):
             for b in range(len(both[0]) // (_BLOCK * WIDTH)):
                 own = np.stack([x[b * _BLOCK * WIDTH : (b + 1) * _BLOCK * WIDTH] for x in both])
                 at = np.flatnonzero(own.any(0))
                 if len(at):  # counts in as few bytes as the largest needs
                     n = np.ascontiguousarray(own[:, at], np.min_scalar_type(int(own.max())))
-                    yield pd.DataFrame({"block": [2 * b + t], "at": [at.astype(np.uint16).tobytes()], "n": [n.tobytes()]})
+                    yield pa.record_batch([pa.array([2 * b + t], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([n.tobytes()])], ["block", "at", "n"])
 
     texts = docs.where(training(F.col("doc_id")) & turn).select("text")
     tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(texts.rdd.getNumPartitions() / MERGED))
-    counted = texts.coalesce(tasks).mapInPandas(work, "block int, at binary, n binary")
+    counted = texts.coalesce(tasks).mapInArrow(work, "block int, at binary, n binary")
     v_classes, v_members = v.classes, v.members
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -401,19 +468,18 @@ def train(spark: SparkSession, docs: DataFrame, v: Vocabulary, epochs: int = EPO
     return w
 
 
-def token_logs(group: list[list[bytes]], words: Words, w: Weights, v: Vocabulary) -> tuple[np.ndarray, ...]:
+def token_logs(group: Texts | list[list[bytes]], words: Words, w: Factors | Weights, v: Vocabulary) -> tuple[np.ndarray, ...]:
     """Of each token: the word's place in words, whether its count is at hand, log10(count + 1) or 0, and its log10 probability.
 
     A tail word's probability lacks the factor count + 1 where the count isn't at hand.
     """
     at, ids, classes, members, head, has, logs, first = words.arrays(group)
     f = features(ids, first)
-    rows = Weights.rows(f, classes)
     out = np.zeros(len(ids))
     for a, b in _slices(len(ids)):
-        line = np.arange(b - a)
+        line, rows = np.arange(b - a), Weights.rows(f[:, a:b], classes[a:b])
         for t, o in ((0, classes), (1, members)):
-            mass = w.masses(t, rows[t][:, a:b], classes[a:b], v)
+            mass = w.masses(t, rows[t], classes[a:b], v)
             out[a:b] += np.log10(mass[line, o[a:b]]) - np.log10(mass @ _ONES)
     tail = ~head
     out[tail] += logs[tail] - v.tail_log[classes[tail] - HEADS, members[tail]]
@@ -429,37 +495,32 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     counts = Stored(count_words(docs))
     v = vocabulary(counts.df)
-    weights = train(spark, docs, v)
-    shared = spark.sparkContext.broadcast((v, weights))
+    shared = spark.sparkContext.broadcast((v, Factors(train(spark, docs, v), v)))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = shared.value
         words = Words(v)
 
-        def scored(group: list[list[bytes]]) -> pd.DataFrame:
+        def scored(group: Texts) -> list[pa.Array]:
             at, has, logs, model = token_logs(group, words, w, v)
-            starts = np.cumsum([0, *map(len, group)])
-            sums = [np.add.reduceat(x, starts[:-1]) for x in (has.astype(np.int64), logs, model)]
+            starts = np.cumsum(group.sizes) - group.sizes
+            known, base, score = (np.add.reduceat(x, starts) for x in (has.astype(np.int64), logs, model))
             lost = np.flatnonzero(~has)
-            cuts = np.searchsorted(lost, starts)
-            far, times = [], []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                own = Counter(at[lost[a:b]].tolist()) if b > a else {}
-                far.append([words.all[k] for k in own])
-                times.append(list(own.values()))
-            return pd.DataFrame({"n_tokens": np.diff(starts), "n_known": sums[0], "base": sums[1], "score": sums[2], "far": far, "times": times})
+            text = np.repeat(np.arange(len(starts)), group.sizes)[lost]
+            far, times = np.unique(text * len(words.all) + at[lost], return_counts=True)
+            cuts = np.searchsorted(far, np.arange(len(starts) + 1) * len(words.all)).astype(np.int32)
+            lists = pa.array([words.all[k] for k in (far % len(words.all)).tolist()], pa.binary()), pa.array(times, pa.int32())
+            return [*map(pa.array, (group.sizes.astype(np.int64), known, base, score)), *(pa.ListArray.from_arrays(cuts, x) for x in lists)]
 
         for part in batches:
-            done = 0
-            for group in grouped(part.text, GROUP):  # rows go out by groups, so that few words are held at once
-                own = part.iloc[done : done + len(group)]
-                done += len(group)
-                yield pd.concat([own[["doc_id", "rid"]].reset_index(drop=True), scored(group)], axis=1)
-
-    # ids go through pandas as text, which has no integers with nulls
-    numbered = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid"))
-    schema = "doc_id string, rid long, n_tokens long, n_known long, base double, score double, far array<binary>, times array<int>"
-    scored = Stored(numbered.mapInPandas(work, schema).withColumn("doc_id", F.col("doc_id").cast("long")))
+            texts = part.column("text")
+            for a, b in grouped(texts, GROUP):  # rows go out by groups, so that few words are held at once
+                yield pa.record_batch([part.column("doc_id")[a:b], part.column("rid")[a:b], *scored(Texts.of(texts[a:b]))], names)
+
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid"))
+    schema = "doc_id long, rid long, n_tokens long, n_known long, base double, score double, far array<binary>, times array<int>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    scored = Stored(numbered.mapInArrow(work, schema))
     far = scored.df.select("rid", F.inline(F.arrays_zip(F.col("far").alias("word"), F.col("times").alias("k"))))
     more = far.join(counts.df, "word").groupBy("rid").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more"))
     total, spread = v.total, math.log10(v.total + v.distinct + 1)

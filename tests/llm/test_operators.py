@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -308,6 +309,43 @@ def test_gradient_by_finite_differences():
         assert np.abs(drawn - p[0]).max() < 0.02
 
 
+def test_maxent_looks_words_up_once_a_group():
+    """Tokens split by Arrow are those of ``tokens_of``, and each distinct word of a group is looked up once."""
+    texts = [" A b\x85 a", None, "", "b  \xdf\x1f\xc0\u3000d\t\x0b", "".join(map(chr, range(1, 256))), "b " * 40, "a b a"] * 20
+    seen = []
+
+    class Seen(maxent.Words):
+        def __getitem__(self, word):
+            seen.append(word)
+            return super().__getitem__(word)
+
+    words, plain = Seen(small_model()[0]), [maxent.tokens_of(t) for t in texts]
+    group = maxent.Texts.of(pa.array(texts))
+    at, *known, first = words.arrays(group)
+    assert len(seen) == len(set(seen)) and group.sizes.tolist() == [len(t) for t in plain]
+    assert [words.all[k] for k in at] == [w for t in plain for w in t]
+    assert all((x == y).all() for x, y in zip([*known, first], maxent.Words(words.v).arrays(plain)[1:]))
+    runs = list(maxent.grouped(pa.array(texts), 100))
+    assert [k for a, b in runs for k in range(a, b)] == list(range(len(texts)))
+    assert all(b - a == 1 or sum(len((t or "").encode()) for t in texts[a:b]) <= 100 for a, b in runs)
+
+
+def test_maxent_takes_no_exp_a_token(monkeypatch):
+    """Products of the rows' factors give the scores that sums of weights give."""
+    voc, w = small_model(5)
+    f, group = maxent.Factors(w, voc), maxent.Texts.of(pa.array(["a b rare new", None, "b b a odd " * 1500]))
+    want = maxent.token_logs(group, maxent.Words(voc), w, voc)[3]
+    monkeypatch.setattr(maxent.np, "exp", None)
+    assert np.allclose(maxent.token_logs(group, maxent.Words(voc), f, voc)[3], want, rtol=1e-5, atol=1e-5)
+
+
+def test_maxent_word_counts(spark):
+    rows = [(k, t) for k, t in enumerate(["A b a", None, "", " b\t\xdf ", "x" * 5000, "a\x85b c"] * 30)] + [(None, "a B")]
+    got = {bytes(r.word): r.n for r in maxent.count_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == Counter(w for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in maxent.tokens_of(t))
+    assert maxent.count_words(none(spark)).count() == 0
+
+
 def test_perplexity_falls_with_every_epoch(spark):
     r = random.Random(2)
     follow = {k: [r.randrange(40) for _ in range(3)] for k in range(40)}
