@@ -598,3 +598,12 @@ def test_similar_entities(spark):
     got = etl.similar_entities(spark.createDataFrame(rows, "w array<string>"), "w").collect()
     assert {r.word for r in got} == set(topics[0] + topics[1]) and all(sum(x.word == r.word for x in got) == 3 and r.other != r.word for r in got)
     assert sum(r.word[0] == r.other[0] for r in got) >= 0.9 * len(got)
+
+
+def test_abbreviations_of_digits(spark):
+    """A number in a short form may be longer than the word it stands for."""
+    df = spark.createDataFrame([(1, "LARGE (N10033)"), (2, "STANDARD (N5)"), (3, "W3C (World Wide Web)"), (4, "Long Short (LS)")], "id int, x string")
+    of = lambda c: {r.id: (r.short, r.long) for r in df.select("id", F.get(c, F.lit(0)).alias("p")).select("id", "p.*").collect()}
+    told = of(text.abbreviations(F.col("x")))
+    assert told == {1: ("N10033", "LARGE"), 2: ("N5", "STANDARD"), 3: ("W3C", "World Wide Web"), 4: ("LS", "Long Short")}
+    assert of(text.abbreviations(F.col("x"), compat=True))[1] == ("LARGE", "N10033")
