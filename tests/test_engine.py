@@ -607,3 +607,4 @@ def test_abbreviations_of_digits(spark):
     told = of(text.abbreviations(F.col("x")))
     assert told == {1: ("N10033", "LARGE"), 2: ("N5", "STANDARD"), 3: ("W3C", "World Wide Web"), 4: ("LS", "Long Short")}
     assert of(text.abbreviations(F.col("x"), compat=True))[1] == ("LARGE", "N10033")
+    assert {(r.src, r.dst) for r in linkage.abbreviation_aliases(df, "id", "x").collect()} == {("n10033", "large"), ("n5", "standard"), ("w3c", "world wide web"), ("ls", "long short")}
