@@ -32,7 +32,7 @@ def backbone(papers: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame
     """Nodes and edges of lecturers, programmes, papers, years, journals and keywords.
 
     papers: title, year, journal, authors, author_ids, keywords, doi, link, abstract, tldr. people: id, name, unit. Authors
-    that aren't among the people are left out.
+    that aren't among the people are left out. An author is one person: that of the id, else of those with the name the one with the least key.
     """
     from foliospark.functions.time import year_of
 
@@ -46,9 +46,10 @@ def backbone(papers: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame
     k = p.select("node", F.explode(F.array_distinct(text.parts(F.lower("keywords"), "[;,]"))).alias("k")).where(F.length("k") > 2)
     a = p.select("node", text.parts(F.col("authors"), ";").alias("an"), F.transform(F.split(F.coalesce("author_ids", F.lit("")), ";"), lambda x: F.trim(x)).alias("ai"))
     a = a.select("node", F.posexplode("an").alias("at", "author"), "ai").select("node", "at", F.lower("author").alias("lname"), F.coalesce(F.get("ai", F.col("at")), F.lit("")).alias("aid"))
-    by_id = a.join(ppl.where("id <> ''").select("pid", F.col("id").alias("aid")), "aid").select("node", "at", "pid")
-    by_name = a.join(by_id, ["node", "at"], "left_anti").join(ppl.select("pid", "lname"), "lname").select("node", "at", "pid")
-    w = by_id.unionByName(by_name).groupBy("node", "pid").agg(F.min("at").alias("at"))
+    # authors are read once: their places in lists that a shuffle made may be others when they are read again
+    ids = ppl.where("id <> ''").select(F.col("pid").alias("of_id"), F.col("id").alias("aid")).distinct()
+    bearers = ppl.groupBy("lname").agg(F.min("pid").alias("of_name"))
+    w = a.join(ids, "aid", "left").join(bearers, "lname", "left").select("node", F.coalesce("of_id", "of_name").alias("pid")).where("pid is not null")
     unit = ppl.where(F.trim(F.coalesce("unit", F.lit(""))) != "")
     nodes = [
         node(ppl, F.col("pid"), "Dosen", F.col("name")), node(unit, F.concat(F.lit("prodi_"), slug(F.col("unit"))), "ProgramStudi", F.col("unit")),

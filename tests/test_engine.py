@@ -630,3 +630,16 @@ def test_best_per_row_with_large_keys(spark, tmp_path):
     rows = [(1, 10, 1, 100.01), (1, 9_000_000, 1, 100.02), (2, 5, 1, 100.0), (2, 6, 1, 100.5), (3, 7, 1, None), (3, 8, 1, 1.0), (4, 9, 1, None)]
     lines = spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_extendedprice double")
     assert _against_sql(spark, tmp_path, "w3_best_per_row", lineitem=lines)
+
+
+def test_author_edges_of_shared_names(spark):
+    """An author is one person, whoever else has the name; the id goes before the name."""
+    people = spark.createDataFrame([("7", "Budi", "A"), ("8", "Budi", "A"), ("", "Budi", "B"), ("", "Siti", "B")], "id string, name string, unit string")
+    rows = [("one", "Budi; Siti; Ani", "8; ; 3"), ("two", "Budi", ""), ("three", "Siti; Budi", "7; 9")]
+    df = spark.createDataFrame(rows, "title string, authors string, author_ids string")
+    papers = df.withColumns({"year": F.lit("2020"), "journal": F.lit(""), "keywords": F.lit("")})
+    nodes, edges = graph.backbone(papers, people)
+    written = edges.where("rel = 'WRITES'").join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst")
+    got = sorted((r.name, r.src[:7]) for r in written.collect())
+    assert [n for n, _ in got] == ["one", "one", "three", "three", "two"] and ("one", "dosen_8") in got and ("three", "dosen_7") in got
+    assert edges.where("rel = 'WRITES'")._jdf.queryExecution().analyzed().toString().count("posexplode") == 1
