@@ -232,8 +232,27 @@ def matched_with_ambiguity(left: DataFrame, tiers: list[tuple[str, int, DataFram
 
     A tier is (name, score, candidates (left_id, right_id)).
     """
-    all_ = reduce(DataFrame.unionByName, [c.select(left_id, "rid", F.lit(k).alias("k"), F.lit(n).alias("s"), F.lit(v).alias("score")) for k, (n, v, c) in enumerate(tiers)])
-    per = all_.groupBy(left_id, "k", "s", "score").agg(F.count_distinct("rid").alias("n"), F.min("rid").alias("rid"))
+    per = reduce(DataFrame.unionByName, [c.groupBy(left_id).agg(F.count_distinct("rid").alias("n"), F.min("rid").alias("rid")).select(left_id, F.lit(k).alias("k"), F.lit(n).alias("s"), F.lit(v).alias("score"), "n", "rid") for k, (n, v, c) in enumerate(tiers)])
+    return _first_tier(left, per, left_id)
+
+
+def matched_by_keys(left: DataFrame, right: DataFrame, tiers: list[tuple[str, int, Column, Column]], left_id: str = "lid", right_id: str = "rid") -> DataFrame:
+    """``matched_with_ambiguity`` where candidates share a key: a tier is (name, score, key of left, key of right).
+
+    Right rows are counted by key before they are joined, so a key that many rows of both sides have makes no pairs.
+    """
+    per = []
+    for k, (name, score, lk, rk) in enumerate(tiers):
+        kinds = right.select(rk.alias("_k"), F.col(right_id).alias("rid")).where("_k is not null and rid is not null").groupBy("_k").agg(F.count_distinct("rid").alias("n"), F.min("rid").alias("rid"))
+        met = left.select(left_id, lk.alias("_k")).join(kinds, "_k")
+        # a left id of several keys may have candidates under each; one candidate counts once
+        one = F.when((F.min("rid") == F.max("rid")) & (F.max("n") == 1), F.lit(1)).otherwise(F.lit(2)).cast("long")
+        per.append(met.groupBy(left_id).agg(one.alias("n"), F.min("rid").alias("rid")).select(left_id, F.lit(k).alias("k"), F.lit(name).alias("s"), F.lit(score).alias("score"), "n", "rid"))
+    return _first_tier(left, reduce(DataFrame.unionByName, per), left_id)
+
+
+def _first_tier(left: DataFrame, per: DataFrame, left_id: str) -> DataFrame:
+    """left's rows with the first tier that has candidates. per: left_id, k, s, score, n (candidates), rid."""
     best = per.groupBy(left_id).agg(F.min_by(F.struct("n", "rid", "s", "score"), "k").alias("b"))
     strategy = F.when(F.col("b.n") == 1, F.col("b.s")).otherwise(F.concat("b.s", F.lit("-ambiguous")))
     return left.select(left_id).join(best, left_id, "left").select(left_id, F.when(F.col("b.n") == 1, F.col("b.rid")).alias("right_id"), F.coalesce(strategy, F.lit("unmatched")).alias("strategy"), F.coalesce("b.score", F.lit(0)).alias("score"))

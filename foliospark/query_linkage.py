@@ -135,8 +135,8 @@ def _(t: Tables):
 @query("j12_ambiguity", "select c_custkey as lid, case when n = 1 then k end as right_id, case when n is null then 'unmatched' when n = 1 then 'nation' else 'nation-ambiguous' end as strategy, coalesce(case when n is not null then 99 end, 0) as score from customer left join (select s_nationkey, count(*) as n, min(s_suppkey) as k from supplier group by 1) on s_nationkey = c_nationkey")
 def _(t: Tables):
     left = t.customer.select(F.col("c_custkey").alias("lid"), "c_nationkey")
-    hits = left.join(t.supplier, F.col("s_nationkey") == F.col("c_nationkey")).select("lid", F.col("s_suppkey").alias("rid"))
-    return linkage.matched_with_ambiguity(left, [("nation", 99, hits)])
+    right = t.supplier.select(F.col("s_suppkey").alias("rid"), "s_nationkey")
+    return linkage.matched_by_keys(left, right, [("nation", 99, F.col("c_nationkey"), F.col("s_nationkey"))])
 
 
 @query("k1_upsert", "select s_suppkey, case when s_suppkey % 2 = 0 then 'new' else s_name end as s_name from supplier")

@@ -684,3 +684,13 @@ def test_bm25_of_many_equal_queries(spark, monkeypatch):
     for row in retrieval.bm25(chunks, asked, 3).collect():
         got.setdefault(row.qid, []).append((row.chunk_id, round(row.score, 9)))
     assert len(got) == 12 and all(sorted(got[k]) == sorted(got[0]) for k in (1, 3, 4)) and [c for c, _ in got[2]] == [2]
+
+
+def test_matched_by_keys(spark):
+    """The same as from pairs: several rows of an id, of one key or several, null keys, and a later tier."""
+    left = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (2, "c", "y"), (3, None, "x"), (4, "d", "z"), (5, "b", "z"), (5, "b", "z")], "lid int, k string, m string")
+    right = spark.createDataFrame([(10, "a", "x"), (11, "a", "x"), (12, "b", "x"), (12, "c", "q"), (13, None, "y"), (12, "b", "w")], "rid int, rk string, rm string")
+    pairs = [left.join(right, F.col(a) == F.col(b)).select("lid", "rid") for a, b in (("k", "rk"), ("m", "rm"))]
+    want = linkage.matched_with_ambiguity(left, [("one", 9, pairs[0]), ("two", 5, pairs[1])])
+    got = linkage.matched_by_keys(left, right, [("one", 9, F.col("k"), F.col("rk")), ("two", 5, F.col("m"), F.col("rm"))])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("strategy = 'one'").count() == 4
