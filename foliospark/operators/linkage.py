@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from foliospark.functions import names, text
 from foliospark.operators.community import components
 from foliospark.operators.relational import cut, keep_first
 from foliospark.tables import Table
 
+#: Names of one block, pairs of names that are compared at once, and groups of blocks that small groups of names share.
+NAMES, PRODUCT, BUCKETS = 8192, 1 << 22, 1024
+#: Merged people that are handed on at once.
+MERGED = 10_000
+
 
 def with_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -122,54 +132,118 @@ def tiered_match(left: DataFrame, right: DataFrame, tiers: list[tuple], left_id:
     return reduce(DataFrame.unionByName, out)
 
 
-def _rare_first(rows: DataFrame, tokens: Column, need: Column) -> DataFrame:
-    """(id, token): of each row's tokens, a repeated one numbered by its occurrence, the rarest ones: so many that two rows which share
-    ``need`` tokens or more have one of them in common."""
-    each = rows.select("id", F.posexplode(tokens).alias("at", "t"))
-    each = each.select("id", F.concat("t", F.row_number().over(Window.partitionBy("id", "t").orderBy("at")).cast("string")).alias("token"))
-    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    ordered = each.join(held, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("o"))
-    few = ordered.join(rows.select("id", need.alias("need")), "id")
-    return few.select("id", F.explode(F.slice("o", F.lit(1), F.greatest(F.size("o") - F.col("need") + 1, F.lit(1)).cast("int"))).alias("x")).select("id", F.col("x.token").alias("token"))
-
-
-def similar_names(left: DataFrame, right: DataFrame, threshold: float, within: list[str] | None = None, either: bool = False) -> DataFrame:
+def _coded(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Names as rows of character codes, -1 behind their ends, and their lengths. The rarest of over 255 characters share a code, so
+    that what two names share is never counted too low."""
+    n = np.fromiter(map(len, names), np.int64, len(names))
+    points = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, at, count = np.unique(points, return_inverse=True, return_counts=True)
+    code = np.empty(len(kinds), np.int64)
+    code[np.argsort(-count, kind="stable")] = np.minimum(np.arange(len(kinds)), 255)
+    out = np.full((len(names), n.max()), -1)
+    out[np.arange(n.max()) < n[:, None]] = code[at]
+    return out, n
+
+
+def _numbered(codes: np.ndarray) -> np.ndarray:
+    """A row of 0 and 1 for each name: whether it has a character once at least, twice at least, and so on. Products of rows count shared characters."""
+    of, at = np.nonzero(codes >= 0)
+    c = codes[of, at]
+    order = np.lexsort((c, of))
+    of, c = of[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (c[1:] != c[:-1]))))
+    nth = np.arange(len(c)) - np.repeat(first, np.diff(np.concatenate((first, [len(c)]))))
+    place = np.unique(c * (codes.shape[1] + 1) + nth, return_inverse=True)[1]
+    out = np.zeros((len(codes), place.max() + 1), np.float32)
+    out[of, place] = 1
+    return out
+
+
+def _subsequence(codes: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of names x and y (places in codes), of which x has 64 characters at most: a bit for each character of x."""
+    masks = np.zeros((len(codes), codes.max() + 1), np.uint64)
+    for k in range(min(64, codes.shape[1])):
+        some = np.flatnonzero(codes[:, k] >= 0)
+        masks[some, codes[some, k]] |= np.uint64(1 << k)
+    v = np.full(len(x), ~np.uint64(0))
+    for k in range(int(n[y].max())):
+        c = codes[y, k]
+        u = v & np.where(c >= 0, masks[x, c], np.uint64(0))
+        v = (v + u) | (v - u)
+    inside = np.where(n[x] >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n[x], 63).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~v & inside).astype(np.int64)
+
+
+def alike_in(left: list[str], right: list[str], threshold: float) -> Iterator[tuple[int, int]]:
+    """Places of names whose ratio of matching blocks may reach the threshold: as far as shared characters and common subsequences tell, which
+    matched characters are. Bounded in memory by ``PRODUCT`` pairs at once."""
+    codes, n = _coded(left + right)
+    rows, at = _numbered(codes), len(left)
+    step = max(1, PRODUCT // len(right))
+    for a in range(0, len(left), step):
+        b = min(a + step, len(left))
+        x, y = np.nonzero(rows[a:b] @ rows[at:].T >= (threshold / 2 * (n[a:b, None] + n[None, at:]) - 1e-6).astype(np.float32))
+        x, y = x + a, y + at
+        short = n[x] <= n[y]
+        one, two = np.where(short, x, y), np.where(short, y, x)
+        told = n[one] > 64
+        few = np.flatnonzero(~told)
+        if len(few):
+            told[few] = _subsequence(codes, n, one[few], two[few]) >= threshold / 2 * (n[one[few]] + n[two[few]]) - 1e-6
+        yield from zip(x[told].tolist(), (y[told] - at).tolist())
+
+
+def similar_names(left: DataFrame, right: DataFrame | None, threshold: float, within: list[str] | None = None, either: bool = False) -> DataFrame:
     """(lname, rname, *within, score): pairs of distinct names, equal in the columns ``within``, whose ratio of matching blocks reaches the threshold.
 
-    left and right: name and the columns ``within``. No pair is lost: matched characters are a common subsequence, so with
-    threshold t at most d = (1 - t) * (m + n) characters of both are left over, and they cover at most d + (d + m - n) / 2 of m - 1 pairs of
-    neighbouring characters; names have to share the rest. Where that bound is empty, one name being short, they have to share
-    t * (m + n) / 2 characters. Rare shared tokens make the candidates, lengths and all shared characters thin them out, and only then the ratio is taken.
-    either: the better ratio of both orders, since it isn't symmetric.
+    left and right: name and the columns ``within``. right None: left's own pairs lname < rname. All names of a group meet, in blocks of bounded
+    numbers of names that are dealt over tasks: products of matrices count the characters that two names share, a bit for each character
+    gives the longest common subsequence of those that share enough, and only what that leaves is compared block by block. So no pair is lost, and only
+    similar ones are written. either: the better ratio of both orders, since it isn't symmetric.
     """
     within = within or []
-    t = threshold
-    n, c, span = F.length("name"), 0.5 - 1.5 * (1 - t), t / (2 - t)
-    both = left.select(F.lit(True).alias("is_left"), "name", *within).unionByName(right.select(F.lit(False).alias("is_left"), "name", *within))
-    need = F.ceil(n * (2 / (2 - t)) * c - 1 - 1e-9)
-    rows = Table(both.where("name <> ''").distinct().withColumns({"id": F.monotonically_increasing_id(), "n": n, "need": need})).df
-    at = lambda k: F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), lambda i: F.substring(F.col("name"), i, F.lit(k)))
-    longest = rows.where("need <= 0").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
-    near = rows.where(F.col("n") * span <= longest)
-
-    def met(rows: DataFrame, tokens: Column, least: Column, more: Column) -> DataFrame:
-        keyed = _rare_first(rows, tokens, least).join(rows, "id")
-        a = keyed.where("is_left").select("token", *within, *[F.col(x).alias(f"l{x}") for x in ("id", "name", "n", "need")])
-        b = keyed.where("not is_left").select("token", *within, *[F.col(x).alias(f"r{x}") for x in ("id", "name", "n", "need")])
-        fits = (F.col("ln") * span <= F.col("rn")) & (F.col("rn") * span <= F.col("ln")) & more
-        return a.join(b, ["token", *within]).where(fits).select("lid", "rid", "lname", "rname", *within)
-
-    pairs = met(rows.where("need > 0"), at(2), F.col("need"), F.lit(True))
-    if longest:
-        pairs = pairs.unionByName(met(near, at(1), F.ceil(F.col("n") * span - 1e-9), (F.col("lneed") <= 0) | (F.col("rneed") <= 0)))
-    pairs = pairs.dropDuplicates(["lid", "rid"]).drop("lid", "rid")
-    left_over = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))  # noqa: E731  characters of x that y hasn't at all
-    m, k = F.length("lname"), F.length("rname")
-    shared = F.least(m - left_over(F.col("lname"), F.col("rname")), k - left_over(F.col("rname"), F.col("lname")))
-    score = names.ratio(F.col("lname"), F.col("rname"))
-    if either:
-        score = F.greatest(score, names.ratio(F.col("rname"), F.col("lname")))
-    return pairs.where(shared >= t * (m + k) / 2 - 1e-9).select("lname", "rname", *within, score.alias("score")).where(F.col("score") >= t)
+    own = right is None
+    both = left.select(F.lit(True).alias("is_left"), "name", *within)
+    if not own:
+        both = both.unionByName(right.select(F.lit(False).alias("is_left"), "name", *within))
+    good = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in within], F.col("name") != "")
+    rows = Table(both.where(good).distinct().withColumn("bucket", F.pmod(F.xxhash64(*within) if within else F.lit(0).cast("long"), F.lit(BUCKETS)).cast("int"))).df
+    held = rows.groupBy("bucket").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(side) / NAMES)).cast("int").alias(c) for c, side in (("lefts", F.col("is_left")), ("rights", ~F.col("is_left")))])
+    dealt = rows.join(F.broadcast(held), "bucket")
+    part = F.pmod(F.xxhash64("name", F.lit(1)), F.when(F.col("is_left"), F.col("lefts")).otherwise(F.col("rights"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(F.col("is_left") & ~F.lit(own), F.col("rights")).otherwise(F.col("lefts")) - 1)
+    dealt = dealt.select("bucket", "is_left", "name", *within, part.alias("part"), F.explode(meets).alias("with"))
+    if own:  # parts of one table meet once, the least first
+        dealt = dealt.withColumns({"is_left": F.col("part") <= F.col("with"), "low": F.least("part", "with"), "high": F.greatest("part", "with")})
+    else:
+        dealt = dealt.withColumns({"low": F.when(F.col("is_left"), F.col("part")).otherwise(F.col("with")), "high": F.when(F.col("is_left"), F.col("with")).otherwise(F.col("part"))})
+    kinds = T.StructType([T.StructField("lname", T.StringType()), T.StructField("rname", T.StringType()), *[left.schema[c] for c in within], T.StructField("score", T.DoubleType())])
+
+    def work(block: pa.Table) -> pa.Table:
+        held = block.to_pydict()
+        groups: dict[tuple, tuple[list[str], list[str]]] = {}
+        one_part = own and held["low"][0] == held["high"][0]
+        for name, is_left, *key in zip(held["name"], held["is_left"], *[held[c] for c in within]):
+            groups.setdefault(tuple(key), ([], []))[0 if is_left else 1].append(name)
+        out = []
+        for key, (ls, rs) in groups.items():
+            rs = ls if one_part else rs
+            for x, y in alike_in(ls, rs, threshold) if ls and rs else ():
+                l, r = ls[x], rs[y]
+                if own:
+                    if l == r or one_part and l > r:
+                        continue
+                    l, r = min(l, r), max(l, r)
+                score = names.SequenceMatcher(None, l, r).ratio()
+                if either:
+                    score = max(score, names.SequenceMatcher(None, r, l).ratio())
+                if score >= threshold:
+                    out.append((l, r, *key, score))
+        told = list(zip(*out)) if out else [()] * len(kinds)
+        return pa.table({f.name: pa.array(v, to_arrow_type(f.dataType)) for f, v in zip(kinds, told)})
+
+    columns = ["name", "is_left", "low", "high", *within]
+    return dealt.select("bucket", *columns).groupBy("bucket", "low", "high").applyInArrow(work, kinds)
 
 
 def _similar_tier(lname: str, rname: str, threshold: float, left_id: str, right_id: str, first_letter: bool = False):
@@ -314,18 +388,14 @@ def fill_cascade(df: DataFrame, key: str, providers: list[DataFrame], columns: l
     return out.withColumn("enriched", was).select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns], "enriched")
 
 
-def _merged(part, threshold: float):
-    """The rows of one group, merged in order."""
-    import pandas as pd
-
-    from foliospark.functions.names import SequenceMatcher
-
+def _passed(rows: list[dict], threshold: float) -> list[dict]:
+    """The rows of one group, which are in order, merged."""
     kept: list[dict] = []
     ids = lambda r: sum(bool(r[c]) for c in ("scholar_id", "number"))
-    for row in part.sort_values(["pos", "rid"]).drop(columns="rid").to_dict("records"):
+    for row in rows:
         for k in kept:
             same = any(row[c] and row[c] == k[c] for c in ("scholar_id", "number"))
-            if same or row["name"] and k["name"] and SequenceMatcher(None, row["name"].lower(), k["name"].lower()).ratio() >= threshold:
+            if same or row["name"] and k["name"] and names.SequenceMatcher(None, row["name"].lower(), k["name"].lower()).ratio() >= threshold:
                 base, other = (dict(row), k) if ids(row) > ids(k) else (k, row)
                 for c in ("scholar_id", "number"):
                     base[c] = base[c] or other[c]
@@ -335,7 +405,15 @@ def _merged(part, threshold: float):
                 break
         else:
             kept.append(dict(row))
-    return pd.DataFrame(kept, columns=["unit", "pos", "name", "scholar_id", "number"])
+    return kept
+
+
+def _merged(part, threshold: float):
+    """The same of a frame with the columns pos and rid, by which it is put in order."""
+    import pandas as pd
+
+    rows = part.sort_values(["pos", "rid"]).drop(columns="rid").to_dict("records")
+    return pd.DataFrame(_passed(rows, threshold), columns=["unit", "pos", "name", "scholar_id", "number"])
 
 
 def merge_people(df: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -352,7 +430,7 @@ def merge_people(df: DataFrame, threshold: float = 0.75) -> DataFrame:
     lower = staff.select(F.lower("name").alias("name"), "unit").where("name is not null")
     # names meet their first bearer, so that equal names give one edge each
     bearers = staff.where("name <> ''").groupBy("unit", F.lower("name").alias("name")).agg(F.min("key").alias("first"))
-    alike = similar_names(lower, lower, threshold, ["unit"], either=True).where("lname < rname")
+    alike = similar_names(lower, None, threshold, ["unit"], either=True)
     first = lambda c: bearers.select("unit", F.col("name").alias(c), F.col("first").alias(f"{c}_first"))
     edges = alike.join(first("lname"), ["unit", "lname"]).join(first("rname"), ["unit", "rname"]).select(F.col("lname_first").alias("u"), F.col("rname_first").alias("v"))
     edges = edges.unionByName(staff.withColumn("name", F.lower("name")).join(bearers, ["unit", "name"]).select(F.col("key").alias("u"), F.col("first").alias("v")))
@@ -362,7 +440,31 @@ def merge_people(df: DataFrame, threshold: float = 0.75) -> DataFrame:
     found = components(edges).df
     tied = staff.join(found, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
 
-    met = tied.where("node is not null").select(*columns, "rid", "root").groupBy("root").applyInPandas(lambda part: _merged(part.drop(columns="root"), threshold), "unit string, pos long, name string, scholar_id string, number string")
+    kinds = T.StructType([T.StructField(c, T.LongType() if c == "pos" else T.StringType()) for c in columns])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, group, last = [], [], None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], to_arrow_type(f.dataType)) for f in kinds], names=columns)
+
+        for batch in batches:
+            held = batch.to_pydict()
+            for root, *values in zip(held["root"], *[held[c] for c in columns]):
+                if root != last:
+                    out += _passed(group, threshold) if len(group) > 1 else group
+                    group, last = [], root
+                group.append(dict(zip(columns, values)))
+            if len(out) >= MERGED:
+                yield made()
+                out = []
+        out += _passed(group, threshold) if len(group) > 1 else group
+        if out:
+            yield made()
+
+    # groups of two are many, so a task takes one after the other as they come
+    met = tied.where("node is not null").select(*columns, "rid", "root").repartition("root").sortWithinPartitions("root", F.asc_nulls_last("pos"), "rid")
+    met = met.select(*columns, "root").mapInArrow(merged, kinds)
     return met.unionByName(tied.where("node is null").select(*columns)).unionByName(rows.where("unit is null").select(*columns))
 
 

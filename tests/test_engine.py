@@ -694,3 +694,27 @@ def test_matched_by_keys(spark):
     want = linkage.matched_with_ambiguity(left, [("one", 9, pairs[0]), ("two", 5, pairs[1])])
     got = linkage.matched_by_keys(left, right, [("one", 9, F.col("k"), F.col("rk")), ("two", 5, F.col("m"), F.col("rm"))])
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("strategy = 'one'").count() == 4
+
+
+def test_alike_in_is_every_pair(monkeypatch):
+    """No pair of names whose ratio reaches the threshold is lost: any lengths, over 64 characters too, more than 255 characters in use, and few at once."""
+    monkeypatch.setattr(linkage, "PRODUCT", 50)
+    r = random.Random(8)
+    base = ["".join(r.choices("abcdef ", k=r.randint(1, 30))) for _ in range(60)] + ["".join(chr(r.randint(600, 1200)) for _ in range(12)) for _ in range(30)]
+    base += ["".join(r.choices("abcdefgh", k=k)) for k in (63, 64, 65, 90, 130)]
+    near = ["".join(c if r.random() > 0.12 else r.choice("abcxyz") for c in x) or "a" for x in base]
+    for t in (0.6, 0.75, 0.85):
+        found = set(linkage.alike_in(base, near, t))
+        want = {(i, j) for i, x in enumerate(base) for j, y in enumerate(near) if names.SequenceMatcher(None, x, y).ratio() >= t}
+        assert want <= found and len(found) < len(base) * len(near) / 4
+
+
+def test_similar_names_of_parts(spark, monkeypatch):
+    """A table's own pairs come once, whatever the number of parts and groups."""
+    monkeypatch.setattr(linkage, "NAMES", 4)
+    monkeypatch.setattr(linkage, "BUCKETS", 2)
+    r = random.Random(9)
+    rows = sorted({(u, "".join(r.choices("abc", k=r.randint(3, 8)))) for u in "xyz" for _ in range(40)})
+    got = [(x.unit, x.lname, x.rname) for x in linkage.similar_names(spark.createDataFrame(rows, "unit string, name string"), None, 0.75, ["unit"], either=True).collect()]
+    both = lambda x, y: max(names.SequenceMatcher(None, x, y).ratio(), names.SequenceMatcher(None, y, x).ratio())
+    assert sorted(got) == sorted((u, x, y) for u, x in rows for v, y in rows if u == v and x < y and both(x, y) >= 0.75)
