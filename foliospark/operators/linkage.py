@@ -19,6 +19,8 @@ from foliospark.tables import Table
 
 #: Names of one block, pairs of names that are compared at once, and groups of blocks that small groups of names share.
 NAMES, PRODUCT, BUCKETS = 8192, 1 << 22, 1024
+#: Words of a set's sketch, sets of an item that meet in one part, and of one of its rows of pairs.
+SKETCH, PART, TILE = 4, 8192, 256
 #: Merged people that are handed on at once.
 MERGED = 10_000
 
@@ -27,28 +29,97 @@ def with_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def _sketch(hashes: Column) -> Column:
+    """SKETCH words of 64 bits, of which each item of a set turns one: two sets' differ in as many bits at most as they have items apart."""
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    word = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: F.when(F.pmod(F.shiftright(x, 6), F.lit(SKETCH)) == k, a.bitwiseXOR(one(x))).otherwise(a))
+    return F.array(*[word(k) for k in range(SKETCH)])
+
+
+def _near(sketch: np.ndarray, n: np.ndarray, at: np.ndarray, low: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of sets of sizes n that may be similar by their sketches and by the place ``at`` of the item that they share: of a part (low) and the
+    other one, or of one part if that is all."""
+    # the greatest set that one can be similar to if this is the first item they share
+    most = (n - at) * (1 + threshold) / threshold - n + 1e-6
+    order = np.lexsort((at, n))
+    left, right = order[low[order]], order[~low[order]]
+    place = np.empty(len(n), np.int64)
+    place[order] = np.arange(len(n))
+    for x, y in ((left, left),) if not len(right) else ((left, right), (right, left)):
+        for k in range(0, len(x), TILE):  # the greater ones, or of equal ones the later
+            i = x[k : k + TILE]
+            j = y[np.searchsorted(n[y], threshold * n[i[0]] - 1e-6) : np.searchsorted(n[y], min(n[i[-1]], most[i].max()), side="right")]
+            j = j[most[j] >= n[i[0]]]
+            if not len(j):
+                continue
+            apart = np.zeros((len(i), len(j)), np.uint16)
+            for w in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[i, w][:, None] ^ sketch[j, w][None, :])
+            u, v = np.nonzero(apart <= ((1 - threshold) / (1 + threshold) * (n[i] + n[i]) + 1e-6)[:, None])
+            u, v = i[u], j[v]
+            fit = place[v] < place[u]
+            yield u[fit], v[fit]
+
+
 def similar_pairs(df: DataFrame, id_col: str, set_col: str, threshold: float) -> DataFrame:
     """(a, b, score): pairs a < b of rows whose sets have a Jaccard similarity of at least ``threshold``.
 
     Prefix filter: sets' items are ordered from rare to frequent over the whole table; a pair as similar as that shares an
-    item among the first n - ceil(t * n) + 1 of both. Only those are joined, so frequent items hardly take part, and no
-    pair is lost. Places in both sets bound what can still be shared; candidates are verified on the whole sets.
+    item among the first n - ceil(t * n) + 1 of both. Only sets of such an item meet, so frequent items hardly take part, and no
+    pair is lost. Those of an item meet inside a task, in parts of a bounded number, by sketches that differ in no more bits than
+    the sets have items apart; only pairs that may be similar by these are written, and they are verified on the whole sets.
     """
-    sets = Table(df.select(F.col(id_col).alias("id"), F.array_distinct(set_col).alias("s")).where(F.size("s") > 0)).df
+    sets = Table(df.select(F.col(id_col).alias("id"), F.array_distinct(F.array_compact(set_col)).alias("s")).where(F.size("s") > 0)).df
     items = sets.select("id", F.explode("s").alias("t"))
     freq = items.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    sorted_items = F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"])
-    ordered = Table(items.join(freq, "t").groupBy("id").agg(sorted_items.alias("s"))).df
     n = F.size("s")
     keep = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
-    prefix = ordered.select("id", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), keep)).alias("at", "t"))
-    a, b = (prefix.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at")]) for x in "ab")
-    na, nb = F.col("n_a"), F.col("n_b")
-    long_enough = (na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9)
-    # what two sets can share from a shared item's places on; the first item they share passes
-    enough = F.least(na - F.col("at_a"), nb - F.col("at_b")) >= threshold / (1 + threshold) * (na + nb) - 1e-9
-    cand = a.join(b, "t").where((F.col("id_a") < F.col("id_b")) & long_enough & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    full = cand.join(ordered.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(ordered.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+    # an item that no other set has makes no pair
+    first = items.join(freq, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", F.xxhash64("t").alias("t")))).alias("s"))
+    first = first.select("id", n.alias("n"), _sketch(F.transform("s", lambda x: x["t"])).alias("w"), F.posexplode(F.slice("s", F.lit(1), keep)).alias("at", "x"))
+    prefix = Table(first.where("x.f > 1").select("id", "n", "at", "w", "x.t")).df
+    parts = F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")
+    dealt = prefix.join(prefix.groupBy("t").agg(F.count(F.lit(1)).alias("k"), parts).where("k > 1").drop("k"), "t")
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+    dealt = dealt.select("t", "id", "n", "at", "w", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    key = ["t", "low", "high"]
+    dealt = dealt.select("t", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "id", "n", "at", "w", (F.col("part") <= F.col("with")).alias("is_low"))
+    kind = df.schema[id_col].dataType
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            k = np.stack([rows[c].to_numpy() for c in key])
+            ends = np.concatenate(([0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [rows.num_rows]))
+            w = rows["w"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+            n, at, low, ids = rows["n"].to_numpy(), rows["at"].to_numpy(), rows["is_low"].to_numpy(), rows["id"].combine_chunks()
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                if b - a > 1:
+                    for i, j in _near(w[a:b], n[a:b], at[a:b], low[a:b], threshold):
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + a)), ids.take(pa.array(j + a))], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # whole groups go on, the last one may not have ended
+            last = np.stack([batch.column(c).to_numpy() for c in key])
+            same = (last == last[:, -1:]).all(0)
+            begins = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if begins or held and any(held[0].column(c)[-1 if len(held) == 1 else 0].as_py() != batch.column(c)[0].as_py() for c in key):
+                yield from pairs(pa.Table.from_batches([*held, *([batch.slice(0, begins)] if begins else [])]))
+                held = [batch.slice(begins)]
+            else:
+                held.append(batch)
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    found = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(meet, pair)
+    found = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cand = Table(found).df
+    full = cand.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return full.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("score")).where(F.col("score") >= threshold)
 

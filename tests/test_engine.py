@@ -718,3 +718,19 @@ def test_similar_names_of_parts(spark, monkeypatch):
     got = [(x.unit, x.lname, x.rname) for x in linkage.similar_names(spark.createDataFrame(rows, "unit string, name string"), None, 0.75, ["unit"], either=True).collect()]
     both = lambda x, y: max(names.SequenceMatcher(None, x, y).ratio(), names.SequenceMatcher(None, y, x).ratio())
     assert sorted(got) == sorted((u, x, y) for u, x in rows for v, y in rows if u == v and x < y and both(x, y) >= 0.75)
+
+
+def test_similar_pairs_is_every_pair(spark, monkeypatch):
+    """Items of many sets, which meet in parts, and items that most sets have; any types of ids."""
+    monkeypatch.setattr(linkage, "PART", 7)
+    monkeypatch.setattr(linkage, "TILE", 3)
+    r = random.Random(10)
+    base = [r.sample(range(60), r.randint(1, 25)) for _ in range(40)]
+    sets = base + [[x for x in s if r.random() > 0.1] + r.sample(range(60), 1) for s in base for _ in range(3)] + [[1, 2, 3]] * 9 + [[1000 + k] for k in range(5)]
+    rows = [(f"k{k}", [f"i{x}" for x in s]) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id string, s array<string>").repartition(3)
+    jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    for t in (0.8, 0.5):
+        want = {(a, b): round(jaccard(x, y), 9) for a, x in rows for b, y in rows if a < b and x and y and jaccard(x, y) >= t}
+        got = [(p.a, p.b, round(p.score, 9)) for p in linkage.similar_pairs(df, "id", "s", t).collect()]
+        assert len(got) == len(want) and {(a, b): v for a, b, v in got} == want
