@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from foliospark.functions import vectors
 from foliospark.operators.relational import top_per_group
-from foliospark.operators.retrieval import query_blocks
+from foliospark.operators.retrieval import nearest, query_blocks
 from foliospark.tables import Table
 
 #: Vectors that the cells are trained on, by the hash of their id.
@@ -99,12 +99,19 @@ def _distance(metric: str) -> Column:
 def search(index: Index, queries: DataFrame, k: int, probes: int, threshold: float | None = None) -> DataFrame:
     """(qid, chunk_id, score): of each query (qid, q) the k best chunks in the ``probes`` cells nearest to it, by score then id.
 
-    Queries come to the cells in blocks of bounded bytes; the vectors aren't shuffled. With all cells the result is the exact one.
+    Queries come to the cells in blocks of bounded bytes, under COSINE as matrices whose rows name their cells; the vectors aren't shuffled. With
+    all cells the result is the exact one.
     """
-    told = []
-    for block in query_blocks(queries.select("qid", "q", F.explode(F.slice(index.nearest_cells(F.col("q")), 1, max(1, probes))).alias("cell"))):
-        told.append(index.table.df.join(block, "cell").select("qid", "chunk_id", vectors.similarity(_distance(index.metric), index.metric).alias("score")))
-    top = top_per_group(reduce(DataFrame.unionByName, told), ["qid"], [F.desc("score"), F.col("chunk_id")], k)
+    if index.metric == "COSINE":
+        asked = queries.select("qid", "q").where(F.size("q") == index.centres.shape[1])
+        if probes < index.cells:
+            asked = asked.withColumn("cells", F.slice(index.nearest_cells(F.col("q")), 1, max(1, probes)))
+        top = nearest(index.table.df, asked, k)
+    else:
+        told = []
+        for block in query_blocks(queries.select("qid", "q", F.explode(F.slice(index.nearest_cells(F.col("q")), 1, max(1, probes))).alias("cell"))):
+            told.append(index.table.df.join(block, "cell").select("qid", "chunk_id", vectors.similarity(_distance(index.metric), index.metric).alias("score")))
+        top = top_per_group(reduce(DataFrame.unionByName, told), ["qid"], [F.desc("score"), F.col("chunk_id")], k)
     return top if threshold is None else top.where(F.col("score") > threshold)
 
 
@@ -112,9 +119,13 @@ def recall_curve(index: Index, queries: DataFrame, k: int) -> list[float]:
     """For 1, 2, ... cells the share of the true k neighbours that a search finds, measured on at most MEASURED of the queries."""
     some = queries.select("qid", "q").orderBy(F.xxhash64("qid"), "qid").limit(MEASURED)
     block = F.broadcast(some.withColumn("order", index.nearest_cells(F.col("q"))))
+    if index.metric == "COSINE":
+        true = nearest(index.table.df, some, k, keep=("cell",))
+    else:
+        hits = index.table.df.join(F.broadcast(some)).select("qid", "chunk_id", "cell", vectors.similarity(_distance(index.metric), index.metric).alias("score"))
+        true = top_per_group(hits, ["qid"], [F.desc("score"), F.col("chunk_id")], k)
     place = F.array_position("order", F.col("cell"))
-    hits = index.table.df.join(block).select("qid", "chunk_id", place.alias("place"), vectors.similarity(_distance(index.metric), index.metric).alias("score"))
-    counted = dict(top_per_group(hits, ["qid"], [F.desc("score"), F.col("chunk_id")], k).groupBy("place").count().collect())
+    counted = dict(true.join(block.select("qid", "order"), "qid").groupBy(place.alias("place")).count().where("place is not null").collect())
     total, curve, got = sum(counted.values()), [], 0
     for p in range(1, index.cells + 1):
         got += counted.get(p, 0)
