@@ -358,16 +358,22 @@ def match_authors(papers: DataFrame, people: DataFrame, keep_unmatched: bool = F
     papers: paper_id, authors (by ";" or ","), owner_id or null. people: pos, name, id. The first person by pos wins.
     """
     p = people.select("pos", "id", "name", names.for_matching(F.col("name")).alias("m")).withColumns({"last": F.element_at(F.split("m", " "), -1), "i": F.substring("m", 1, 1)})
-    a = papers.select("paper_id", F.posexplode(text.parts(F.col("authors"))).alias("at", "author")).withColumn("m", names.for_matching(names.flip(F.col("author"))))
+    # the owner stands before the authors, all in one list; who an author is depends on the name alone, so each name is matched once
+    said = F.transform(text.parts(F.col("authors")), lambda x, k: F.struct(k.alias("at"), x.alias("author"), F.lit(None).cast("string").alias("own")))
+    owner = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("author"), F.col("owner_id").cast("string").alias("own")))
+    each = papers.select("paper_id", F.inline(F.concat(F.when(F.col("owner_id").isNotNull(), owner).otherwise(F.slice(owner, 1, 0)), said)))
+    a = Table(papers.select(F.explode(text.parts(F.col("authors"))).alias("author")).distinct()).df.withColumn("m", names.for_matching(names.flip(F.col("author"))))
     a = a.withColumns({"last": F.element_at(F.split("m", " "), -1), "i": F.substring("m", 1, 1)})
-    first = lambda d: d.groupBy("paper_id", "at").agg(F.min_by(F.struct("id", "name"), "pos").alias("who"))
-    exact = first(a.join(p.select("pos", "id", "name", "m"), "m"))
-    rest = a.join(exact, ["paper_id", "at"], "left_anti")
-    near = first(rest.join(p.select("pos", "id", "name", "last", "i"), ["last", "i"]).where(F.size(F.split(F.col("m"), " ")) > 1))
-    found = exact.unionByName(near)
-    listed = a.join(found, ["paper_id", "at"], "left" if keep_unmatched else "inner").select("paper_id", "at", F.coalesce("who.id", F.lit("")).alias("id"), F.coalesce("who.name", "author").alias("name"))
-    own = papers.where("owner_id is not null").join(p.select(F.col("id").alias("owner_id"), "name"), "owner_id").select("paper_id", F.lit(-1).alias("at"), F.col("owner_id").alias("id"), "name")
-    rows = listed.unionByName(own).groupBy("paper_id", "id", "name").agg(F.min("at").alias("at"))
+    first = lambda *keys: p.groupBy(*keys).agg(F.min_by(F.struct("id", "name"), "pos").alias("who"))
+    exact = a.join(first("m"), "m").select("author", "who")
+    near = a.join(exact, "author", "left_anti").where(F.size(F.split(F.col("m"), " ")) > 1).join(first("last", "i"), ["last", "i"]).select("author", "who")
+    found = Table(exact.unionByName(near)).df
+    owners = p.select(F.col("id").cast("string").alias("own"), F.col("name").alias("own_name"), F.lit(True).alias("known"))
+    told = each.join(found, "author", "left").join(owners, "own", "left")
+    good = F.when(F.col("at") < 0, F.col("known")).otherwise(F.lit(True) if keep_unmatched else F.col("who").isNotNull())
+    listed = told.where(good).select("paper_id", "at", F.coalesce("own", "who.id", F.lit("")).alias("id"), F.when(F.col("at") < 0, F.col("own_name")).otherwise(F.coalesce("who.name", "author")).alias("name"))
+    # one shuffle, by paper, serves both sums
+    rows = listed.repartition("paper_id").groupBy("paper_id", "id", "name").agg(F.min("at").alias("at"))
     grouped = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "id"))).alias("x"))
     return grouped.select("paper_id", F.array_join(F.transform("x", lambda e: e["name"]), sep).alias("authors"), F.array_join(F.transform("x", lambda e: e["id"]), sep).alias("ids"))
 

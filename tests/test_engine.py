@@ -734,3 +734,29 @@ def test_similar_pairs_is_every_pair(spark, monkeypatch):
         want = {(a, b): round(jaccard(x, y), 9) for a, x in rows for b, y in rows if a < b and x and y and jaccard(x, y) >= t}
         got = [(p.a, p.b, round(p.score, 9)) for p in linkage.similar_pairs(df, "id", "s", t).collect()]
         assert len(got) == len(want) and {(a, b): v for a, b, v in got} == want
+
+
+def test_match_authors_once_a_name(spark):
+    """A name is matched once, wherever it stands: by the first person, the owner first and once, lost owners left out."""
+    people = spark.createDataFrame([(2, "7", "Budi Santoso"), (1, "8", "Dr. Budi Santoso"), (3, "9", "Siti Aminah")], "pos int, id string, name string")
+    papers = spark.createDataFrame([(1, "Budi Santoso; S Aminah; Ani", "9"), (2, "Santoso; S Aminah", None), (3, "Budi Santoso", "none"), (4, "", "7"), (5, None, None)], "paper_id int, authors string, owner_id string")
+    got = {r.paper_id: (r.authors, r.ids) for r in linkage.match_authors(papers, people).collect()}
+    assert got == {1: ("Siti Aminah, Dr. Budi Santoso", "9, 8"), 2: ("Siti Aminah", "9"), 3: ("Dr. Budi Santoso", "8"), 4: ("Budi Santoso", "7")}
+    kept = {r.paper_id: (r.authors, r.ids) for r in linkage.match_authors(papers, people, keep_unmatched=True).collect()}
+    assert kept[1] == ("Siti Aminah, Dr. Budi Santoso, Ani", "9, 8, ") and kept[2] == ("Santoso, Siti Aminah", ", 9")
+    plan = linkage.match_authors(papers, people)._jdf.queryExecution().optimizedPlan().toString()
+    assert "prof" not in plan.split("Aggregate")[0]
+
+
+def test_search_in_cells_has_no_plan_for_each_query(spark, monkeypatch):
+    """Queries meet the cells they name in one pass, however many cells: the plan doesn't grow with queries times cells."""
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 50)
+    r = np.random.default_rng(6)
+    chunks = spark.createDataFrame(list(enumerate(r.normal(size=(200, 4)).tolist())), "chunk_id int, embedding array<double>")
+    index = ann.build(chunks, cells=8)
+    asked = chunks.where("chunk_id % 5 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("q"))
+    assert ann.search(index, asked, 3, 7)._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    near = {r.qid: set(r.c) for r in asked.select("qid", F.slice(index.nearest_cells(F.col("q")), 1, 2).alias("c")).collect()}
+    cell = {r.chunk_id: r.cell for r in index.table.df.collect()}
+    want = relational.top_per_group(retrieval.scores(chunks, asked).where(F.udf(lambda q, c: cell[c] in near[q], "boolean")("qid", "chunk_id")), ["qid"], [F.desc("score"), F.col("chunk_id")], 3)
+    assert sorted(map(tuple, ann.search(index, asked, 3, 2).collect())) == sorted(map(tuple, want.collect()))
