@@ -372,8 +372,7 @@ def match_authors(papers: DataFrame, people: DataFrame, keep_unmatched: bool = F
     told = each.join(found, "author", "left").join(owners, "own", "left")
     good = F.when(F.col("at") < 0, F.col("known")).otherwise(F.lit(True) if keep_unmatched else F.col("who").isNotNull())
     listed = told.where(good).select("paper_id", "at", F.coalesce("own", "who.id", F.lit("")).alias("id"), F.when(F.col("at") < 0, F.col("own_name")).otherwise(F.coalesce("who.name", "author")).alias("name"))
-    # one shuffle, by paper, serves both sums
-    rows = listed.repartition("paper_id").groupBy("paper_id", "id", "name").agg(F.min("at").alias("at"))
+    rows = listed.groupBy("paper_id", "id", "name").agg(F.min("at").alias("at"))
     grouped = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "id"))).alias("x"))
     return grouped.select("paper_id", F.array_join(F.transform("x", lambda e: e["name"]), sep).alias("authors"), F.array_join(F.transform("x", lambda e: e["id"]), sep).alias("ids"))
 
