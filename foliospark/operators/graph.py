@@ -210,13 +210,21 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community): every node takes its neighbours' most frequent label, the least of equally frequent ones."""
-    und = cut(undirected(edges.select("src", "dst")).distinct())
-    labels = und.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = und.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
-        labels = cut(votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")).select(F.col("src").alias("node"), "label"))
-    return labels.withColumnRenamed("label", "community")
+    """(node, community): every node takes its neighbours' most frequent label, the least of equally frequent ones.
+
+    At first all labels differ, so a node takes its least neighbour's: that round needs no votes, which would be as many as edges.
+    """
+    und = Table(undirected(edges.select("src", "dst")).distinct())
+    if not rounds:
+        return und.df.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    labels = Table(und.df.where("dst is not null").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")).where("node is not null"))
+    for _ in range(rounds - 1):
+        votes = und.df.join(labels.df.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
+        after = Table(votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")).select(F.col("src").alias("node"), "label"))
+        labels.drop()
+        labels = after
+    und.drop()
+    return labels.df.withColumnRenamed("label", "community")
 
 
 def distances(edges: DataFrame, seeds: DataFrame, most: int = 4) -> Table:

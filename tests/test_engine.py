@@ -760,3 +760,27 @@ def test_search_in_cells_has_no_plan_for_each_query(spark, monkeypatch):
     cell = {r.chunk_id: r.cell for r in index.table.df.collect()}
     want = relational.top_per_group(retrieval.scores(chunks, asked).where(F.udf(lambda q, c: cell[c] in near[q], "boolean")("qid", "chunk_id")), ["qid"], [F.desc("score"), F.col("chunk_id")], 3)
     assert sorted(map(tuple, ann.search(index, asked, 3, 2).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_label_propagation_by_rounds(spark, monkeypatch):
+    """The first round, which needs no votes, gives what votes give; loops, parallel edges and both directions; and no edges are kept in checkpoints."""
+    monkeypatch.setattr(graph, "cut", None)
+    r = random.Random(11)
+    rows = [(r.randrange(30), r.randrange(30)) for _ in range(70)] + [(40, 40), (41, 42), (42, 41)]
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    labels = {x: x for x in near}
+    edges = spark.createDataFrame(rows, "src int, dst int")
+    for k in range(4):
+        assert {x.node: x.community for x in graph.label_propagation(edges, k).collect()} == labels
+        votes = {x: [labels[y] for y in ys] for x, ys in near.items()}
+        labels = {x: min(set(v), key=lambda c: (-v.count(c), c)) for x, v in votes.items()}
+
+
+def test_modularity_of_loops(spark):
+    df = spark.createDataFrame([(1, 2, 3), (2, 1, 1), (2, 3, 2), (4, 4, 5), (3, 4, 1), (5, 5, 0), (None, 1, 9)], "src int, dst int, weight int")
+    of = {1: 1, 2: 1, 3: 3, 4: 3}
+    got = community.modularity(df, spark.createDataFrame(list(of.items()), "node int, community int")).first()[0]
+    assert abs(got - brute_modularity([(1, 2, 3), (2, 1, 1), (2, 3, 2), (4, 4, 5), (3, 4, 1)], of)) < 1e-12
